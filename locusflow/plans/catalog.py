@@ -256,9 +256,9 @@ def region_mids(v: Views) -> DataFrame:
 
 @query(f"""SELECT {_FLANK}, CASE WHEN strand = '-' THEN "end" ELSE "start" END AS tss,
         greatest(1, CASE WHEN strand = '-' THEN "end" ELSE "start" END - 100) AS "start",
-        least(19990, CASE WHEN strand = '-' THEN "end" ELSE "start" END + 100) AS "end" FROM regions""")
+        least(199990, CASE WHEN strand = '-' THEN "end" ELSE "start" END + 100) AS "end" FROM regions""")
 def promoters(v: Views) -> DataFrame:
-    sizes = v.spark.range(5).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chrom"), F.lit(20_000).cast("long").alias("length"))
+    sizes = v.spark.range(5).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chrom"), F.lit(200_000).cast("long").alias("length"))
     return regions.promoters(v.regions, sizes, 100)
 
 
@@ -324,9 +324,11 @@ def impact_track(v: Views) -> DataFrame:
     return v.impacts
 
 
-@query("SELECT i.* FROM impacts i JOIN (SELECT DISTINCT chrom, track_pos, alt FROM hits WHERE vid % 2 = 0) USING (chrom, track_pos, alt)")
+@query("SELECT i.* FROM impacts i JOIN (SELECT DISTINCT chrom, track_pos + vid % 2 AS track_pos, alt FROM hits) USING (chrom, track_pos, alt)")
 def annotated_track(v: Views) -> DataFrame:
-    return tracks.multiply(v.impacts, tracks.snv_track(v.variants.where("vid % 2 = 0"), v.axis))
+    hits = overlap.points_in(v.variants, v.axis)
+    moved = tracks.track_position(F.col("pos")) + F.col("vid") % 2
+    return tracks.multiply(v.impacts, hits.select("chrom", moved.alias("track_pos"), "alt").distinct())
 
 
 @query("""SELECT i.chrom, i.pos, i.alt, a.name AS element, t.bit, t.term FROM impacts i
@@ -380,4 +382,4 @@ def encode_del(v: Views) -> DataFrame:
     return genotypes.deletion_matrix(v.genotypes, v.indels, v.axis)
 
 
-QUERY_NAMES = tuple(QUERIES)
+from . import catalog_domain  # noqa: E402,F401  registers the remaining queries

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import tracks
 from ..schemas import AMINO_ACIDS, TERM_NAMES, TERMS, context_mask
 
-AXIS_END = 20_100
+AXIS_END = 200_100
 
 
 def base_sql(chrom: str, pos: str, divide: str) -> str:
@@ -39,22 +39,22 @@ CODON_VALUES = ", ".join(f"('{c}', '{a}')" for c, a in sorted(AMINO_ACIDS.items(
 #: DuckDB common table expressions, in an order in which each reads earlier ones only.
 SQL: dict[str, str] = {
     "regions": """SELECT 'c' || cast(o_custkey % 5 AS varchar) AS chrom,
-            cast((o_custkey * 37 + o_orderkey * 13) % 20000 + 1 AS bigint) AS "start",
-            cast((o_custkey * 37 + o_orderkey * 13) % 20000 + 1 + o_orderkey % 53 AS bigint) AS "end",
+            cast((o_custkey * 37 + o_orderkey * 13) % 200000 + 1 AS bigint) AS "start",
+            cast((o_custkey * 37 + o_orderkey * 13) % 200000 + 1 + o_orderkey % 53 AS bigint) AS "end",
             'T' || cast(o_custkey % 300 AS varchar) AS name,
             CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, cast(o_orderkey AS bigint) AS row_id
-        FROM orders WHERE o_orderkey % 10 = 0""",
+        FROM orders""",
     "others": """SELECT 'c' || cast(o_custkey % 5 AS varchar) AS chrom,
-            cast((o_custkey * 41 + o_orderkey * 17) % 20000 + 1 AS bigint) AS "start",
-            cast((o_custkey * 41 + o_orderkey * 17) % 20000 + 1 + o_orderkey % 97 AS bigint) AS "end",
+            cast((o_custkey * 41 + o_orderkey * 17) % 200000 + 1 AS bigint) AS "start",
+            cast((o_custkey * 41 + o_orderkey * 17) % 200000 + 1 + o_orderkey % 97 AS bigint) AS "end",
             'U' || cast(o_custkey % 300 AS varchar) AS name,
             CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, cast(o_orderkey AS bigint) AS row_id
-        FROM orders WHERE o_orderkey % 10 = 1""",
-    "variants": """SELECT 'c' || cast(event_id % 5 AS varchar) AS chrom, cast((event_id * 7919) % 20000 + 1 AS bigint) AS pos,
+        FROM orders""",
+    "variants": """SELECT 'c' || cast(event_id % 5 AS varchar) AS chrom, cast((event_id * 79193) % 200000 + 1 AS bigint) AS pos,
             substr('ACGT', cast(1 + event_id % 4 AS int), 1) AS ref,
             substr('ACGT', cast(1 + (event_id + 1 + user_id % 3) % 4 AS int), 1) AS alt, cast(event_id AS bigint) AS vid
         FROM events""",
-    "indels": """SELECT chrom, pos, vid,
+    "indels": """SELECT chrom, CASE WHEN vid % 2 = 0 THEN greatest(1, pos - 1) ELSE pos END AS pos, vid,
             CASE WHEN vid % 2 = 0 THEN ref || substr('GATTACAGATTACA', cast(1 + vid % 7 AS int), cast(1 + vid % 6 AS int)) ELSE ref END AS ref,
             CASE WHEN vid % 2 = 1 THEN ref || substr('CTAGGCATTAGCAT', cast(1 + vid % 7 AS int), cast(1 + vid % 6 AS int)) ELSE ref END AS alt
         FROM variants""",
@@ -86,7 +86,7 @@ def oracle(body: str, *needed: str) -> str:
     """``body`` behind the common table expressions (all of them; unused ones cost nothing)."""
     extra = dict(zip(needed[::2], needed[1::2]))
     parts = SQL | extra
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in parts.items()) + "\n" + body
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({text})" if name in extra else f"{name} AS ({text})" for name, text in parts.items()) + "\n" + body
 
 
 def mask_list(*contexts: str) -> int:
@@ -105,9 +105,9 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _regions(self, a: int, b: int, rest: int, most: int, letter: str) -> DataFrame:
-        start = f"cast((o_custkey * {a} + o_orderkey * {b}) % 20000 + 1 AS bigint)"
-        return self.table("orders").where(f"o_orderkey % 10 = {rest}").selectExpr(
+    def _regions(self, a: int, b: int, most: int, letter: str) -> DataFrame:
+        start = f"cast((o_custkey * {a} + o_orderkey * {b}) % 200000 + 1 AS bigint)"
+        return self.table("orders").selectExpr(
             "'c' || cast(o_custkey % 5 AS string) AS chrom",
             f"{start} AS start",
             f"{start} + o_orderkey % {most} AS end",
@@ -118,17 +118,17 @@ class Views:
 
     @cached_property
     def regions(self) -> DataFrame:
-        return self._regions(37, 13, 0, 53, "T")
+        return self._regions(37, 13, 53, "T")
 
     @cached_property
     def others(self) -> DataFrame:
-        return self._regions(41, 17, 1, 97, "U")
+        return self._regions(41, 17, 97, "U")
 
     @cached_property
     def variants(self) -> DataFrame:
         return self.table("events").selectExpr(
             "'c' || cast(event_id % 5 AS string) AS chrom",
-            "cast((event_id * 7919) % 20000 + 1 AS bigint) AS pos",
+            "cast((event_id * 79193) % 200000 + 1 AS bigint) AS pos",
             "substr('ACGT', cast(1 + event_id % 4 AS int), 1) AS ref",
             "substr('ACGT', cast(1 + (event_id + 1 + user_id % 3) % 4 AS int), 1) AS alt",
             "cast(event_id AS bigint) AS vid",
@@ -138,7 +138,7 @@ class Views:
     def indels(self) -> DataFrame:
         piece = lambda s: f"substr('{s}', cast(1 + vid % 7 AS int), cast(1 + vid % 6 AS int))"
         return self.variants.selectExpr(
-            "chrom", "pos", "vid",
+            "chrom", "CASE WHEN vid % 2 = 0 THEN greatest(1, pos - 1) ELSE pos END AS pos", "vid",
             f"CASE WHEN vid % 2 = 0 THEN ref || {piece('GATTACAGATTACA')} ELSE ref END AS ref",
             f"CASE WHEN vid % 2 = 1 THEN ref || {piece('CTAGGCATTAGCAT')} ELSE ref END AS alt",
         )
