@@ -5,9 +5,9 @@ alignment, the longest increasing subsequence of anchors is kept, and the gaps b
 are aligned the same way.  Coverage is the share of template words that are matched.
 
 Passages are found by seeds: rare template words, so many of them that a passage covering the
-threshold must hold one.  Each occurrence of a seed opens a window of the template's length; the
-window ends half way to the next occurrence of the same seed, so a license stated twice is two
-passages and its words are unique in each.
+threshold must hold one.  Each occurrence of a seed opens a window of the template's length, placed
+by where the template has the seed; it ends where the passage of the seed's next occurrence starts,
+so a license stated twice is two passages and its words are unique in each.
 """
 
 from __future__ import annotations
@@ -154,20 +154,24 @@ def passages(words: list[bytes], template: Template, coverage: float) -> list[tu
     for i, w in enumerate(words):
         if w in places:
             places[w].append(i)
-    reach = len(template.words) + int(0.25 * len(template.words)) + 1
+    n, slack = len(template.words), int(0.25 * len(template.words)) + 1
+    uses = Counter(template.words)
     found: list[tuple[int, int, int]] = []
     for seed in sorted(template.seeds):
         spots = places[seed]
-        several = Counter(template.words)[seed]
-        for n, at in enumerate(spots):
+        lead = template.words.index(seed)
+        for i, at in enumerate(spots):
             if any(s <= at < e for s, e, _ in found):
                 continue
-            left, right = at - reach, at + reach + 1
-            if several == 1:
-                if n:
-                    left = max(left, (spots[n - 1] + at) // 2 + 1)
-                if n + 1 < len(spots):
-                    right = min(right, (spots[n + 1] + at) // 2 + 1)
+            if uses[seed] > 1:  # the place of the seed in the template is open
+                left, right = at - n - slack, at + n + slack + 1
+            else:  # a neighbouring occurrence belongs to a passage of its own
+                start, end = at - lead, at - lead + n
+                left, right = start - slack, end + slack
+                if i:
+                    left = max(left, min(start, spots[i - 1] - lead + n))
+                if i + 1 < len(spots):
+                    right = min(right, max(at + 1, spots[i + 1] - lead))
             left, right = max(0, left), min(len(words), right)
             matches = patience(words[left:right], list(template.words))
             if len(matches) >= coverage * len(template.words) - 1e-9:
