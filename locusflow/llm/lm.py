@@ -7,12 +7,17 @@ absolute discount, whose mass goes to the paths of subword pieces.  A word's pro
 sum over all paths, found by a forward recursion in log space; a text's is the product over its
 words and an end.  Byte pieces make every text scorable.
 
+Training documents may carry a class (their language).  Each class then has a model of its own that
+leaves its discounted mass to the overall one, and a text's probability is the sum over classes; the
+class of the scored text is not looked at.
+
 Words are counted by partial counts per partition and one grouped sum.  For the word-level base
 score, frequent words come from a broadcast table of bounded size and all others from a join.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -35,6 +40,8 @@ FREQUENT_BYTES = 64
 PARTIAL = 300_000
 ROUNDS = 1
 SMOOTHING = 0.1
+#: Classes with a model of their own, at most: the most frequent ones of the training documents.
+CLASSES = 8
 #: Mark of a word's start, as the vocabulary writes it.
 START = "▁".encode()
 #: The end of a text, among words; it cannot be a word.
@@ -171,28 +178,48 @@ def vocabulary_pieces(vocabulary: str) -> tuple[list[bytes], np.ndarray]:
 # ---------------------------------------------------------------- training
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partial: int = PARTIAL) -> DataFrame:
-    """(word, c) over all training documents; the end of text counts once per document as b''."""
+def class_names(docs: DataFrame, id_col: str, class_col: str | None, most: int = CLASSES) -> list[str]:
+    """The most frequent classes of the training documents; none if there is no such column."""
+    if class_col is None or class_col not in docs.columns:
+        return []
+    crc = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS))
+    training = docs.where(F.col(class_col).isNotNull() & ~F.coalesce(crc == HELD_OUT, F.lit(False)))
+    sizes = training.groupBy(F.col(class_col).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return [r.name for r in sizes.orderBy(F.desc("n"), "name").limit(most).collect()]
+
+
+def word_counts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, classes: tuple[str, ...] = (), partial: int = PARTIAL
+) -> DataFrame:
+    """(word, c, c0, c1, ...) over all training documents: in all and by class.
+
+    The end of a text counts once per document, as b''.
+    """
+    own = F.array_position(F.array(*[F.lit(n) for n in classes]), F.col(class_col).cast("string")) if classes else F.lit(0)
 
     def count(batches):
-        seen: Counter = Counter()
+        seen: dict[int, Counter] = {}
 
         def batch():
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "c": pa.array(list(seen.values()), pa.int64())})
+            rows = [(w, g, c) for g, found in seen.items() for w, c in found.items()]
             seen.clear()
-            return out
+            types = (pa.binary(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["word", "class", "c"])
 
         for rows in batches:
-            for key, text in zip(*rows_of(rows)):
+            for key, text, group in zip(*(rows.column(i).to_pylist() for i in range(3))):
                 if not is_held_out(key):
-                    seen.update(text.lower().split())
-                    seen[END_WORD] += 1
-                    if len(seen) > partial:
+                    counter = seen.setdefault((group or 0) - 1, Counter())
+                    counter.update(text.lower().split())
+                    counter[END_WORD] += 1
+                    if len(counter) > partial:
                         yield batch()
         yield batch()
 
-    partials = text_bytes(docs, id_col, text_col).mapInArrow(count, "word binary, c long")
-    return partials.groupBy("word").agg(F.sum("c").alias("c"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), own.cast("int").alias("class"))
+    partials = texts.mapInArrow(count, "word binary, class int, c long")
+    by_class = [F.sum(F.when(F.col("class") == i, F.col("c")).otherwise(F.lit(0))).alias(f"c{i}") for i in range(len(classes))]
+    return partials.groupBy("word").agg(F.sum("c").alias("c"), *by_class)
 
 
 @dataclass(frozen=True)
@@ -247,8 +274,8 @@ def train_pieces(counts: DataFrame, vocabulary: str = VOCABULARY, rounds: int =
     return model
 
 
-def frequent_words(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[bytes, int]:
-    """The most frequent words, at most ``most``: all whose count reaches a level found from a histogram."""
+def frequent_words(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[bytes, tuple[int, ...]]:
+    """The counts of the most frequent words, at most ``most``: all whose count reaches a level found from a histogram."""
     short = counts.where((F.octet_length("word") <= FREQUENT_BYTES) & (F.col("word") != F.lit(END_WORD)))
     level = F.floor(F.log2("c") * 8).cast("int")
     histogram = sorted(short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level)
@@ -259,7 +286,33 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[bytes,
         held, lowest = held + row.n, row.level
     if lowest is None:
         return {}
-    return {bytes(r.word): r.c for r in short.where(level >= lowest).collect()}
+    return {bytes(r[0]): tuple(r[1:]) for r in short.where(level >= lowest).collect()}
+
+
+@dataclass(frozen=True)
+class WordModel:
+    """Discounted word counts of one population: size, discount, and the mass left to what it backs off to."""
+
+    tokens: int
+    discount: float
+    spare: float
+
+    @classmethod
+    def of(cls, tokens: int, distinct: int, once: int, twice: int) -> "WordModel":
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        return cls(tokens, discount, discount * distinct / tokens if tokens else 1.0)
+
+    def log_likelihood(self, counts: np.ndarray, backed_off: np.ndarray) -> np.ndarray:
+        """Natural log of word probabilities from counts and the log probabilities backed off to."""
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.maximum(counts - self.discount, 0.0) / max(self.tokens, 1))
+        return np.logaddexp(whole, np.log(self.spare) + backed_off)
+
+    def log10_column(self, count, backed_off):
+        """The same, base 10, as a column; apart for unseen words, whose probability may be below a double's range."""
+        whole = F.greatest(F.coalesce(count, F.lit(0)) - F.lit(float(self.discount)), F.lit(0.0)) / F.lit(float(max(self.tokens, 1)))
+        left = F.lit(float(np.log10(self.spare))) + backed_off
+        return F.when(whole > 0, F.log10(whole + F.pow(F.lit(10.0), left))).otherwise(left)
 
 
 # ---------------------------------------------------------------- scoring
@@ -269,6 +322,7 @@ def score(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
+    class_col: str | None = "lang",
     vocabulary: str = VOCABULARY,
     rounds: int = ROUNDS,
     smoothing: float = SMOOTHING,
@@ -277,55 +331,72 @@ def score(
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both scores are log10 probabilities of the lower-cased words and an end: base_score by
-    smoothed word counts, score by the subword lattice.  Null text counts as empty: only the end
-    is scored.  A null id is a training row.  Repeated rows count and are scored as often as they
-    occur.  An empty table gives no rows; without training rows every word is scored by the subword
-    paths alone, with even smoothed weights.  Columns other than id and text are ignored.
+    smoothed word counts, score by the lattice.  Null text counts as empty: only the end is scored.
+    A null id is a training row.  Repeated rows count and are scored as often as they occur.  A null
+    class, and classes beyond the most frequent ones, train the overall model only; a table without
+    the class column has no classes.  An empty table gives no rows; without training rows every word
+    is scored by the subword paths alone, with even smoothed weights.  Columns other than id, text
+    and class are ignored.
     """
     spark = docs.sparkSession
-    counts = materialize(word_counts(docs, id_col, text_col), "words")
-    many = lambda condition, value: F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+    classes = class_names(docs, id_col, class_col)
+    counts = materialize(word_counts(docs, id_col, text_col, class_col, tuple(classes)), "words")
+    columns = ["c", *(f"c{i}" for i in range(len(classes)))]
+
+    def many(condition, value):
+        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+
     facts = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-        F.count(F.lit(1)).alias("v"),
-        many(F.col("c") == 1, F.lit(1)).alias("once"),
-        many(F.col("c") == 2, F.lit(1)).alias("twice"),
-        many(F.col("word") == F.lit(END_WORD), F.col("c")).alias("ends"),
+        *itertools.chain.from_iterable(
+            (
+                many(F.col(c) > 0, F.col(c)),
+                many(F.col(c) > 0, F.lit(1)),
+                many(F.col(c) == 1, F.lit(1)),
+                many(F.col(c) == 2, F.lit(1)),
+                many(F.col("word") == F.lit(END_WORD), F.col(c)),
+            )
+            for c in columns
+        )
     ).first()
-    seen, distinct, ends = facts.n, facts.v, facts.ends
-    discount = facts.once / (facts.once + 2 * facts.twice) if facts.once and facts.twice else 0.5
-    # Mass of the subword paths; without any training text they hold all of it.
-    spare = discount * distinct / seen if seen else 1.0
+    found = [tuple(facts[5 * i : 5 * i + 5]) for i in range(len(columns))]
+    overall, own = WordModel.of(*found[0][:4]), [WordModel.of(*f[:4]) for f in found[1:]]
+    seen, distinct, ends = found[0][0], found[0][1], found[0][4]
+    # Prior of a class: its share of the training documents; a plain model is one class with all counts.
+    total_ends = sum(f[4] for f in found[1:])
+    priors = [f[4] / total_ends for f in found[1:]] if own else [1.0]
     model = train_pieces(counts, vocabulary, rounds, smoothing)
-    shared = spark.sparkContext.broadcast((model, frequent_words(counts, frequent)))
+    shared = spark.sparkContext.broadcast((model, frequent_words(counts.select("word", *columns), frequent)))
     floor = seen + 0.5 * (distinct + 1)
 
     def base(c):
         return np.log10((c + 0.5) / floor)
 
-    def likelihood(c, paths):
-        """log10 of a word's probability from its count and its subword paths (natural log)."""
-        with np.errstate(divide="ignore"):
-            whole = np.log(np.maximum(c - discount, 0.0) / max(seen, 1))
-        return np.logaddexp(whole, np.log(spare) + paths) / np.log(10)
+    def by_class(rows, paths):
+        """log10 probabilities (words x classes) from counts (words x columns) and subword paths."""
+        back = overall.log_likelihood(rows[:, 0], paths)
+        parts = [m.log_likelihood(rows[:, i + 1], back) for i, m in enumerate(own)] or [back]
+        return np.stack(parts, 1) / np.log(10)
 
-    # The end is one token of the model: a text without training rows has no other estimate than even odds.
-    end_score = float(np.log10((ends - discount) / seen)) if ends > discount else float(np.log10(0.5))
+    # The end has no subword path; without training rows it has even odds.
+    end_row = np.array([[f[4] for f in found]], float)
+    end_scores = by_class(end_row, np.array([np.log(0.5) if not ends else -np.inf]))[0]
+    width = len(columns)
 
     def first_pass(batches):
         model, table = shared.value
         lattice = model.lattice()
-        places: dict[bytes, int] = {}
-        lists: list[bytes] = []
-        known = np.empty(0, np.int64)
-        value = np.empty(0)
+        missing = (-1,) * width
         number = 0
+
+        def start():
+            return {}, [], np.empty((0, width)), np.empty(0), np.empty((0, len(priors)))
+
+        places, lists, known, paths, likely = start()
         for batch in batches:
             keys, texts = rows_of(batch)
             for at in range(0, len(texts), 512):
                 if len(lists) > PARTIAL:
-                    places, lists, known, value = {}, [], np.empty(0, np.int64), np.empty(0)
-                out = []
+                    places, lists, known, paths, likely = start()
                 documents = []
                 for text in texts[at : at + 512]:
                     words = text.lower().split()
@@ -338,65 +409,71 @@ def score(
                         indices[i] = place
                     documents.append(indices)
                 fresh = lists[len(known) :]
-                known = np.concatenate([known, np.fromiter((table.get(w, -1) for w in fresh), np.int64, len(fresh))])
-                value = np.concatenate([value, lattice.log_probability([START + w for w in fresh])])
+                if fresh:
+                    rows = np.array([table.get(w, missing) for w in fresh], float).reshape(-1, width)
+                    way = lattice.log_probability([START + w for w in fresh])
+                    known, paths = np.concatenate([known, rows]), np.concatenate([paths, way])
+                    likely = np.concatenate([likely, by_class(np.maximum(rows, 0), way)])
+                out = []
                 for key, indices in zip(keys[at : at + 512], documents):
-                    c = known[indices]
-                    common = c[c >= 0]
-                    rare, times = np.unique(indices[c < 0], return_counts=True)
-                    hot = float(base(common).sum()) + float(base(ends))
-                    total = float(likelihood(common, value[indices[c >= 0]]).sum()) + end_score
-                    header = (number, key, is_held_out(key), len(indices) + 1, len(common) + (ends > 0), hot, total)
-                    out.append((header, [lists[i] for i in rare.tolist()], times, value[rare] / np.log(10)))
+                    c = known[indices, 0]
+                    hot = c >= 0
+                    rare, times = np.unique(indices[~hot], return_counts=True)
+                    basis = float(base(c[hot]).sum()) + float(base(ends))
+                    totals = (likely[indices[hot]].sum(0) + end_scores).tolist()
+                    header = (number, key, is_held_out(key), len(indices) + 1, int(hot.sum()) + (ends > 0), basis, totals)
+                    out.append((header, [lists[i] for i in rare.tolist()], times, paths[rare] / np.log(10)))
                     number += 1
                 yield _scored(out)
 
-    def _scored(out):
-        lengths = np.array([len(o[1]) for o in out], np.int64)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-        words = pa.ListArray.from_arrays(offsets, pa.array([w for o in out for w in o[1]], pa.binary()))
-        times = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([o[2] for o in out]) if out else [], pa.int64()))
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["number", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score"]
-        columns = [pa.array([o[0][i] for o in out], t) for i, t in enumerate(types)]
-        paths = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([o[3] for o in out]) if out else [], pa.float64()))
-        return pa.RecordBatch.from_arrays([*columns, words, times, paths], [*names, "words", "times", "paths"])
-
     schema = (
         "number long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, "
-        "score double, words array<binary>, times array<long>, paths array<double>"
+        "hot_likely array<double>, words array<binary>, times array<long>, paths array<double>"
     )
     passed = text_bytes(docs, id_col, text_col).mapInArrow(first_pass, schema)
     row = F.shiftleft(F.spark_partition_id().cast("long"), 40) + F.col("number")
     # One stream of rows: a document's header under a key that no word has (words hold no space),
     # which spreads the headers, and one row per rare word.
-    header = F.struct(
-        F.concat(F.lit(b" "), row.cast("string").cast("binary")).alias("word"), F.lit(0).cast("long").alias("times"),
-        F.lit(0.0).alias("paths"), "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score",
-    )
-    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("hot_known", "long"), ("hot_score", "double"), ("score", "double"))]
-    rare = F.transform(F.arrays_zip("words", "times", "paths"), lambda x: F.struct(x["words"].alias("word"), x["times"].alias("times"), x["paths"].alias("paths"), *nothing))
-    parts = passed.select(row.alias("row"), F.inline(F.concat(F.array(header), rare)))
-    counted = parts.join(counts, "word", "left")
+    carried = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long", "hot_known": "long", "hot_score": "double", "hot_likely": "array<double>"}
+    key = F.concat(F.lit(b" "), row.cast("string").cast("binary"))
+    header = F.struct(key.alias("word"), F.lit(0).cast("long").alias("times"), F.lit(0.0).alias("paths"), *carried)
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in carried.items()]
+    rare = F.transform(
+        F.arrays_zip("words", "times", "paths"),
+        lambda x: F.struct(x["words"].alias("word"), x["times"].alias("times"), x["paths"].alias("paths"), *nothing),
+    )
+    counted = passed.select(row.alias("row"), F.inline(F.concat(F.array(header), rare))).join(counts, "word", "left")
+    back = overall.log10_column(F.col("c"), F.col("paths"))
+    parts = [m.log10_column(F.col(f"c{i}"), back) for i, m in enumerate(own)] or [back]
     rest = F.coalesce("c", F.lit(0))
-    whole = F.greatest(rest - F.lit(float(discount)), F.lit(0.0)) / F.lit(float(max(seen, 1)))
-    by_paths = F.lit(float(np.log10(spare))) + F.col("paths")
-    likely = F.when(whole > 0, F.log10(whole + F.pow(F.lit(10.0), by_paths))).otherwise(by_paths)
-    return (
-        counted.groupBy("row")
-        .agg(
-            *[F.max(n).alias(n) for n in ("doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score")],
-            F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("rare_known"),
-            F.sum(F.col("times") * F.log10((rest + 0.5) / F.lit(float(floor)))).alias("rare_base"),
-            F.sum(F.col("times") * likely).alias("rare_score"),
-        )
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("hot_known") + F.col("rare_known")).alias("n_known"),
-            F.lit(seen).cast("long").alias("train_tokens"),
-            (F.col("hot_score") + F.col("rare_base")).alias("base_score"),
-            (F.col("score") + F.col("rare_score")).alias("score"),
-        )
+    summed = counted.groupBy("row").agg(
+        *[F.max(n).alias(n) for n in carried],
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("rare_known"),
+        F.sum(F.col("times") * F.log10((rest + 0.5) / F.lit(float(floor)))).alias("rare_base"),
+        *[F.sum(F.col("times") * part).alias(f"l{i}") for i, part in enumerate(parts)],
     )
+    # The sum over classes in log space: the best class is taken out first.
+    weighed = F.array(*[F.lit(float(np.log10(p))) + F.element_at("hot_likely", i + 1) + F.col(f"l{i}") for i, p in enumerate(priors)])
+    best = F.array_max("_w")
+    mixed = best + F.log10(F.aggregate(F.col("_w"), F.lit(0.0), lambda total, x: total + F.pow(F.lit(10.0), x - F.array_max(F.col("_w")))))
+    return summed.withColumn("_w", weighed).select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("hot_known") + F.col("rare_known")).alias("n_known"),
+        F.lit(seen).cast("long").alias("train_tokens"),
+        (F.col("hot_score") + F.col("rare_base")).alias("base_score"),
+        mixed.alias("score"),
+    )
+
+
+def _scored(out) -> pa.RecordBatch:
+    """Documents' headers with lists of their rare words, as often as each occurs, and its subword paths (log10)."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(o[1]) for o in out])]), pa.int32())
+    words = pa.ListArray.from_arrays(offsets, pa.array([w for o in out for w in o[1]], pa.binary()))
+    times = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([o[2] for o in out]), pa.int64()))
+    paths = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([o[3] for o in out]), pa.float64()))
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+    names = ["number", "doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "hot_likely"]
+    columns = [pa.array([o[0][i] for o in out], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays([*columns, words, times, paths], [*names, "words", "times", "paths"])
