@@ -12,24 +12,40 @@ def length() -> Column:
     return F.col("end") - F.col("start") + 1
 
 
-def merge(regions: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Islands: a region joins the one before if start <= running end + ``gap``.
+#: Bases of a stretch that one window partition sorts; a chromosome is many stretches.
+STRETCH = 1 << 16
 
-    One row per island with its keys, start, end and n_merged.  Pass ``("chrom", "strand")`` to
-    merge strands apart, ``("chrom", "name")`` per element.
-    """
+
+def stretch(position: str = "start") -> Column:
+    return F.floor(F.col(position) / F.lit(STRETCH)).cast("long")
+
+
+def _islands(rows: DataFrame, gap: int, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("start", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    runs = regions.where("start <= end").withColumn("_reach", F.max("end").over(before))
+    runs = rows.withColumn("_reach", F.max("end").over(before))
     fresh = F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap)
     runs = runs.withColumn("_island", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         runs.groupBy(*keys, "_island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_merged"))
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_merged").alias("n_merged"))
         .drop("_island")
     )
 
 
+def merge(regions: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """Islands: a region joins the one before if start <= running end + ``gap``.
+
+    One row per island with its keys, start, end and n_merged.  Pass ``("chrom", "strand")`` to
+    merge strands apart, ``("chrom", "name")`` per element.
+
+    Merging is associative, so stretches of the axis are merged in parallel first and only their
+    islands meet in one window per key.
+    """
+    rows = regions.where("start <= end").select(*keys, "start", "end", F.lit(1).cast("long").alias("n_merged"), stretch().alias("_stretch"))
+    return _islands(_islands(rows, gap, [*keys, "_stretch"]).drop("_stretch"), gap, list(keys))
+
+
 def merge_all(region_sets: list[DataFrame], gap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Union of several sets, merged."""
     whole = region_sets[0].select(*keys, "start", "end")
@@ -61,14 +77,23 @@ def introns(genes: DataFrame, exons: DataFrame, row_id: str, size: int = BIN) ->
 
 
 def running_bounds(regions: DataFrame) -> DataFrame:
-    """Adds running_end (greatest end so far) and rest_start (least start from here on), in sorted order."""
-    order = Window.partitionBy("chrom").orderBy("start", "end", F.length("name"), "name")
-    return regions.withColumns(
+    """Adds running_end (greatest end so far) and rest_start (least start from here on), in sorted order.
+
+    Windows run within stretches; what lies in other stretches comes from one row per stretch.
+    """
+    inside = Window.partitionBy("chrom", "_stretch").orderBy("start", "end", F.length("name"), "name")
+    cut = regions.withColumn("_stretch", stretch())
+    over = Window.partitionBy("chrom").orderBy("_stretch")
+    ends = cut.groupBy("chrom", "_stretch").agg(F.max("end").alias("_top"))
+    ends = ends.select("chrom", "_stretch", F.max("_top").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    local = cut.withColumns(
         {
-            "running_end": F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "rest_start": F.min("start").over(order.rowsBetween(0, Window.unboundedFollowing)),
+            "running_end": F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "rest_start": F.min("start").over(inside.rowsBetween(0, Window.unboundedFollowing)),
         }
     )
+    # Starts are sorted, so the least start from a row on is in its own stretch.
+    return local.join(ends, ["chrom", "_stretch"]).withColumn("running_end", F.greatest("running_end", "_before")).drop("_stretch", "_before")
 
 
 def super_hulls(children: DataFrame, parents: DataFrame, size: int = BIN) -> DataFrame:
@@ -252,17 +277,27 @@ def top_by_coverage(regions: DataFrame, most: int, order: str) -> DataFrame:
 def nearest(a: DataFrame, b: DataFrame, row_id: str, cap: int = 10_000_000) -> DataFrame:
     """Distance of each region of ``a`` to the nearest of ``b`` (0 if they overlap), at most ``cap``.
 
-    An as-of lookup over one sorted union per chromosome: the greatest end that starts before and
-    the least start behind.
+    An as-of lookup over the sorted union: the greatest end that starts before and the least start
+    behind.
     """
     ours = a.select("chrom", "start", "end", F.lit(1).alias("ours"), F.col(row_id).alias("_id"))
     theirs = b.select("chrom", "start", "end", F.lit(0).alias("ours"), F.lit(None).cast(a.schema[row_id].dataType).alias("_id"))
-    both = ours.unionByName(theirs)
-    by_start = Window.partitionBy("chrom").orderBy("start", "ours").rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy("chrom").orderBy(F.desc("start"), "ours").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max(F.when(F.col("ours") == 0, F.col("end"))).over(by_start)
-    ahead = F.min(F.when(F.col("ours") == 0, F.col("start"))).over(behind)
-    seen = both.withColumn("_reach", reach).withColumn("_ahead", ahead).where("ours = 1")
+    both = ours.unionByName(theirs).withColumn("_stretch", stretch())
+    theirs_only = lambda c: F.when(F.col("ours") == 0, F.col(c))
+    # Within a stretch by windows, beyond it from one row per stretch.
+    over = Window.partitionBy("chrom").orderBy("_stretch")
+    totals = both.groupBy("chrom", "_stretch").agg(F.max(theirs_only("end")).alias("_top"), F.min(theirs_only("start")).alias("_low"))
+    totals = totals.select(
+        "chrom",
+        "_stretch",
+        F.max("_top").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_back"),
+        F.min("_low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_on"),
+    )
+    by_start = Window.partitionBy("chrom", "_stretch").orderBy("start", "ours").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("chrom", "_stretch").orderBy(F.desc("start"), "ours").rowsBetween(Window.unboundedPreceding, 0)
+    local = both.withColumn("_reach", F.max(theirs_only("end")).over(by_start)).withColumn("_ahead", F.min(theirs_only("start")).over(behind))
+    seen = local.where("ours = 1").join(totals, ["chrom", "_stretch"])
+    seen = seen.withColumn("_reach", F.greatest("_reach", "_back")).withColumn("_ahead", F.least("_ahead", "_on"))
     # greatest() skips nulls, so a side without a neighbour is told apart first.
     left = F.when(F.col("_reach").isNotNull(), F.greatest(F.lit(0), F.col("start") - F.col("_reach")))
     right = F.when(F.col("_ahead").isNotNull(), F.greatest(F.lit(0), F.col("_ahead") - F.col("end")))

@@ -20,10 +20,22 @@ MARGIN = 16
 
 
 def axis(regions: DataFrame) -> DataFrame:
-    """Adds track_offset: elements laid end to end per chromosome, positions from 1."""
-    order = Window.partitionBy("chrom").orderBy("start", "end", F.length("name"), "name", *([F.col("row_id")] if "row_id" in regions.columns else []))
-    before = F.sum(F.col("end") - F.col("start") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return regions.where("start <= end").withColumn("track_offset", F.lit(1) + F.coalesce(before, F.lit(0)))
+    """Adds track_offset: elements laid end to end per chromosome, positions from 1.
+
+    A prefix sum in two levels: within stretches of the chromosome by a window, across them from one
+    row per stretch, so no task sorts a whole chromosome.
+    """
+    from .regions import stretch
+
+    rows = regions.where("start <= end").withColumn("_stretch", stretch()).withColumn("_n", F.col("end") - F.col("start") + 1)
+    order = Window.partitionBy("chrom", "_stretch").orderBy("start", "end", F.length("name"), "name", *([F.col("row_id")] if "row_id" in regions.columns else []))
+    totals = rows.groupBy("chrom", "_stretch").agg(F.sum("_n").alias("_t"))
+    over = Window.partitionBy("chrom").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("chrom", "_stretch", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_inside", inside).join(totals, ["chrom", "_stretch"])
+    offset = (F.lit(1) + F.col("_before") + F.col("_inside")).cast("long")
+    return placed.select(*regions.columns, offset.alias("track_offset"))
 
 
 def track_position(position: Column) -> Column:
