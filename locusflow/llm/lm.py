@@ -212,7 +212,7 @@ def word_counts(
                     counter = seen.setdefault((group or 0) - 1, Counter())
                     counter.update(text.lower().split())
                     counter[END_WORD] += 1
-                    if len(counter) > partial:
+                    if sum(map(len, seen.values())) > partial:
                         yield batch()
         yield batch()
 
