@@ -22,7 +22,8 @@ from .pretokens import chunk_ids, vocabulary_path
 #: Entries of the broadcast table; at most this many chunks of at most 64 bytes (about 4 MB).
 FREQUENT = 32_768
 #: Documents read to pick them (a warm-up of the cache, not a statistic of the result).
-SAMPLE_DOCS = 2_000
+SAMPLE_DOCS = 1_000
+SAMPLE_BYTES = 32_768
 #: Entries of a worker's cache.
 CACHED = 1_000_000
 
@@ -45,24 +46,31 @@ class FrequentTable:
 
 
 def frequent_table(docs: DataFrame, text_col: str, vocabulary: str, entries: int, sample_docs: int) -> FrequentTable:
-    """Tier one: the most frequent chunks of at most ``sample_docs`` texts; empty for an empty table."""
-    rows = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t")).limit(sample_docs)
+    """Tier one: the most frequent chunks of the first ``sample_docs`` texts; empty for an empty table.
 
-    def top(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(c for c in text.split() if len(c) <= 64)
-        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]
-        yield pa.RecordBatch.from_pydict({"c": pa.array([c for c, _ in best], pa.binary())})
-
-    chunks = [bytes(r.c) for r in rows.mapInArrow(top, "c binary").limit(entries).collect()]
+    The limit is taken partition by partition, so a large table is not scanned for it, and a text
+    adds at most ``SAMPLE_BYTES``: what the driver holds is bounded.
+    """
+    start = F.substring(F.col(text_col).cast("binary"), 1, SAMPLE_BYTES)
+    seen: Counter = Counter()
+    for row in docs.select(start.alias("t")).where("t is not null").limit(sample_docs).collect():
+        seen.update(c for c in bytes(row.t).split() if len(c) <= 64)
+    best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]
     encode = chunk_ids(vocabulary_path(vocabulary), CACHED, None, "driver")
-    known = [(c, encode[c]) for c in dict.fromkeys(chunks)]
+    known = [(c, encode[c]) for c, _ in best if c.isascii() or _is_text(c)]
     known = [(c, i) for c, i in known if len(i) // 4 <= 255]
     return FrequentTable([c for c, _ in known], [i for _, i in known])
 
 
+def _is_text(chunk: bytes) -> bool:
+    """Whole characters: a cut text may end within one."""
+    try:
+        chunk.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def count_tokens(
     docs: DataFrame,
     vocabulary: str = "word_bpe_49k.json",
