@@ -62,11 +62,8 @@ def chunked(bases: DataFrame, chunk: int = CHUNK, margin: int = MARGIN) -> DataF
     dealt = bases.withColumn("chunk", F.explode(near)).where("chunk >= 0")
     pieces = dealt.groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "base"))).alias("p"))
     first = F.element_at("p", 1)["pos"]
-    filled = F.aggregate(
-        F.col("p"),
-        F.struct(first.alias("at"), F.lit("").alias("seq")),
-        lambda acc, x: F.struct((x["pos"] + 1).alias("at"), F.concat(acc["seq"], F.repeat(F.lit("N"), (x["pos"] - acc["at"]).cast("int")), x["base"]).alias("seq")),
-    )["seq"]
+    gap = lambda x, i: F.when(i > 0, x["pos"] - F.get("p", i - 1)["pos"] - 1).otherwise(F.lit(0)).cast("int")
+    filled = F.array_join(F.transform("p", lambda x, i: F.concat(F.repeat(F.lit("N"), gap(x, i)), x["base"])), "")
     return pieces.select("chrom", F.col("chunk").cast("long").alias("chunk"), first.alias("first"), filled.alias("seq"))
 
 
