@@ -25,7 +25,7 @@ MOST = 2
 #: Words of a block: the unit of apportionment, so a source's error is about this small.
 BLOCK = 16
 #: Documents of a shard, about.  The number of shards follows from the table.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 4_000
 SEED = 17
 
 
