@@ -320,8 +320,8 @@ def successive_distances(regions: DataFrame, order_by: str) -> DataFrame:
 
 
 def hull_by(regions: DataFrame, key: str) -> DataFrame:
-    """Largest region per property: hull, members and count; regions without the property are one each."""
-    named = F.coalesce(F.col(key), F.concat(F.lit("NONAME_"), F.col("chrom"), F.lit("_"), F.col("start").cast("string")))
+    """Largest region per property: hull, members and count; regions without the property are one per place."""
+    named = F.coalesce(F.col(key), F.concat_ws("_", F.lit("NONAME"), F.col("chrom"), F.col("start").cast("string"), F.col("end").cast("string")))
     members = F.array_sort(F.collect_list(F.struct("start", "end")))
     return regions.groupBy("chrom", named.alias("property")).agg(
         F.min("start").alias("start"), F.max("end").alias("end"), members.alias("intervals"), F.count(F.lit(1)).alias("n")

@@ -50,7 +50,7 @@ def spliced(exon_sequences: DataFrame, key: str) -> DataFrame:
 def running_frame(exons: DataFrame, key: str) -> DataFrame:
     """Adds transcript_before, the bases of the transcript before each exon, and its coding frame."""
     rank = F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start"))
-    before = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy(rank, "end").rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce(F.sum(F.col("end") - F.col("start") + 1).over(before), F.lit(0))
     return exons.withColumn("transcript_before", total).withColumn("frame", (total % 3).cast("int"))
 

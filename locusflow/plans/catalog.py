@@ -382,4 +382,4 @@ def encode_del(v: Views) -> DataFrame:
     return genotypes.deletion_matrix(v.genotypes, v.indels, v.axis)
 
 
-from . import catalog_domain  # noqa: E402,F401  registers the remaining queries
+from . import catalog_domain, catalog_library  # noqa: E402,F401  register the remaining queries
