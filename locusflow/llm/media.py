@@ -1,8 +1,9 @@
 """TIFF media columns: encode payloads as images, walk and decode them, one row per page.
 
 The reader follows every image directory, decodes PackBits, LZW and deflate strips or tiles,
-undoes horizontal differencing and returns the samples as rows of bytes.  Both byte orders and
-8-bit samples of any count per pixel (interleaved) are read.
+undoes the integer and floating-point predictors and returns the samples pixel by pixel.  Both byte
+orders, samples of 1, 8, 16 or 32 bits and any count of them per pixel, interleaved or in planes, are
+read.  A file that is damaged or of another form is a row with the reason.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 FIELD_TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CODEC_NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
@@ -30,6 +32,8 @@ CLEAR, END = 256, 257
 UNIT = 192
 #: Rows of a page; longer payloads take several pages.
 PAGE_ROWS = 256
+#: Bytes of a decoded page, at most: what a directory may claim before it counts as damaged.
+LARGEST_PAGE = 1 << 30
 #: Rows of a strip, and the side of a tile.
 STRIP_ROWS, TILE_SIDE = 32, 16
 
@@ -173,7 +177,7 @@ def decode(data: bytes, codec: int, size: int) -> bytes:
     """``size`` bytes of samples from a strip or tile."""
     if codec in (DEFLATE, OLD_DEFLATE):
         try:
-            found = zlib.decompress(data)
+            found = zlib.decompressobj().decompress(data, size)  # no more than the strip holds
         except zlib.error as e:
             raise BadTiff(str(e)) from e
     elif codec == PACKBITS:
@@ -197,7 +201,28 @@ def difference(samples: np.ndarray) -> np.ndarray:
 
 
 def undo_difference(samples: np.ndarray) -> np.ndarray:
-    return np.cumsum(samples, axis=1, dtype=np.uint8)
+    """Running sums of (rows, width, samples per pixel), modulo the samples' width."""
+    return np.cumsum(samples, axis=1, dtype=samples.dtype)
+
+
+def undo_float_difference(raw: np.ndarray, width: int, samples: int) -> np.ndarray:
+    """Rows of 32-bit floats: bytes differenced at a pixel's stride, and split into planes, highest byte first."""
+    rows = raw.shape[0]
+    summed = np.cumsum(raw.reshape(rows, -1, samples), axis=1, dtype=np.uint8)
+    planes = summed.reshape(rows, 4, width * samples).transpose(0, 2, 1)
+    return np.ascontiguousarray(planes).view(">u4").reshape(rows, width, samples)
+
+
+def _samples_of(raw: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
+    """(rows, width, samples) of a decoded strip or tile; one-bit samples are bytes 0 and 1."""
+    lines = np.frombuffer(raw, np.uint8).reshape(rows, -1)
+    if bits == 1:
+        return np.unpackbits(lines, axis=1)[:, : width * samples].reshape(rows, width, samples)
+    if predictor == 3:
+        return undo_float_difference(lines, width, samples)
+    found = np.frombuffer(raw, f"{order}u{bits // 8}").reshape(rows, width, samples)
+    found = found.astype(f"=u{bits // 8}")
+    return undo_difference(found) if predictor == 2 else found
 
 
 # ---------------------------------------------------------------- writer
@@ -283,6 +308,7 @@ class Page:
     width: int
     height: int
     samples: int
+    bits: int
     compression: int
     predictor: int
     tiled: bool
@@ -303,7 +329,7 @@ def read_pages(data: bytes) -> Iterator[Page]:
             fields, at = _directory(data, at, order)
         except struct.error as e:
             raise BadTiff("directory is cut off") from e
-        yield _page(data, fields, index)
+        yield _page(data, fields, index, order)
         index += 1
 
 
@@ -324,32 +350,41 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, .
     return fields, following
 
 
-def _page(data: bytes, fields: dict[int, tuple[int, ...]], index: int) -> Page:
-    try:
-        width, height = fields[WIDTH][0], fields[HEIGHT][0]
-        tiled = TILE_OFFSETS in fields
-        offsets = fields[TILE_OFFSETS if tiled else STRIP_OFFSETS]
-        sizes = fields[TILE_BYTES if tiled else STRIP_BYTES]
-        wide, high = (fields[TILE_WIDTH][0], fields[TILE_HEIGHT][0]) if tiled else (width, fields.get(ROWS_PER_STRIP, (height,))[0])
-    except KeyError as e:
-        raise BadTiff(f"tag {e} is missing") from e
-    samples, codec, predictor = fields.get(SAMPLES, (1,))[0], fields.get(COMPRESSION, (NONE,))[0], fields.get(PREDICTOR, (1,))[0]
-    if set(fields.get(BITS, (1,))) != {8} or fields.get(PLANAR, (1,))[0] != 1 or predictor not in (1, 2):
-        raise BadTiff("only interleaved 8-bit samples are read")
-    across = -(-width // wide)
-    if len(offsets) < across * -(-height // high):
+def _page(data: bytes, fields: dict[int, tuple[int, ...]], index: int, order: str) -> Page:
+    """Pixels in reading order, samples of a pixel together, little-endian."""
+
+    def one(tag: int, default: int) -> int:
+        return (fields.get(tag) or (default,))[0]
+
+    tiled = TILE_OFFSETS in fields
+    offsets = fields.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ())
+    sizes = fields.get(TILE_BYTES if tiled else STRIP_BYTES, ())
+    width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
+    wide, high = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+    bits, codec, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    if min(width, height, samples, wide, high) < 1:
+        raise BadTiff("a size is missing or zero")
+    if set(fields.get(BITS, (1,))) - {bits} or bits not in (1, 8, 16, 32) or one(FILL_ORDER, 1) != 1:
+        raise BadTiff("only samples of 1, 8, 16 or 32 bits, highest bit first, are read")
+    if predictor not in (1, 2, 3) or bits == 1 < predictor or (predictor == 3 and (bits, one(SAMPLE_FORMAT, 1)) != (32, 3)):
+        raise BadTiff(f"predictor {predictor} on {bits} bits")
+    planes = samples if one(PLANAR, 1) == 2 else 1
+    each, stored = samples // planes, -(-bits // 8)
+    across, down = -(-width // wide), -(-height // high)
+    if max(width * height * samples, wide * high * each) * stored > LARGEST_PAGE:
+        raise BadTiff("page is too large")
+    if min(len(offsets), len(sizes)) < across * down * planes:
         raise BadTiff("strips or tiles are missing")
-    out = np.zeros((height, width, samples), np.uint8)
-    for i, (offset, size) in enumerate(zip(offsets, sizes)):
-        y, x = i // across * high, i % across * wide
-        if y >= height:
-            break
+    out = np.zeros((height, width, samples), f"<u{stored}")
+    for i in range(across * down * planes):
+        plane, at = divmod(i, across * down)
+        y, x = at // across * high, at % across * wide
         rows = high if tiled else min(high, height - y)
-        block = np.frombuffer(decode(data[offset : offset + size], codec, rows * wide * samples), np.uint8).reshape(rows, wide, samples)
-        if predictor == 2:
-            block = undo_difference(block)
-        out[y : y + rows, x : x + wide] = block[: height - y, : width - x]
-    return Page(index, width, height, samples, codec, predictor, tiled, out.tobytes())
+        line = -(-wide * each * bits // 8)
+        raw = decode(data[offsets[i] : offsets[i] + sizes[i]], codec, rows * line)
+        block = _samples_of(raw, rows, wide, each, bits, predictor, order)
+        out[y : y + rows, x : x + wide, plane * each : (plane + 1) * each] = block[: height - y, : width - x]
+    return Page(index, width, height, samples, bits, codec, predictor, tiled, out.tobytes())
 
 
 # ---------------------------------------------------------------- operators
@@ -390,7 +425,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 PAGE_SCHEMA = (
-    "doc_id long, n_bytes long, media binary, page int, width int, height int, samples int, "
+    "doc_id long, n_bytes long, media binary, page int, width int, height int, samples int, bits int, "
     "compression string, predictor int, tiled boolean, pixels binary, error string"
 )
 
@@ -399,7 +434,8 @@ def decode_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     """One row per page of each TIFF, pages of a file in order and next to each other.
 
     ``media`` is carried on a file's first row only.  A null or unreadable file gives one row with
-    page null and the reason in ``error``; pages before a damaged one are kept.  Null ids stay null,
+    page null and the reason in ``error``; pages before a damaged one are kept.  ``pixels`` are
+    little-endian samples of ``bits`` each (one-bit samples: bytes 0 and 1).  Null ids stay null,
     repeated rows stay, an empty table gives no rows, other columns are ignored.
     """
     carried = F.col(n_bytes_col) if n_bytes_col else F.lit(None).cast("long")
@@ -416,11 +452,11 @@ def decode_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                         if data is None:
                             raise BadTiff("no media")
                         for p in read_pages(data):
-                            out.append((key, n_bytes, first, p.index, p.width, p.height, p.samples, CODEC_NAMES[p.compression], p.predictor, p.tiled, p.pixels, None))
+                            out.append((key, n_bytes, first, p.index, p.width, p.height, p.samples, p.bits, CODEC_NAMES[p.compression], p.predictor, p.tiled, p.pixels, None))
                             first = None
                     except BadTiff as e:
-                        out.append((key, n_bytes, first, *[None] * 8, str(e)))
-                types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 4, pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+                        out.append((key, n_bytes, first, *[None] * 9, str(e)))
+                types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 5, pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     return rows.mapInArrow(walk, PAGE_SCHEMA)

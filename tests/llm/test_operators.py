@@ -105,6 +105,78 @@ def test_big_endian_grey_tiff_without_compression():
     assert page.pixels == b"abcdefgh" and (page.width, page.height, page.samples) == (4, 2, 1)
 
 
+def tiff_of(order, samples, bits, blocks, codec=1, predictor=1, planar=1, tile=None, rows=None, form=1):
+    """A file of one page from ready strips or tiles; ``samples`` is (height, width, samples per pixel)."""
+    import struct
+
+    height, width, n = samples
+    body, offsets = b"", []
+    for block in blocks:
+        offsets.append(8 + len(body))
+        body += block
+    body += b"\0" * (len(body) % 2)
+    places = [(324, offsets), (325, [len(b) for b in blocks])] if tile else [(273, offsets), (279, [len(b) for b in blocks])]
+    fields = {256: (4, [width]), 257: (4, [height]), 258: (3, [bits] * n), 259: (3, [codec]), 277: (3, [n]), 284: (3, [planar]), 317: (3, [predictor]), 339: (3, [form] * n)}
+    fields |= {tag: (4, values) for tag, values in places}
+    fields |= {322: (4, [tile]), 323: (4, [tile])} if tile else {278: (4, [rows or height])}
+    at = 8 + len(body)
+    spill, entries, behind = b"", b"", at + 2 + 12 * len(fields) + 4
+    for tag, (kind, values) in sorted(fields.items()):
+        packed = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        entries += struct.pack(order + "HHI", tag, kind, len(values))
+        entries += packed.ljust(4, b"\0") if len(packed) <= 4 else struct.pack(order + "I", behind + len(spill))
+        spill += packed if len(packed) > 4 else b""
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at)
+    return head + body + struct.pack(order + "H", len(fields)) + entries + struct.pack(order + "I", 0) + spill
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("bits", [8, 16, 32])
+def test_wide_samples_with_the_integer_predictor(order, bits):
+    values = np.random.default_rng(bits).integers(0, 1 << bits, (7, 5, 3), dtype=np.uint64).astype(f"<u{bits // 8}")
+    stored = values.copy()
+    stored[:, 1:] -= values[:, :-1]
+    strips = [zlib.compress(stored[y : y + 3].astype(f"{order}u{bits // 8}").tobytes()) for y in (0, 3, 6)]
+    (page,) = media.read_pages(tiff_of(order, values.shape, bits, strips, media.DEFLATE, 2, rows=3))
+    assert page.bits == bits and page.pixels == values.tobytes()
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_floating_point_predictor(order):
+    values = np.random.default_rng(5).standard_normal((4, 6, 2)).astype("<f4")
+    rows = []
+    for line in values:
+        big = line.reshape(-1).astype(">f4").tobytes()
+        planes = b"".join(big[k::4] for k in range(4))
+        spread = np.frombuffer(planes, np.uint8).reshape(-1, 2)
+        rows.append(np.concatenate([spread[:1], spread[1:] - spread[:-1]]).tobytes())
+    (page,) = media.read_pages(tiff_of(order, values.shape, 32, [media.lzw(b"".join(rows))], media.LZW, 3, form=3))
+    assert page.pixels == values.tobytes()
+
+
+def test_planes_tiles_and_single_bits():
+    values = np.random.default_rng(6).integers(0, 256, (20, 18, 2)).astype(np.uint8)
+    wide = np.zeros((32, 32, 2), np.uint8)
+    wide[:20, :18] = values
+    tiles = [media.packbits(wide[y : y + 16, x : x + 16, k].tobytes()) for k in (0, 1) for y in (0, 16) for x in (0, 16)]
+    (page,) = media.read_pages(tiff_of("<", values.shape, 8, tiles, media.PACKBITS, planar=2, tile=16))
+    assert page.pixels == values.tobytes() and page.tiled
+    bits = np.random.default_rng(7).integers(0, 2, (9, 13, 1)).astype(np.uint8)
+    strips = [media.packbits(np.packbits(bits[y : y + 4, :, 0], axis=1).tobytes()) for y in (0, 4, 8)]
+    (page,) = media.read_pages(tiff_of(">", bits.shape, 1, strips, media.PACKBITS, rows=4))
+    assert page.pixels == bits.tobytes()
+
+
+@pytest.mark.parametrize("change", [{"tile": 0}, {"samples": (0, 4, 1)}, {"samples": (1 << 30, 1 << 30, 1)}, {"bits": 12}, {"predictor": 3}, {"predictor": 9}, {"codec": 7}])
+def test_impossible_tiffs_are_refused(change):
+    given = {"order": "<", "samples": (4, 4, 1), "bits": 8, "blocks": [b"a" * 16]} | change
+    data = tiff_of(**given)
+    if change == {"tile": 0}:
+        data = tiff_of(**(given | {"tile": 16})).replace((16).to_bytes(4, "little"), bytes(4))
+    with pytest.raises(media.BadTiff):
+        list(media.read_pages(data))
+
+
 def test_damaged_tiff_is_a_row_with_its_reason(spark):
     good = media.write_tiff(b"a" * 192)
     rows = spark.createDataFrame([(1, None), (2, b""), (3, good[:-30]), (4, b"II*\0\x08\0\0\0" + good[8:20]), (5, bytearray(good))], "doc_id long, media binary")
