@@ -7,7 +7,9 @@ are aligned the same way.  Coverage is the share of template words that are matc
 Passages are found by seeds: rare template words, so many of them that a passage covering the
 threshold must hold one.  Each occurrence of a seed opens a window of the template's length, placed
 by where the template has the seed; it ends where the passage of the seed's next occurrence starts,
-so a license stated twice is two passages and its words are unique in each.
+so a license stated twice is two passages and its words are unique in each.  Occurrences that no
+passage holds then are tried again in windows that run on past their neighbours, which may be mere
+mentions, up to the passages found.
 """
 
 from __future__ import annotations
@@ -157,6 +159,17 @@ def passages(words: list[bytes], template: Template, coverage: float) -> list[tu
     n, slack = len(template.words), int(0.25 * len(template.words)) + 1
     uses = Counter(template.words)
     found: list[tuple[int, int, int]] = []
+
+    def aligned(left: int, right: int) -> tuple[int, int, int] | None:
+        matches = patience(words[left:right], list(template.words))
+        if len(matches) >= coverage * n - 1e-9:
+            return left + matches[0][0], left + matches[-1][0] + 1, len(matches)
+        return None
+
+    def keep(passage: tuple[int, int, int] | None) -> None:
+        if passage and not any(s < passage[1] and passage[0] < e for s, e, _ in found):
+            found.append(passage)
+
     for seed in sorted(template.seeds):
         spots = places[seed]
         lead = template.words.index(seed)
@@ -172,12 +185,29 @@ def passages(words: list[bytes], template: Template, coverage: float) -> list[tu
                     left = max(left, min(start, spots[i - 1] - lead + n))
                 if i + 1 < len(spots):
                     right = min(right, max(at + 1, spots[i + 1] - lead))
-            left, right = max(0, left), min(len(words), right)
-            matches = patience(words[left:right], list(template.words))
-            if len(matches) >= coverage * len(template.words) - 1e-9:
-                start, end = left + matches[0][0], left + matches[-1][0] + 1
-                if not any(s < end and start < e for s, e, _ in found):
-                    found.append((start, end, len(matches)))
+            keep(aligned(max(0, left), min(len(words), right)))
+    # A neighbouring occurrence may be a mere mention: wider windows for the occurrences left over.
+    for seed in sorted(template.seeds):
+        spots = places[seed]
+        for i, at in enumerate(spots):
+            if any(s <= at < e for s, e, _ in found):
+                continue
+            first = max([0, *(e for _, e, _ in found if e <= at)])
+            last = min([len(words), *(s for s, _, _ in found if s > at)])
+            options: list[tuple[int, int, int]] = []
+            for lead in (j for j, w in enumerate(template.words) if w == seed):
+                start, end = at - lead, at - lead + n
+                lefts, rights = {start - slack, start}, {end + slack, end}
+                if i:
+                    lefts.add(max(start - slack, (spots[i - 1] + at) // 2 + 1))
+                if i + 1 < len(spots):
+                    rights.add(min(end + slack, (at + spots[i + 1]) // 2 + 1))
+                lefts, rights = {max(first, x) for x in lefts}, {min(last, x) for x in rights}
+                # No alignment matches more words than the widest window has in common with the template.
+                if (Counter(words[min(lefts) : max(rights)]) & uses).total() >= coverage * n - 1e-9:
+                    options += [p for x in lefts for y in rights if (p := aligned(x, y))]
+            if options:
+                keep(min(options, key=lambda p: (-p[2], p[1] - p[0], p[0])))
     return sorted(found)
 
 

@@ -685,6 +685,20 @@ def test_license_passages(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_license_beside_mentions_of_its_words(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    rows = [
+        (1, f"{gpl} See the GNU General Public License for details"), (2, "Licensed under CC BY-NC 4.0. CC BY-NC forbids sale"),
+        (3, f"The GNU General Public License: {gpl}"), (4, f"{gpl} See the GNU General Public License. {gpl}"), (5, "See the GNU General Public License. " * 4),
+    ]
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault((r.doc_id, r.license), []).append((r.start_word, r.end_word, r.matched))
+    assert found[1, "GPL-3.0-notice"] == [(0, 12, 12)] and found[2, "CC-BY-NC-4.0-notice"] == [(0, 7, 7)]
+    assert found[3, "GPL-3.0-notice"] == [(5, 17, 12)] and sorted(found[4, "GPL-3.0-notice"]) == [(0, 12, 12), (18, 30, 12)]
+    assert not any(k == 5 for k, _ in found)
+
+
 def test_patience_keeps_order_and_equality():
     draw = random.Random(13)
     for _ in range(200):
