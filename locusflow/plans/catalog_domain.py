@@ -485,6 +485,18 @@ def variant_effects(v: Views) -> DataFrame:
     return effects.variant_effects(v.variants, cds, seqs)
 
 
+@query(
+    _EFFECT.replace("t.name", "'R' || cast(t.row_id AS varchar) AS name").replace(" AND t.row_id IN (SELECT max(row_id) FROM regions GROUP BY name)", ""),
+    bases=_BASES, rs=_REGION_SEQ,
+)
+def variant_effects_by_region(v: Views) -> DataFrame:
+    """As above over all regions, each an element of its own name."""
+    exons = v.regions.withColumn("name", F.concat(F.lit("R"), F.col("row_id").cast("string")))
+    seqs = sequence.extract_chunked(exons, v.chunks, "row_id", _CHUNK).select("name", "seq")
+    cds = exons.select("chrom", "start", "end", "name", "strand", F.lit("CDS").alias("element_type"), F.lit(0).cast("long").alias("before"))
+    return effects.variant_effects(v.variants, cds, seqs)
+
+
 def _gff(v: Views) -> DataFrame:
     attributes = F.concat(F.lit("ID=x"), F.col("row_id").cast("string"), F.lit(";gene_id=G"), F.substring("name", 2, 9), F.lit(";transcript_id="), F.col("name"))
     return v.regions.select("chrom", F.lit("exon").alias("feature"), "start", "end", "strand", F.lit(".").alias("frame"), attributes.alias("attributes"))

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from locusflow.operators.overlap import points_in
+from locusflow.plans.views import Views
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,3 +41,11 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", sorted(k for k in entry.queries() if k not in entry.oracle_sql() and not k.startswith(("op", "pipeline"))))
 def test_query_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() >= 0
+
+
+def test_effects_cover_every_region(spark):
+    v = Views(spark, SF)
+    hits = points_in(v.variants, v.regions)
+    found = entry.queries()["variant_effects_by_region"](spark, SF)
+    wanted = sorted((r.vid, f"R{r.r_row_id}") for r in hits.select("vid", "r_row_id").collect())
+    assert sorted((r.vid, r.name) for r in found.select("vid", "name").collect()) == wanted
