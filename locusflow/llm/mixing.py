@@ -26,6 +26,9 @@ MOST = 2
 BLOCK = 16
 #: Documents of a shard, about.  The number of shards follows from the table.
 SHARD_DOCS = 4_000
+#: Blocks of a shard, about, at least: the partly filled last block of a shard counts as a whole one, which
+#: misses a source's target by half a block a shard.
+SHARD_BLOCKS = 256
 SEED = 17
 
 
@@ -94,15 +97,25 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     ]
 
 
+def source_shards(sized: DataFrame, shard_docs: int, block: int) -> DataFrame:
+    """(_of, shards), one row per source: as many as the table has of ``shard_docs`` documents, as far as the
+    source's own words make shards of ``SHARD_BLOCKS`` blocks."""
+    most = max(1, -(-sized.count() // shard_docs))
+    own = F.floor(F.sum("size") / (SHARD_BLOCKS * block))
+    shards = sized.groupBy(F.col("source").alias("_of")).agg(F.least(F.lit(most), F.greatest(F.lit(1), own)).cast("long").alias("shards"))
+    # Written out so that its true size decides the join's form: documents are not shuffled for a few sources.
+    return materialize(shards, "shards")
+
+
 def shard_quotas(
-    sized: DataFrame, shards: int, weights: tuple[int, ...], share: float, most: int, block: int, seed: int
+    sized: DataFrame, shards: DataFrame, weights: tuple[int, ...], share: float, most: int, block: int, seed: int
 ) -> DataFrame:
     """One row per source and shard: what is read of its stream.
 
     ``passes`` whole readings, then the words [begin, end) and, where that runs past the last
     block, [0, wrapped).
     """
-    shard_sizes = sized.groupBy("source", _shard(shards, seed).alias("shard")).agg(F.sum("size").alias("shard_size"))
+    shard_sizes = _dealt(sized, shards, seed).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     targets = source_targets(shard_sizes.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, share, most)
     everything = Window.partitionBy(F.lit(0))
     claims = targets.withColumn("seats", F.round(F.sum("target").over(everything) / block).cast("long"))
@@ -130,13 +143,15 @@ def shard_quotas(
     )
 
 
-def _shard(shards: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw")), F.lit(shards))
+def _dealt(sized: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
+    """Adds ``shard``, a document's place among the shards of its source."""
+    joined = sized.join(shards, F.col("source").eqNullSafe(F.col("_of")))
+    return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw")), F.col("shards"))).drop("_of", "shards")
 
 
-def _spans(sized: DataFrame, quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+def _spans(sized: DataFrame, quotas: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
     """Adds to each document what is read of it; other columns of ``sized`` pass through."""
-    dealt = sized.withColumn("shard", _shard(shards, seed))
+    dealt = _dealt(sized, shards, seed)
     stream = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
@@ -171,7 +186,7 @@ def mix(
     than id, text and source are ignored.  Reruns on the same rows agree.
     """
     sized = materialize(docs.select(*_sized(docs, id_col, text_col, source_col, seed)), "sizes")
-    shards = max(1, -(-sized.count() // shard_docs))
+    shards = source_shards(sized, shard_docs, block)
     quotas = shard_quotas(sized, shards, weights, share, most, block, seed)
     taken = F.col("passes") * F.col("size") + (F.col("first_to") - F.col("first_from")) + F.col("second_to")
     return _spans(sized, quotas, shards, seed).select(
@@ -200,7 +215,7 @@ def mixed(
     """
     names = docs.columns
     sized = materialize(docs.select(*_sized(docs, id_col, text_col, source_col, seed)), "sizes")
-    shards = max(1, -(-sized.count() // shard_docs))
+    shards = source_shards(sized, shard_docs, block)
     quotas = shard_quotas(sized, shards, weights, share, most, block, seed)
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     read = _spans(docs.select(*_sized(docs, id_col, text_col, source_col, seed), row), quotas, shards, seed)

@@ -488,6 +488,14 @@ def test_mix_over_many_shards(docs):
     assert all(abs(taken[k] - wanted[k]) <= 0.03 * wanted[k] for k in wanted)
 
 
+def test_a_tiny_source_beside_a_hot_one_meets_its_target(spark):
+    hot = spark.range(6_000).selectExpr("id AS doc_id", "concat_ws(' ', array_repeat(concat('w', id), 40)) AS text", "'hot' AS source")
+    tiny = spark.range(6_000, 6_300).selectExpr("id AS doc_id", "concat_ws(' ', array_repeat('t', 10)) AS text", "'tiny' AS source")
+    frame = hot.unionByName(tiny)
+    taken, wanted = check_mix(mixing.mix(frame, shard_docs=20).select("doc_id", "size", "source_size", "target", "taken"), frame)
+    assert all(abs(taken[k] - wanted[k]) <= 0.01 * wanted[k] for k in wanted)
+
+
 def test_mix_of_odd_rows(odd, empty):
     check_mix(mixing.mix(odd), odd)
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
