@@ -9,7 +9,8 @@ words and an end.  Byte pieces make every text scorable.
 
 Training documents may carry a class (their language).  Each class then has a model of its own that
 leaves its discounted mass to the overall one, and a text's probability is the sum over classes; the
-class of the scored text is not looked at.
+class of the scored text is not looked at.  Classes beyond the most frequent ones and null are one
+class together.
 
 Words are counted by partial counts per partition and one grouped sum.  For the word-level base
 score, frequent words come from a broadcast table of bounded size and all others from a join.
@@ -40,7 +41,8 @@ FREQUENT_BYTES = 64
 PARTIAL = 300_000
 ROUNDS = 1
 SMOOTHING = 0.1
-#: Classes with a model of their own, at most: the most frequent ones of the training documents.
+#: Classes with a model of their own, at most: the most frequent ones of the training documents.  All
+#: others share one.
 CLASSES = 8
 #: Mark of a word's start, as the vocabulary writes it.
 START = "▁".encode()
@@ -178,20 +180,23 @@ def vocabulary_pieces(vocabulary: str) -> tuple[list[bytes], np.ndarray]:
 # ---------------------------------------------------------------- training
 
 
-def class_names(docs: DataFrame, id_col: str, class_col: str | None, most: int = CLASSES) -> list[str]:
-    """The most frequent classes of the training documents; none if there is no such column."""
+def class_names(docs: DataFrame, id_col: str, class_col: str | None, most: int = CLASSES) -> tuple[list[str], bool]:
+    """The most frequent classes of the training documents, none if there is no such column; whether others, null among them, remain."""
     if class_col is None or class_col not in docs.columns:
-        return []
+        return [], False
     crc = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS))
-    training = docs.where(F.col(class_col).isNotNull() & ~F.coalesce(crc == HELD_OUT, F.lit(False)))
+    training = docs.where(~F.coalesce(crc == HELD_OUT, F.lit(False)))
     sizes = training.groupBy(F.col(class_col).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return [r.name for r in sizes.orderBy(F.desc("n"), "name").limit(most).collect()]
+    first = sizes.orderBy(F.col("name").isNull(), F.desc("n"), "name").limit(most + 1).collect()
+    names = [r.name for r in first[:most] if r.name is not None]
+    return names, len(first) > len(names)
 
 
 def word_counts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, classes: tuple[str, ...] = (), partial: int = PARTIAL
-) -> DataFrame:
-    """(word, c, c0, c1, ...) over all training documents: in all and by class.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, classes: tuple[str, ...] = (),
+    rest: bool = False, partial: int = PARTIAL,
+) -> DataFrame:
+    """(word, c, c0, c1, ...) over all training documents: in all, by class and, if ``rest``, for all other classes.
 
     The end of a text counts once per document, as b''.
     """
@@ -218,7 +223,8 @@ def word_counts(
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), own.cast("int").alias("class"))
     partials = texts.mapInArrow(count, "word binary, class int, c long")
-    by_class = [F.sum(F.when(F.col("class") == i, F.col("c")).otherwise(F.lit(0))).alias(f"c{i}") for i in range(len(classes))]
+    groups = [*range(len(classes)), *([-1] if rest else [])]
+    by_class = [F.sum(F.when(F.col("class") == g, F.col("c")).otherwise(F.lit(0))).alias(f"c{i}") for i, g in enumerate(groups)]
     return partials.groupBy("word").agg(F.sum("c").alias("c"), *by_class)
 
 
@@ -332,16 +338,17 @@ def score(
 
     Both scores are log10 probabilities of the lower-cased words and an end: base_score by
     smoothed word counts, score by the lattice.  Null text counts as empty: only the end is scored.
-    A null id is a training row.  Repeated rows count and are scored as often as they occur.  A null
-    class, and classes beyond the most frequent ones, train the overall model only; a table without
+    A null id is a training row.  Repeated rows count and are scored as often as they occur.  Null
+    and classes beyond the most frequent ones are one class, whose prior is their share; a table without
     the class column has no classes.  An empty table gives no rows; without training rows every word
     is scored by the subword paths alone, with even smoothed weights.  Columns other than id, text
     and class are ignored.
     """
     spark = docs.sparkSession
-    classes = class_names(docs, id_col, class_col)
-    counts = materialize(word_counts(docs, id_col, text_col, class_col, tuple(classes)), "words")
-    columns = ["c", *(f"c{i}" for i in range(len(classes)))]
+    classes, rest = class_names(docs, id_col, class_col)
+    rest = rest and bool(classes)
+    counts = materialize(word_counts(docs, id_col, text_col, class_col, tuple(classes), rest), "words")
+    columns = ["c", *(f"c{i}" for i in range(len(classes) + rest))]
 
     def many(condition, value):
         return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
@@ -445,11 +452,11 @@ def score(
     counted = passed.select(row.alias("row"), F.inline(F.concat(F.array(header), rare))).join(counts, "word", "left")
     back = overall.log10_column(F.col("c"), F.col("paths"))
     parts = [m.log10_column(F.col(f"c{i}"), back) for i, m in enumerate(own)] or [back]
-    rest = F.coalesce("c", F.lit(0))
+    known = F.coalesce("c", F.lit(0))
     summed = counted.groupBy("row").agg(
         *[F.max(n).alias(n) for n in carried],
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(F.lit(0))).alias("rare_known"),
-        F.sum(F.col("times") * F.log10((rest + 0.5) / F.lit(float(floor)))).alias("rare_base"),
+        F.sum(F.col("times") * F.log10((known + 0.5) / F.lit(float(floor)))).alias("rare_base"),
         *[F.sum(F.col("times") * part).alias(f"l{i}") for i, part in enumerate(parts)],
     )
     # The sum over classes in log space: the best class is taken out first.

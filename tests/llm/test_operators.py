@@ -359,6 +359,17 @@ def test_scores_of_odd_rows(odd, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_rare_and_null_classes_share_a_model(spark):
+    """Each of eleven classes, one null, has words of its own: no score may pay a back-off mass for every word."""
+    langs = [f"l{i:02d}" for i in range(10)] + [None]
+    rows = [(1_000 * i + j, " ".join(f"w{i}x{(j + k) % 30}" for k in range(30)), lang) for i, lang in enumerate(langs) for j in range(30 - 2 * i)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = {r.doc_id: r.score for r in lm.score(frame, class_col=None).collect()}
+    for frequent in (lm.FREQUENT_WORDS, 0):
+        found = {r.doc_id: r.score for r in lm.score(frame, frequent=frequent).collect()}
+        assert len(found) == len(rows) and all(found[k] > plain[k] for k in found)
+
+
 def test_scores_do_not_depend_on_the_tiers(docs):
     a, b = ({r.doc_id: r.score for r in lm.score(docs, frequent=n).collect()} for n in (0, 10_000))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 * abs(a[k]) for k in a)
