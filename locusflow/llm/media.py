@@ -235,7 +235,7 @@ class Layout:
     tiled: bool
 
 
-#: Forms a page is stored in, taken in turn by the number of its rows.
+#: Forms a page is stored in, taken in turn by its index plus the number of its rows.
 LAYOUTS = (
     Layout(PACKBITS, 1, False),
     Layout(DEFLATE, 2, False),
@@ -254,7 +254,7 @@ def write_tiff(payload: bytes, page_rows: int = PAGE_ROWS, layouts: tuple[Layout
     parts, at, link = [b"II*\0", b""], 8, 1
     for top in range(0, len(rows), page_rows):
         page = rows[top : top + page_rows]
-        layout = layouts[len(page) % len(layouts)]
+        layout = layouts[(top // page_rows + len(page)) % len(layouts)]
         blocks = [encode(b, layout.codec) for b in _blocks(page, layout)]
         offsets = [at + sum(map(len, blocks[:i])) for i in range(len(blocks))]
         body = b"".join(blocks)

@@ -80,6 +80,13 @@ def test_tiff_round_trip(layout, data):
     assert b"".join(p.pixels for p in pages) == data and len(pages) == -(-len(data) // 19_200)
 
 
+def test_full_pages_take_all_forms():
+    data = bytes(range(192)) * 16 * 7
+    pages = list(media.read_pages(media.write_tiff(data, 16)))
+    assert {(p.compression, p.predictor, p.tiled) for p in pages} == {(x.codec, x.predictor, x.tiled) for x in media.LAYOUTS}
+    assert b"".join(p.pixels for p in pages) == data
+
+
 @pytest.mark.parametrize("codec", [media.LZW, media.PACKBITS, media.DEFLATE, media.NONE])
 def test_codec_round_trip(codec):
     draw = random.Random(2)
