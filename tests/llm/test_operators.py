@@ -261,7 +261,7 @@ def test_search_is_exact_while_all_leaves_are_met(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, SF, "embeddings").collect()]
     rows += [(100_000 + i, rows[3][1]) for i in range(60)] + [(200_001, None), (200_002, [0.0] * 64), (200_003, [float("nan")] + [1.0] * 63), (200_004, [None] + [1.0] * 63), (200_005, [float("inf")] * 64), (200_006, [1.0]), (200_050, []), (200_100, None)]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, v int")
-    found = sorted(tuple(r) for r in ann.search(frame).collect())
+    found = sorted(tuple(r) for r in ann.search(frame, reach=1e9).collect())
     want = sorted(brute_nearest([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows if v is None or len(v) in (0, 64)]))
     assert [(a, b, c) for a, b, c, _ in found] == [(a, b, c) for a, b, c, _ in want]
     assert np.allclose([x[3] for x in found], [x[3] for x in want], atol=1e-12)
@@ -270,10 +270,50 @@ def test_search_is_exact_while_all_leaves_are_met(spark):
 def test_search_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
     want = {(q, v) for q, _, v, _ in brute_nearest(rows)}
-    found = {(r.query_id, r.vec_id) for r in ann.search(table(spark, "/root/testdata/sf0.1", "embeddings"), searched=4_000, block=100).collect()}
+    found = {(r.query_id, r.vec_id) for r in ann.search(table(spark, "/root/testdata/sf0.1", "embeddings"), block=100).collect()}
     assert len(found & want) / len(want) >= 0.9
 
 
+def test_search_of_a_table_of_many_leaves_scores_a_part_of_it(spark):
+    draw = np.random.default_rng(5)
+    points = (draw.standard_normal((20_000, 6)) @ draw.standard_normal((6, 32))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    units = ann._unit(points.astype(float))
+    queries = np.arange(0, 20_000, 50)
+    cosines = units[queries] @ units.T
+    cosines[np.arange(len(queries)), queries] = -2
+    want = {(int(q), int(v)) for q, near in zip(queries, np.argsort(-cosines, axis=1)[:, :5]) for v in near}
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len({(r.query_id, r.vec_id) for r in found} & want) / len(want) >= 0.9
+    # The same walk outside Spark: the share of rows that lie in the leaves a query meets.
+    forest = ann.fit_forest(units, ann.TREES, ann.LEAF, ann.SEED)
+    placed = [forest.leaf_of(units, root) for root in forest.roots]
+    limits = ann.REACH * forest.levels() / 32 * ann.squared_radius(units[queries], units[::3], 5)
+    shares = []
+    for q, limit in zip(queries, limits):
+        met = forest.probe(units[q], np.ones(forest.leaves, bool), limit)
+        shares.append(np.logical_or.reduce([np.isin(leaves, met) for leaves in placed]).mean())
+    assert np.mean(shares) < 0.2
+
+
+def test_search_of_repeated_rows(spark):
+    hot, near = [1.0, 0.0], [(3, [1.0, 0.1]), (4, [1.0, 0.2])]
+    schema = "vec_id long, embedding array<float>"
+    rows = [(50, hot)] * 7 + [(60, hot), (70, hot)] + near
+    found = [(r.query_id, r.rank, r.vec_id) for r in ann.search(spark.createDataFrame(rows, schema), reach=1e9).orderBy("rank").collect()]
+    assert found == [(50, 1, 60), (50, 2, 70), (50, 3, 3), (50, 4, 4)]
+    rows = [(50, [1.0, 0.05])] + [(1, hot)] * 7 + near
+    found = [(r.rank, r.vec_id) for r in ann.search(spark.createDataFrame(rows, schema), reach=1e9).orderBy("rank").collect()]
+    assert sorted(v for _, v in found) == [1, 3, 4] and [r for r, _ in found] == [1, 2, 3]
+
+
+def test_search_of_doubles_and_clashing_columns(spark):
+    rows = [(i, [math.cos(i / 7), math.sin(i / 7), 1e-30], i, "x") for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf int, v string")
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(frame, reach=1e9).collect())
+    assert found == [x[:3] for x in sorted(brute_nearest([r[:2] for r in rows]))]
+
+
 def test_search_of_few_rows(spark):
     for rows in ([], [(50, [1.0, 0.0])], [(50, [1.0, 0.0]), (1, [1.0, 1.0])], [(50, None)]):
         frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
