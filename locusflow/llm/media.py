@@ -426,15 +426,15 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 PAGE_SCHEMA = (
     "doc_id long, n_bytes long, media binary, page int, width int, height int, samples int, bits int, "
-    "compression string, predictor int, tiled boolean, pixels binary, error string"
+    "compression string, predictor int, tiled boolean, pixels binary, error string, first boolean"
 )
 
 
 def decode_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", n_bytes_col: str | None = None) -> DataFrame:
     """One row per page of each TIFF, pages of a file in order and next to each other.
 
-    ``media`` is carried on a file's first row only.  A null or unreadable file gives one row with
-    page null and the reason in ``error``; pages before a damaged one are kept.  ``pixels`` are
+    ``first`` marks a file's first row, the only one that carries ``media``.  A null or unreadable file
+    gives one row with page null and the reason in ``error``; pages before a damaged one are kept.  ``pixels`` are
     little-endian samples of ``bits`` each (one-bit samples: bytes 0 and 1).  Null ids stay null,
     repeated rows stay, an empty table gives no rows, other columns are ignored.
     """
@@ -447,16 +447,17 @@ def decode_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
             for part in _slices(batch, 128):
                 out = []
                 for key, n_bytes, data in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    first = data
+                    first = True
                     try:
                         if data is None:
                             raise BadTiff("no media")
                         for p in read_pages(data):
-                            out.append((key, n_bytes, first, p.index, p.width, p.height, p.samples, p.bits, CODEC_NAMES[p.compression], p.predictor, p.tiled, p.pixels, None))
-                            first = None
+                            form = (p.index, p.width, p.height, p.samples, p.bits, CODEC_NAMES[p.compression], p.predictor, p.tiled, p.pixels)
+                            out.append((key, n_bytes, data if first else None, *form, None, first))
+                            first = False
                     except BadTiff as e:
-                        out.append((key, n_bytes, first, *[None] * 9, str(e)))
-                types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 5, pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+                        out.append((key, n_bytes, data if first else None, *[None] * 9, str(e), first))
+                types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 5, pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     return rows.mapInArrow(walk, PAGE_SCHEMA)
@@ -466,10 +467,12 @@ def page_digests(pages: DataFrame) -> DataFrame:
     """Folds the neighbouring page rows of a file into one row of digests and a feature string.
 
     Reads :func:`decode_pages` as it streams by, so no payload is shuffled or held beyond a file.
+    One row per file, null ones included: a null medium has payload_bytes 0, null media_bytes, digests
+    and feature, and its reason in ``error``; of a damaged file the pages before the damage count.
     """
     from hashlib import sha256
 
-    fields = ["doc_id", "n_bytes", "media", "page", "width", "height", "samples", "compression", "predictor", "tiled", "pixels", "error"]
+    fields = ["doc_id", "n_bytes", "media", "page", "width", "height", "samples", "compression", "predictor", "tiled", "pixels", "error", "first"]
 
     def fold(batches):
         held = None
@@ -477,17 +480,19 @@ def page_digests(pages: DataFrame) -> DataFrame:
             done = []
             for row in zip(*(batch.column(n).to_pylist() for n in fields)):
                 row = dict(zip(fields, row))
-                if row["media"] is not None:
+                if row["first"]:
                     if held:
                         done.append(_digest(held))
                     held = [row]
-                elif held:
+                else:
                     held.append(row)
             yield _digested(done)
         yield _digested([_digest(held)] if held else [])
 
     def _digest(rows):
         payload, media = b"".join(r["pixels"] for r in rows if r["pixels"] is not None), rows[0]["media"]
+        if media is None:
+            return (rows[0]["doc_id"], rows[0]["n_bytes"], 0, *[None] * 5, rows[0]["error"])
         histogram = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=8).tolist()
         forms = [f"{r['width']}x{r['height']}x{r['samples']}:{r['compression']}{r['predictor']}{'t' if r['tiled'] else 's'}" for r in rows if r["page"] is not None]
         feature = f"pages={len(forms)};{','.join(forms)};sum={int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64))};bins={','.join(map(str, histogram))}"
