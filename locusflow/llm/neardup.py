@@ -271,8 +271,10 @@ def keep_one(
     prints, rooted = _labelled(docs, id_col, text_col, shingle, seed, max_bits, segment_bits, blocks)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(rooted, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("_kept_id"), F.col("best.digest").alias("_kept_digest"))
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)
-    tagged = docs.withColumn("_digest", digest)
-    same = tagged[id_col].eqNullSafe(kept["_kept_id"]) & (tagged["_digest"] == kept["_kept_digest"])
-    return tagged.join(kept, same, "left_semi").dropDuplicates([id_col, "_digest"]).drop("_digest")
+    kept = best.select(F.col("best.doc_id").alias("id"), F.col("best.digest").alias("digest"))
+    # The row goes as one struct beside its key, so no column of it can clash with the key's names.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    digest = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")), 256)
+    tagged = docs.select(F.col(f"`{id_col}`").alias("own_id"), digest.alias("own_digest"), row)
+    same = tagged["own_id"].eqNullSafe(kept["id"]) & (tagged["own_digest"] == kept["digest"])
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_digest"]).select("row.*")
