@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABELLED = 8_000
@@ -197,13 +197,18 @@ class Columns:
     n_chars: str = "n_chars"
 
 
-def _views(c: Columns) -> list:
+def _views(docs: DataFrame, c: Columns) -> list:
+    """Both views' columns; a metadata column the table does not have counts as null."""
+
+    def metadata(name: str, kind: str) -> Column:
+        return F.col(f"`{name}`").cast(kind) if name in docs.columns else F.lit(None).cast(kind)
+
     return [
-        F.col(c.id).cast("long").alias("doc_id"),
-        F.coalesce(F.col(c.text).cast("binary"), F.lit(b"")).alias("text"),
-        F.col(c.lang).cast("string").alias("lang"),
-        F.col(c.source).cast("string").alias("source"),
-        F.col(c.n_chars).cast("double").alias("n_chars"),
+        F.col(f"`{c.id}`").cast("long").alias("doc_id"),
+        F.coalesce(F.col(f"`{c.text}`").cast("binary"), F.lit(b"")).alias("text"),
+        metadata(c.lang, "string").alias("lang"),
+        metadata(c.source, "string").alias("source"),
+        metadata(c.n_chars, "double").alias("n_chars"),
     ]
 
 
@@ -221,26 +226,36 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "m"])
 
 
+def drawn_ids(docs: DataFrame, labels: DataFrame, columns: Columns, label_col: str, labelled: int, pool: int, seed: int) -> tuple[dict[int, int], list[int]]:
+    """Labels of at most ``labelled`` ids that ``docs`` holds, and at most ``pool`` ids without a label, both by a hash of the id."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    known = known.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+    ids = docs.select(F.col(f"`{columns.id}`").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    draw = F.xxhash64("doc_id", F.lit(seed))
+    matched = ids.join(known, "doc_id", "left").withColumn("unknown", F.col("y").isNull())
+    first = matched.where("not unknown").orderBy(draw, "doc_id").limit(labelled)
+    others = matched.where("unknown").orderBy(draw, "doc_id").limit(pool)
+    rows = first.unionByName(others).select("doc_id", "y").collect()
+    return {r.doc_id: r.y for r in rows if r.y is not None}, [r.doc_id for r in rows if r.y is None]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), label_col: str = "quality",
     labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, seed: int = SEED,
 ) -> CoTrained | None:
     """Co-trains on bounded samples; None if the labelled rows found do not hold both classes.
 
-    Of repeated labels of an id the least counts; null ids and labels are ignored.
+    Of repeated labels of an id the least counts; null ids and labels are ignored.  Of rows that
+    repeat an id the one of least features (as bytes) is learnt from, so reruns agree.
     """
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    known = known.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
-    draw = F.xxhash64("doc_id", F.lit(seed))
-    marked = {r.doc_id: r.y for r in known.orderBy(draw, "doc_id").limit(labelled).collect()}
-    ids = docs.select(F.col(columns.id).cast("long").alias("doc_id")).where("doc_id is not null")
-    drawn = ids.orderBy(draw, "doc_id").limit(2 * pool)
-    others = [r.doc_id for r in drawn.join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(draw, "doc_id").limit(pool).collect()]
+    marked, others = drawn_ids(docs, labels, columns, label_col, labelled, pool, seed)
     wanted = spark.createDataFrame([(i,) for i in sorted({*marked, *others})], "doc_id long")
-    # At most labelled + pool ids, so the broadcast is bounded by the parameters.
-    rows = docs.select(*_views(columns)).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, t binary, m binary")
-    found = {r.doc_id: (bytes(r.t), bytes(r.m)) for r in rows.limit(4 * (labelled + pool)).collect()}
+    # At most labelled + pool ids, so the broadcast is bounded by the parameters, and so is what
+    # comes back: one row per id.
+    rows = docs.select(*_views(docs, columns)).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, t binary, m binary")
+    least = rows.groupBy("doc_id").agg(F.min(F.struct("t", "m")).alias("x"))
+    found = {r.doc_id: (bytes(r.x.t), bytes(r.x.m)) for r in least.collect()}
     taught = sorted(i for i in marked if i in found)
     y = np.array([float(marked[i] > 0) for i in taught])
     # The rows aside follow a hash of the id, so that they are alike in every run.
@@ -262,8 +277,8 @@ def classify(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), l
     """One row per input row: doc_id, text_score, meta_score, quality_score, keep.
 
     Scores are calibrated probabilities of good quality; a document is kept from ``keep`` on.  Null
-    text counts as empty; null metadata have features of their own; null ids stay null; repeated
-    rows stay.  Without labelled rows of both classes there is nothing to judge by: scores are null
+    text counts as empty; null metadata have features of their own, and a metadata column that is
+    missing counts as null; null ids stay null; repeated rows stay.  Without labelled rows of both classes there is nothing to judge by: scores are null
     and every document is kept.  An empty table gives no rows.  Other columns are ignored.
     """
     model = fit(docs, labels, columns, label_col, **fitting)
@@ -276,7 +291,7 @@ def classify(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), l
                 yield _scored(part, shared.value, keep)
 
     schema = "doc_id long, text_score double, meta_score double, quality_score double, keep boolean"
-    return docs.select(*_views(columns)).mapInArrow(score, schema)
+    return docs.select(*_views(docs, columns)).mapInArrow(score, schema)
 
 
 def _scored(part: pa.RecordBatch, model: CoTrained | None, keep: float) -> pa.RecordBatch:
@@ -295,7 +310,7 @@ def accepted(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), l
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, columns, label_col, **fitting))
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.struct(*_views(columns)).alias("view"),
+        F.struct(*_views(docs, columns)).alias("view"),
     )
 
     def choose(batches):
