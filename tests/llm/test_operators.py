@@ -191,6 +191,16 @@ def test_damaged_tiff_is_a_row_with_its_reason(spark):
     assert found[5] == (0, None) and all(found[i][0] is None and found[i][1] for i in (1, 2, 3, 4))
 
 
+def test_digests_of_null_and_damaged_media(spark):
+    good = media.write_tiff(media.padded(b"page one"))
+    rows = [(1, bytearray(good)), (2, None), (3, bytearray(good)), (3, bytearray(good)), (4, None), (None, None), (5, bytearray(good[:-30]))]
+    frame = spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)
+    found = [(r.doc_id, r.payload_bytes, r.media_bytes, r.error) for r in media.page_digests(media.decode_pages(frame)).collect()]
+    assert [f[0] for f in found] == [1, 2, 3, 3, 4, None, 5]
+    assert all(f[1:] == (192, len(good), None) for f in found if f[0] in (1, 3))
+    assert all(f[1:] == (0, None, "no media") for f in found if f[0] in (2, 4, None)) and found[-1][3]
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -612,6 +622,58 @@ def test_accepted_rows_are_those_kept(spark, docs):
     assert found.schema == docs.schema and {r.doc_id for r in found.collect()} == kept
 
 
+def test_quality_of_repeated_ids_and_missing_columns(spark, docs):
+    """Copies of one id, some of other text, neither crowd out other rows nor make reruns differ."""
+    labels = table(spark, SF, "labels")
+    first = labels.join(docs, "doc_id").orderBy("doc_id").first().doc_id
+    copies = docs.where(F.col("doc_id") == first).crossJoin(spark.range(400)).withColumn("text", F.when(F.col("id") % 2 == 0, F.col("text")).otherwise("other words")).drop("id")
+    both = docs.unionByName(copies)
+    runs = [quality.fit(d, labels) for d in (both, both.repartition(7), both.orderBy(F.desc("doc_id")))]
+    assert all(np.array_equal(runs[0].text, r.text) and np.array_equal(runs[0].combination, r.combination) for r in runs[1:])
+    bare = docs.select("doc_id", "text")
+    found = quality.classify(bare, labels).collect()
+    assert len(found) == docs.count() and all(0 <= r.quality_score <= 1 for r in found)
+    assert quality.accepted(bare, labels).columns == ["doc_id", "text"]
+
+
+def test_quality_scores_are_those_of_the_model(spark, docs):
+    """Scores of the query against the views worked out row by row from their definitions."""
+    labels = table(spark, SF, "labels")
+    model = quality.fit(docs, labels)
+
+    def logit(x, beta):
+        return sum(float(a) * b for a, b in zip(x, beta[:-1])) + beta[-1]
+
+    def odds(z):
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+
+    found = {r.doc_id: r for r in queries.op8_co_training(spark, SF).collect()}
+    for r in docs.collect():
+        t = logit([logit(quality.text_features((r.text or "").encode()), model.text)], model.text_calibration)
+        m = logit([logit(quality.metadata_features(r.lang, r.source, r.n_chars), model.meta)], model.meta_calibration)
+        want = (odds(t), odds(m), odds(logit([t, m], model.combination)))
+        got = found[r.doc_id]
+        assert np.allclose((got.text_score, got.meta_score, got.quality_score), want, atol=1e-6) and got.keep == (got.quality_score >= quality.KEEP)
+
+
+def test_logistic_fit_is_the_penalised_optimum():
+    draw = np.random.default_rng(8)
+    x, weight = draw.normal(size=(200, 3)), draw.random(200) + 0.5
+    y = (x @ [1.0, -2.0, 0.5] + draw.normal(size=200) > 0).astype(float)
+    beta = quality.fit_logistic(x, y, weight, 1.0)
+    p = 1 / (1 + np.exp(-(x @ beta[:-1] + beta[-1])))
+    slope = np.append(x.T @ (weight * (y - p)) - beta[:-1], (weight * (y - p)).sum())
+    assert np.abs(slope).max() < 1e-3
+
+
+def test_the_unlabelled_pool_is_full_beside_many_labels(spark):
+    rows = [(i, f"text number {i} " * (1 + i % 3), "en", "a", 20) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(380)], "doc_id long, quality int")
+    taught, pool = quality.drawn_ids(frame, labels, quality.Columns(), "quality", 100, 20, 1)
+    assert len(taught) == 100 and sorted(pool) == list(range(380, 400))
+
+
 def test_views_teach_each_other():
     draw = np.random.default_rng(3)
     y = (draw.random(600) < 0.5).astype(float)
@@ -709,6 +771,13 @@ def test_the_embedding_bounds_the_distance():
     assert shared[distance <= 4].all()
 
 
+def test_kept_rows_hold_all_columns(spark):
+    names = ["_digest", "_kept_id", "_kept_digest", "doc_id", "text"]
+    rows = [(i, f"d{i}", "k", i, "same words in each of these texts" if i < 3 else f"text {i}") for i in range(6)]
+    found = neardup.keep_one(spark.createDataFrame(rows, ", ".join(n + (" long" if n in ("_digest", "doc_id") else " string") for n in names)))
+    assert found.columns == names and sorted(tuple(r) for r in found.collect()) == [rows[0], *rows[3:]]
+
+
 def test_one_row_of_each_component_is_kept(odd):
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns
