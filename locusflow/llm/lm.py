@@ -19,6 +19,7 @@ score, frequent words come from a broadcast table of bounded size and all others
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -48,7 +49,12 @@ CLASSES = 8
 START = "▁".encode()
 #: The end of a text, among words; it cannot be a word.
 END_WORD = b""
-_LONG = 512
+#: Words of more bytes are worked off one by one, along the word instead of across words.
+LONG = 512
+#: Starts of a long word whose pieces are held at once.
+STRETCH = 16_384
+#: Bytes of text a task holds words of before it hands them on or starts anew.
+HELD_BYTES = 64_000_000
 _models: dict = {}
 
 
@@ -98,7 +104,7 @@ class Lattice:
         """Natural log of each word's probability summed over all segmentations."""
         out = np.empty(len(words))
         for rows, chars in self._by_length(words):
-            out[rows] = self._forward(chars)[:, -1]
+            out[rows] = self._forward_long(chars[0])[-1] if chars.shape[1] > LONG else self._forward(chars)[:, -1]
         return out
 
     @staticmethod
@@ -106,7 +112,7 @@ class Lattice:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lengths).tolist():
             same = np.flatnonzero(lengths == n)
-            each = max(1, min(most, 2_000_000 // (n + 1)))
+            each = 1 if n > LONG else max(1, min(most, 2_000_000 // (n + 1)))
             for at in range(0, len(same), each):
                 rows = same[at : at + each]
                 yield rows, np.frombuffer(b"".join([words[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), n)
@@ -135,25 +141,81 @@ class Lattice:
                 alpha[rows, end] = np.logaddexp(alpha[rows, end], alpha[rows, start] + self.weight[nodes])
         return alpha
 
+    def _arcs(self, chars: np.ndarray, low: int, high: int):
+        """(starts, ends, nodes) of the pieces of one word that begin in [low, high), by start."""
+        starts = np.arange(low, high)
+        nodes = np.ones(high - low, np.int64)
+        found = []
+        for length in range(1, len(chars) - low + 1):
+            inside = starts + length <= len(chars)
+            starts, nodes = starts[inside], nodes[inside]
+            nodes = self.step[nodes, chars[starts + length - 1]].astype(np.int64)
+            on = nodes > 0
+            starts, nodes = starts[on], nodes[on]
+            if not len(starts):
+                break
+            complete = self.piece[nodes] >= 0
+            found.append((starts[complete], starts[complete] + length, nodes[complete]))
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+        order = np.argsort(parts[0], kind="stable")
+        return tuple(x[order] for x in parts)
+
+    def _forward_long(self, chars: np.ndarray) -> np.ndarray:
+        """The forward recursion of one word: linear in its bytes, with the pieces of a stretch at a time."""
+        alpha = [-math.inf] * (len(chars) + 1)
+        alpha[0] = 0.0
+        for low in range(0, len(chars), STRETCH):
+            starts, ends, nodes = self._arcs(chars, low, min(low + STRETCH, len(chars)))
+            for start, end, weight in zip(starts.tolist(), ends.tolist(), self.weight[nodes].tolist()):
+                alpha[end] = _log_add(alpha[end], alpha[start] + weight)
+        return np.array(alpha)
+
+    def _backward_long(self, chars: np.ndarray) -> np.ndarray:
+        beta = [-math.inf] * (len(chars) + 1)
+        beta[-1] = 0.0
+        for low in range((len(chars) - 1) // STRETCH * STRETCH, -1, -STRETCH):
+            starts, ends, nodes = self._arcs(chars, low, min(low + STRETCH, len(chars)))
+            for start, end, weight in zip(starts[::-1].tolist(), ends[::-1].tolist(), self.weight[nodes[::-1]].tolist()):
+                beta[start] = _log_add(beta[start], beta[end] + weight)
+        return np.array(beta)
+
     def expected_counts(self, words: list[bytes], counts: np.ndarray, pieces: int) -> np.ndarray:
-        """Expected uses of each piece over all segmentations, weighted by the words' counts."""
+        """Expected uses of each piece over all segmentations, weighted by the words' counts.
+
+        Uses are added up as the backward recursion passes them: no list of a word's pieces is held.
+        """
         total = np.zeros(pieces)
         for which, chars in self._by_length(words):
+            if chars.shape[1] > LONG:
+                total += counts[which[0]] * self._expected_long(chars[0], pieces)
+                continue
             alpha = self._forward(chars)
             beta = np.full(alpha.shape, -np.inf)
             beta[:, -1] = 0.0
-            edges = []
+            whole = alpha[:, -1]
             for start in range(chars.shape[1] - 1, -1, -1):
                 for end, rows, nodes in self._edges(chars, start):
                     through = self.weight[nodes] + beta[rows, end]
                     beta[rows, start] = np.logaddexp(beta[rows, start], through)
-                    edges.append((start, rows, nodes, through))
-            whole = alpha[:, -1]
-            for start, rows, nodes, through in edges:
-                share = np.exp(alpha[rows, start] + through - whole[rows]) * counts[which][rows]
-                total += np.bincount(self.piece[nodes], share, pieces)
+                    share = np.exp(alpha[rows, start] + through - whole[rows]) * counts[which][rows]
+                    np.add.at(total, self.piece[nodes], share)
         return total
 
+    def _expected_long(self, chars: np.ndarray, pieces: int) -> np.ndarray:
+        alpha, beta = self._forward_long(chars), self._backward_long(chars)
+        total = np.zeros(pieces)
+        for low in range(0, len(chars), STRETCH):
+            starts, ends, nodes = self._arcs(chars, low, min(low + STRETCH, len(chars)))
+            share = np.exp(alpha[starts] + self.weight[nodes] + beta[ends] - alpha[-1])
+            total += np.bincount(self.piece[nodes], share, pieces)
+        return total
+
+
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
 
 def vocabulary_pieces(vocabulary: str) -> tuple[list[bytes], np.ndarray]:
     """The distinct surfaces of a sentencepiece vocabulary with its own scores, and every byte.
@@ -204,8 +266,11 @@ def word_counts(
 
     def count(batches):
         seen: dict[int, Counter] = {}
+        held = 0
 
         def batch():
+            nonlocal held
+            held = 0
             rows = [(w, g, c) for g, found in seen.items() for w, c in found.items()]
             seen.clear()
             types = (pa.binary(), pa.int32(), pa.int64())
@@ -217,7 +282,8 @@ def word_counts(
                     counter = seen.setdefault((group or 0) - 1, Counter())
                     counter.update(text.lower().split())
                     counter[END_WORD] += 1
-                    if sum(map(len, seen.values())) > partial:
+                    held += len(text)
+                    if held > HELD_BYTES or sum(map(len, seen.values())) > partial:
                         yield batch()
         yield batch()
 
@@ -399,11 +465,13 @@ def score(
             return {}, [], np.empty((0, width)), np.empty(0), np.empty((0, len(priors)))
 
         places, lists, known, paths, likely = start()
+        held = 0
         for batch in batches:
             keys, texts = rows_of(batch)
             for at in range(0, len(texts), 512):
-                if len(lists) > PARTIAL:
+                if len(lists) > PARTIAL or held > HELD_BYTES:
                     places, lists, known, paths, likely = start()
+                    held = 0
                 documents = []
                 for text in texts[at : at + 512]:
                     words = text.lower().split()
@@ -413,6 +481,7 @@ def score(
                         if place is None:
                             place = places[w] = len(lists)
                             lists.append(w)
+                            held += len(w)
                         indices[i] = place
                     documents.append(indices)
                 fresh = lists[len(known) :]

@@ -461,6 +461,69 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert np.allclose(counts, [2 * split + 1 + split, 3 * split, 3 * (1 - split)])
 
 
+def test_long_words_follow_the_same_recursion(monkeypatch):
+    model = lattice({"a": 0.3, "b": 0.2, "ab": 0.2, "ba": 0.1, "aba": 0.2})
+    draw = random.Random(2)
+    words = ["".join(draw.choice("ab") for _ in range(n)).encode() for n in (1, 2, 63, 64, 65, 200)] + [b"abx"]
+    plain, counts = model.log_probability(words), model.expected_counts(words[:-1], np.arange(1.0, 7.0), 5)
+    monkeypatch.setattr(lm, "LONG", 2)
+    monkeypatch.setattr(lm, "STRETCH", 16)
+    assert np.allclose(model.log_probability(words), plain) and plain[-1] == -np.inf
+    assert np.allclose(model.expected_counts(words[:-1], np.arange(1.0, 7.0), 5), counts)
+
+
+def test_a_word_of_a_megabyte_is_scored(spark):
+    draw = random.Random(4)
+    blob = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    held = [i for i in range(100, 200) if lm.is_held_out(i)][:2]
+    rows = [(i, f"some words {i}", "en") for i in range(20)] + [(100, blob[:900_000], "en"), (held[0], f"before {blob} behind", "en"), (held[1], blob, None)]
+    found = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(math.isfinite(v) for v in found.values()) and all(found[i] < -500_000 for i in held)
+
+
+@pytest.mark.parametrize("frequent", [0, 10_000])
+def test_document_scores_against_brute_force(spark, frequent):
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abetno", k=draw.randint(1, 4))) for _ in range(60)] + ["é", "Zz"]
+    langs = ["en", "en", "de", None]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randint(0, 12))) or None, draw.choice(langs)) for i in range(60)]
+    rows += [(100 + i, "unseen abenot words qq", None) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = lm.vocabulary_pieces(lm.VOCABULARY)[0]
+    counts = lm.word_counts(frame)
+    weight = dict(zip(pieces, lm.train_pieces(counts).log_weights))
+    longest = max(map(len, pieces))
+
+    def path(rest):
+        if not rest:
+            return 1.0
+        return sum(math.exp(weight[rest[:n]]) * path(rest[n:]) for n in range(1, min(len(rest), longest) + 1) if rest[:n] in weight)
+
+    def tokens(text):
+        return [*(text or "").encode().lower().split(), b""]
+
+    def model(texts):
+        c = Counter(w for t in texts for w in tokens(t))
+        n, once, twice = sum(c.values()), sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        return lambda w, back: max(c[w] - d, 0) / n + d * len(c) / n * back
+
+    training = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    overall = model([t for t, _ in training])
+    own = [(sum(h == g for _, h in training) / len(training), model([t for t, h in training if h == g])) for g in ("en", "de", None)]
+
+    def document(text):
+        found = []
+        for prior, part in own:
+            logs = [math.log10(part(w, overall(w, path(lm.START + w) if w else 0.0))) for w in tokens(text)]
+            found.append(math.log10(prior) + sum(logs))
+        top = max(found)
+        return top + math.log10(sum(10 ** (f - top) for f in found))
+
+    got = {r.doc_id: r.score for r in lm.score(frame, frequent=frequent).collect()}
+    assert all(math.isclose(got[i], document(t), rel_tol=1e-9) for i, t, _ in rows)
+
+
 def test_pieces_form_a_distribution(docs):
     model = lm.train_pieces(lm.word_counts(docs).cache())
     assert abs(np.exp(model.log_weights).sum() - 1) < 1e-9
