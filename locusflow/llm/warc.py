@@ -31,7 +31,11 @@ END = b"\r\n\r\n"
 SMALL = 100
 #: Rows of a digest table that may be broadcast (about 100 bytes each); beyond it a shuffle join.
 BROADCAST_ROWS = 50_000
+#: Records and bytes of a file, about, before compression: a file is read as one value.
 RECORDS_PER_FILE = 20_000
+BYTES_PER_FILE = 128_000_000
+#: Compressed bytes handed to the decompressor at once.
+_INFLATED_TOGETHER = 262_144
 DATE = "1970-01-01T00:00:00Z"
 _BYTES_PER_BATCH = 4_000_000
 
@@ -74,11 +78,13 @@ def write_archive(
     """Writes one record per row to gzipped WARC files below ``path`` and returns the path.
 
     Null payload: empty.  Null url: no target line; control characters in it are percent-encoded.
-    A null id is written as ``null`` and is never the page others refer to.  Rows that repeat the
+    A file takes about ``BYTES_PER_FILE``, by the mean size of a payload.  A null id is written as ``null`` and is never the page others refer to.  Rows that repeat the
     smallest id of their payload are responses too (a record does not revisit itself).  An empty
     table writes no records.  Other columns are ignored.
     """
     rows = with_roles(pages, id_col, url_col, payload_col, small)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(F.col(payload_col)), F.lit(0))).alias("n")).first().n or 0.0
+    each = max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / (mean + 500))))
     revisit = F.col("first_id").isNotNull()
     head = _http_head(F.col("payload_bytes"))
     clean = F.col("url")
@@ -108,7 +114,7 @@ def write_archive(
         block,
     )
     # The text writer ends each row with the separator, which is exactly a record's end.
-    writer = rows.select(record.alias("record")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE)
+    writer = rows.select(record.alias("record")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", each)
     writer.option("compression", "gzip").text(path)
     return path
 
@@ -164,22 +170,27 @@ def parse_records(chunks) -> "list[Record]":
 
 
 def _unzipped(content: bytes):
-    """Decompressed chunks of a gzip file of one or more members, or of a plain file."""
+    """Decompressed chunks of a gzip file of one or more members, or of a plain file.
+
+    Linear in the file: a member's end is an offset, and what is behind it is not copied.
+    """
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    rest = content
-    while rest:
-        stream = zlib.decompressobj(31)
-        view = memoryview(rest)
-        for at in range(0, len(view), 262_144):
-            yield stream.decompress(view[at : at + 262_144])
-            if stream.eof:
-                rest = stream.unused_data + bytes(view[at + 262_144 :])
-                break
-        else:
-            yield stream.flush()
-            return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        stream, step = zlib.decompressobj(31), 4_096  # small first steps: most members are one record
+        while not stream.eof:
+            if at >= len(view):
+                raise ValueError("archive ends within a gzip member")
+            fed = view[at : at + step]
+            out = stream.decompress(fed)
+            at += len(fed) - len(stream.unused_data)
+            step = min(4 * step, _INFLATED_TOGETHER)
+            if out:
+                yield out
+        while at < len(view) and view[at] == 0:  # padding between members
+            at += 1
 
 
 _RECORD_SCHEMA = (

@@ -249,6 +249,39 @@ def test_warc_marks_a_wrong_digest_and_reads_members(spark, tmp_path):
     assert [bytes(r.payload) for r in store.payloads.collect()] == [b"hello"]
 
 
+def test_warc_of_one_member_a_record(spark, tmp_path):
+    """Many members cost no more than their bytes; large and padded ones are read whole."""
+    import gzip
+    import time
+
+    def record(i, body):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (i, len(block)) + block + b"\r\n\r\n"
+
+    draw = random.Random(3)
+    large = draw.randbytes(3_000_000)
+    records = [record(i, b"page %d " % i * (1 + i % 60)) for i in range(20_000)] + [record(20_000, large)]
+    members = [gzip.compress(r, 1) for r in records]
+    began = time.process_time()
+    assert b"".join(warc._unzipped(b"".join(members))) == b"".join(records)
+    assert time.process_time() - began < 10
+    (tmp_path / "many.warc.gz").write_bytes(b"\0\0".join(members[-300:]))
+    store = warc.build_store(spark, str(tmp_path))
+    assert store.headers.count() == 300
+    rebuilt = b"".join(bytes(r.record) for r in store.records().orderBy("position").collect())
+    assert rebuilt == b"".join(records[-300:])
+    with pytest.raises(ValueError):
+        list(warc._unzipped(b"".join(members)[:-20]))
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 50_000)
+    pages = spark.range(60).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "concat(id, repeat('x', 9500)) AS html").coalesce(1)
+    path = warc.write_archive(pages, str(tmp_path / "a"))
+    sizes = [sum(len(c) for c in warc._unzipped(bytes(r.content))) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(sizes) >= 12 and max(sizes) < 60_000
+
+
 def test_warc_of_an_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.build_store(spark, warc.write_archive(pages, scratch_path(spark, "t"))).records().count() == 0
