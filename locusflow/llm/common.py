@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, tab, newline, vertical tab, form feed, carriage return.
@@ -16,20 +18,48 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or a private one if unset.
 
-    The fallback is for local runs and tests only; it is set once per application.
+    The fallback is for local runs and tests only, set once per application; on a cluster executors
+    could not see it, so there an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="locusflow-")
     spark.sparkContext.setCheckpointDir(f"file://{fallback}")
     return f"file://{fallback}"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("scratch tables of the running scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, grouped by application so it can be swept."""
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/locusflow-scratch/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/locusflow-scratch/{app}/{label}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the scratch tables made inside when it ends: for results that are written inside it."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -46,16 +76,45 @@ def discard(df: DataFrame) -> None:
     """Delete the files behind a materialized frame that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete every scratch table of this application; call when all results are written."""
-    path = f"{shared_dir(spark)}/locusflow-scratch/{spark.sparkContext.applicationId}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    delete(spark, f"{shared_dir(spark)}/locusflow-scratch/{spark.sparkContext.applicationId}")
+
+
+#: Rows that one window partition orders, about.
+ORDERED_TOGETHER = 100_000
+
+
+def dealt_in_order(rows: DataFrame, order: list[Column], total: int, label: str) -> DataFrame:
+    """Adds ``_part``: rows of a part come before those of the next in ``order``.
+
+    A running number or sum over all rows is then one within parts plus one over the parts'
+    totals, so no task orders the whole table.  Parts are cut by range and written out, because
+    a second run might cut them elsewhere.
+    """
+    parts = -(-total // ORDERED_TOGETHER)
+    if parts <= 1:
+        return rows.withColumn("_part", F.lit(0))
+    return materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), label)
+
+
+def running_sums(dealt: DataFrame, order: list[Column], sums: dict[str, Column], group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds to rows of :func:`dealt_in_order` the sums over all rows of the group before each."""
+    own = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.select("*", *[F.coalesce(F.sum(value).over(own), F.lit(0)).alias(f"_in_{name}") for name, value in sums.items()])
+    totals = dealt.groupBy(*group, "_part").agg(*[F.sum(value).alias(f"_t_{name}") for name, value in sums.items()])
+    # One row per part and group it holds.
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, "_part"]
+    offsets = totals.select(*[F.col(k).alias(f"_o_{k}") for k in keys], *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    joined = inside.join(offsets, same)
+    return joined.select(*[c for c in dealt.columns if c != "_part"], *[(F.col(f"_in_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, dealt_in_order, materialize, running_sums
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -38,53 +38,67 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(source, source_size) -> plus weight and target; one small row per source.
+    """(source, source_size) -> plus weight and target; one row per source.
 
     Sources by code point, null last, take the weights in turn.  A source whose target would pass
-    ``most`` times its size stops there and the rest is shared by weight among the others.
+    ``most`` times its size stops there and the rest is shared by weight among the others.  Sources
+    may be many (hosts): places and running sums are found part by part.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-    weighed = weighed.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    filling = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    onward = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(0))
-    level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    leveled = weighed.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    leveled = leveled.withColumn("turn", F.row_number().over(filling))
-    first_open = F.min(F.when(F.col("open"), F.struct("turn", "level"))).over(everything)["level"]
-    target = F.when(first_open.isNull(), F.col("cap")).otherwise(F.least("cap", first_open * F.col("weight")))
-    return leveled.withColumn("target", target).select("source", "source_size", "weight", "target")
+    whole = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("size")).first()
+    by_name = [F.col("source").isNull(), F.col("source").cast("binary")]
+    named = running_sums(dealt_in_order(sizes, by_name, whole.n, "named"), by_name, {"_turn": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_turn", F.lit(len(weights))) + 1).cast("int"))
+    weighed = named.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).drop("_turn")
+    filling = [F.col("cap") / F.col("weight"), *by_name]
+    summed = running_sums(dealt_in_order(weighed, filling, whole.n, "filling"), filling, {"_full": F.col("cap"), "_used": F.col("weight")})
+    everything = float(weighed.agg(F.sum("weight").alias("w")).first().w or 0)
+    # The level at which the sources from this one on would stand, were all before it full.
+    level = (F.lit(share * (whole.size or 0)) - F.col("_full")) / (F.lit(everything) - F.col("_used"))
+    opened = summed.withColumn("_level", level).where(F.col("_level") * F.col("weight") <= F.col("cap"))
+    first = opened.agg(F.min(F.struct(filling[0].alias("ratio"), "_level")).alias("x")).first().x
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first["_level"]) * F.col("weight"))
+    return weighed.select("source", "source_size", "weight", target.alias("target"))
 
 
 def apportion(claims: DataFrame, group: list[str], seats: str, claim: str, limit: str, out: str, order: list[str]) -> DataFrame:
     """Adds ``out``: how many of the group's ``seats`` each row gets by the highest quotients.
 
-    Quotients are claim / (2k + 1) for the (k+1)-th seat, k < ``limit``; ties go by ``order``.  A
-    share rounded at the common divisor differs from the result by at most the rounding errors of
-    all rows, spread by claim; only seats within that margin are listed as rows and ranked.
+    Quotients are claim / (2k + 1) for the (k+1)-th seat, k < ``limit``; ties go by ``order``, a key
+    of the rows.  A share rounded at the common divisor differs from the result by at most the
+    rounding errors of all rows, spread by claim; only seats within that margin are listed as rows
+    and ranked, part by part.
     """
-    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    total, rows = F.sum(claim).over(whole), F.count(F.lit(1)).over(whole)
-    part = F.when(total > 0, F.col(claim) / total).otherwise(F.lit(0.0))
-    near = claims.withColumn("_part", part).withColumn("_fair", F.col("_part") * F.col(seats))
-    near = near.withColumn("_margin", F.ceil(F.col("_part") * rows) + 2)
+
+    def with_totals(rows: DataFrame, **sums: Column) -> DataFrame:
+        totals = rows.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(*[v.alias(n) for n, v in sums.items()])
+        if not group:
+            found = totals.first()
+            return rows.select("*", *[F.lit(found[n]).alias(n) for n in sums])
+        same = F.lit(True)
+        for g in group:
+            same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        return rows.join(totals, same).drop(*[f"_g_{g}" for g in group])
+
+    near = with_totals(claims, _total=F.sum(claim), _rows=F.count(F.lit(1)))
+    part = F.when(F.col("_total") > 0, F.col(claim) / F.col("_total")).otherwise(F.lit(0.0))
+    near = near.withColumn("_part_of", part).withColumn("_fair", F.col("_part_of") * F.col(seats))
+    near = near.withColumn("_margin", F.ceil(F.col("_part_of") * F.col("_rows")) + 2)
     near = near.withColumn("_sure", F.least(F.col(limit), F.greatest(F.lit(0), F.floor("_fair") - F.col("_margin"))).cast("long"))
     near = near.withColumn("_most", F.least(F.col(limit), (F.ceil("_fair") + F.col("_margin")).cast("long")))
-    near = near.withColumn("_doubtful", F.col(seats) - F.sum("_sure").over(whole))
-    seat = near.withColumn("_k", F.explode_outer(F.when(F.col("_most") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_most") - 1))))
-    ranking = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    quotient = F.when(F.col("_k").isNotNull(), F.col(claim) / (2 * F.col("_k") + 1))
-    place = F.row_number().over(ranking.orderBy(quotient.desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]))
-    won = seat.withColumn("_won", (place <= F.col("_doubtful")) & F.col("_k").isNotNull())
-    kept = [F.first(F.col(c)).alias(c) for c in claims.columns if c not in order]
-    return (
-        won.groupBy(*order)
-        .agg(*kept, (F.first("_sure") + F.sum(F.col("_won").cast("long"))).alias(out))
-        .select(*claims.columns, out)
-    )
+    near = materialize(with_totals(near, _held=F.sum("_sure")), "claims")
+    seat = near.where(F.col("_most") > F.col("_sure")).select(
+        *dict.fromkeys([*group, *order, claim]), (F.col(seats) - F.col("_held")).alias("_doubtful"),
+        F.explode(F.sequence(F.col("_sure"), F.col("_most") - 1)).alias("_k"),
+    )
+    ranking = [(F.col(claim) / (2 * F.col("_k") + 1)).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
+    listed = near.agg(F.sum(F.col("_most") - F.col("_sure")).alias("n")).first().n or 0
+    dealt = dealt_in_order(seat, [*[F.col(g).asc_nulls_last() for g in group], *ranking], listed, "seats")
+    placed = running_sums(dealt, ranking, {"_place": F.lit(1)}, tuple(group))
+    won = placed.where(F.col("_place") < F.col("_doubtful")).groupBy(*[F.col(c).alias(f"_w_{c}") for c in order]).agg(F.count(F.lit(1)).alias("_won"))
+    same = F.lit(True)
+    for c in order:
+        same &= F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    return near.join(won, same, "left").select(*claims.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias(out))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
@@ -115,10 +129,11 @@ def shard_quotas(
     ``passes`` whole readings, then the words [begin, end) and, where that runs past the last
     block, [0, wrapped).
     """
-    shard_sizes = _dealt(sized, shards, seed).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    targets = source_targets(shard_sizes.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, share, most)
-    everything = Window.partitionBy(F.lit(0))
-    claims = targets.withColumn("seats", F.round(F.sum("target").over(everything) / block).cast("long"))
+    shard_sizes = materialize(_dealt(sized, shards, seed).groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "shard-sizes")
+    sources = materialize(shard_sizes.groupBy("source").agg(F.sum("shard_size").alias("source_size")), "sources")
+    targets = source_targets(sources, weights, share, most)
+    seats = round(float(targets.agg(F.sum("target").alias("n")).first().n or 0) / block)
+    claims = targets.withColumn("seats", F.lit(seats).cast("long"))
     claims = claims.withColumn("room", F.ceil(F.col("source_size") / block) * most)
     by_source = apportion(claims, [], "seats", "target", "room", "source_blocks", ["source"])
     joined = shard_sizes.join(
