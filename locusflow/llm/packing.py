@@ -27,6 +27,8 @@ END_ID = 2
 CACHED = 1_000_000
 #: Rows that one window partition ranks, about; the number of buckets follows from the data.
 RANKED_TOGETHER = 50_000
+#: Copies of one row that are written out from one row, at most.
+COPIES = 4_096
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -34,7 +36,9 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
 
     Groups of packs with one pattern are contiguous ranges of sequence numbers.  The open group
     that is shortest (most room) takes the next items; if too few items are left, it is split
-    into the filled part and the rest.  Numbers start at 0 and have no gaps.
+    into the filled part and the rest.  Where no pack has room, new ones are opened; each is then the
+    shortest until no further item fits, so it takes as many as it holds.  That is what one item at a
+    time would give.  Numbers start at 0 and have no gaps.
     """
     placements: list[tuple[int, int, int, int, int]] = []
     open_packs: list[tuple[int, int, int, int]] = []  # (used, tie, first sequence, count)
@@ -49,13 +53,19 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                 take = min(n, left)
                 if take < n:
                     heapq.heappush(open_packs, (used, next(ties), first + take, n - take))
+                opened = [(take, used, 1)]
             else:
-                used, first, take = 0, sequences, left
-                sequences += take
-            placements.append((length, rank, take, first, used))
-            rank, left = rank + take, left - take
-            if used + length < capacity:
-                heapq.heappush(open_packs, (used + length, next(ties), first, take))
+                each = capacity // length
+                first, used = sequences, 0
+                opened = [(n, used, items) for n, items in ((left // each, each), (1, left % each)) if n and items]
+            for n, used, items in opened:
+                for i in range(items):
+                    placements.append((length, rank, n, first, used + i * length))
+                    rank, left = rank + n, left - n
+                if used + items * length < capacity:
+                    heapq.heappush(open_packs, (used + items * length, next(ties), first, n))
+                first += n
+                sequences = max(sequences, first)
     return placements
 
 
@@ -85,20 +95,24 @@ def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """Adds ``rank`` from 0 within each length, without bringing a length into one task.
 
     Rows of a length are spread over buckets by a hash; a bucket is ranked by a window and
-    moved by the size of the buckets before it.  The buckets grow with the table.
+    moved by the size of the buckets before it.  The buckets grow with the table.  Equal rows are one
+    row with a count until they have their ranks, so copies of a row do not crowd a bucket either.
     """
     buckets = max(1, -(-total // RANKED_TOGETHER))
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    sizes = spread.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    own = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    counted = pieces.groupBy("length", *own).agg(F.count(F.lit(1)).alias("copies"))
+    spread = counted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    sizes = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    sizes = sizes.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    return (
-        spread.withColumn("i", F.row_number().over(inside))
-        .join(offsets, ["length", "bucket"])
-        .withColumn("rank", F.col("base") + F.col("i") - 1)
-        .drop("bucket", "i", "base")
-    )
+    inside = Window.partitionBy("length", "bucket").orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
+    first = spread.withColumn("i", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(offsets, ["length", "bucket"])
+    first = first.withColumn("first", F.col("base") + F.col("i")).withColumn("last", F.col("first") + F.col("copies") - 1)
+    # In two steps, so that no list of ranks is longer than COPIES.
+    some = first.withColumn("first", F.explode(F.sequence("first", "last", F.lit(COPIES).cast("long"))))
+    every = F.explode(F.sequence("first", F.least(F.col("last"), F.col("first") + COPIES - 1)))
+    return some.withColumn("rank", every).drop("bucket", "i", "base", "first", "last", "copies")
 
 
 def pack(
