@@ -20,7 +20,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, rows_of, text_bytes
@@ -136,8 +136,8 @@ def spanning(pairs, prints: np.ndarray) -> list[tuple[int, int]]:
 def links_between(prints: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = SEGMENT_BITS, blocks: int = BLOCKS, cell_block: int = CELL_BLOCK) -> DataFrame:
     """Links (a > b) between distinct fingerprints ``fp`` that connect every pair within ``max_bits``.
 
-    A cell of more than ``cell_block`` fingerprints is numbered and cut into blocks, and each pair of
-    blocks is compared on its own, so no task holds more than two blocks of a cell.
+    A cell of more than ``cell_block`` fingerprints is dealt into blocks of about that many by a hash, and
+    each pair of blocks is compared on its own, so no task orders or holds more than two blocks of a cell.
     """
 
     def keyed(batches):
@@ -149,16 +149,12 @@ def links_between(prints: DataFrame, max_bits: int = MAX_BITS, segment_bits: int
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["cell", "fp"])
 
     cells = prints.select("fp").mapInArrow(keyed, "cell long, fp long")
-    inside = Window.partitionBy("cell").orderBy("fp")
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    crowded = cells.select(
-        "cell",
-        "fp",
-        F.count(F.lit(1)).over(whole).alias("n"),
-        F.floor((F.row_number().over(inside) - 1) / cell_block).cast("int").alias("own"),
-    ).where("n > 1")
+    # Sizes first: a cell is then split by a hash of the fingerprint, and no task orders a cell.
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     last = F.floor((F.col("n") - 1) / cell_block).cast("int")
-    met = crowded.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    own = F.pmod(F.xxhash64("fp"), last + 1).cast("int")
+    crowded = cells.join(sizes, "cell").select("cell", "fp", last.alias("last"), own.alias("own"))
+    met = crowded.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     met = met.select("cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
 
     def compare(batches):
