@@ -421,6 +421,36 @@ def test_placements_cover_each_rank_once_and_fill():
         assert sorted(fill) == list(range(len(fill)))
 
 
+def test_placements_are_shortest_pack_first():
+    """Against one item at a time: the same offsets for the same lengths, whichever of equal packs is taken."""
+    draw = random.Random(7)
+    for _ in range(40):
+        cap = draw.choice([8, 50, 300])
+        histogram = {draw.randint(1, cap): draw.randint(1, 40) for _ in range(draw.randint(1, 25))}
+        packs, want = [], Counter()
+        for length in sorted(histogram, reverse=True):
+            for _ in range(histogram[length]):
+                room = [i for i, used in enumerate(packs) if used + length <= cap]
+                if room:
+                    i = min(room, key=lambda i: packs[i])
+                else:
+                    i = len(packs)
+                    packs.append(0)
+                want[length, packs[i]] += 1
+                packs[i] += length
+        got = Counter()
+        for length, _, n, _, offset in packing.shortest_pack_first(histogram, cap):
+            got[length, offset] += n
+        assert got == want
+
+
+def test_copies_of_a_row_are_ranked_together(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 50)
+    monkeypatch.setattr(packing, "COPIES", 7)
+    frame = docs.select("doc_id", "text").limit(20).unionByName(spark.range(900).selectExpr("1L AS doc_id", "'the same row again' AS text"))
+    check_packing(packing.pack(frame).collect(), frame)
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -673,7 +703,18 @@ def test_mixed_rows_hold_the_words_taken(odd, docs):
         assert words(found, mixing.word_count(F.col("text"))) == words(mixing.mix(source), F.col("taken"))
 
 
-def test_apportionment_is_by_highest_quotients(spark):
+def test_many_sources_are_ordered_part_by_part(spark, docs, monkeypatch):
+    frame = docs.withColumn("source", F.when(F.col("doc_id") % 9 == 0, None).otherwise(F.concat(F.lit("host"), F.col("doc_id") % 37)))
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    want = sorted_rows(mixing.mix(frame, shard_docs=30), *columns)
+    monkeypatch.setattr("locusflow.llm.common.ORDERED_TOGETHER", 5)
+    assert sorted_rows(mixing.mix(frame, shard_docs=30), *columns) == want
+    check_mix(mixing.mix(frame, shard_docs=30).select(*columns), frame)
+
+
+@pytest.mark.parametrize("together", [3, 100_000])
+def test_apportionment_is_by_highest_quotients(spark, monkeypatch, together):
+    monkeypatch.setattr("locusflow.llm.common.ORDERED_TOGETHER", together)
     draw = random.Random(9)
     for _ in range(6):
         claims = [(f"s{i}", draw.randrange(1, 1_000), draw.randrange(0, 60)) for i in range(draw.randrange(1, 12))]
@@ -941,5 +982,18 @@ def test_patience_keeps_order_and_equality():
     assert licenses.patience(text, text) == [(i, i) for i in range(8)]
 
 
+def test_a_scope_deletes_its_scratch_tables(spark):
+    import os
+
+    from locusflow.llm.common import materialize, scratch_scope
+
+    outer = materialize(spark.range(3), "outer")
+    with scratch_scope(spark):
+        inner = materialize(spark.range(3), "inner")
+        paths = [d._scratch_path.removeprefix("file://") for d in (outer, inner)]
+        assert all(map(os.path.exists, paths))
+    assert [os.path.exists(p) for p in paths] == [True, False]
+
+
 def test_scratch_folder_is_the_sessions(spark):
     assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
