@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from locusflow.llm import mixing, neardup, packing, quality
-from locusflow.llm.common import scratch_path, table
+from locusflow.llm.common import delete, scratch_path, scratch_scope, table
 
 #: No stage but the mixing arithmetic has an SQL form (a fitted model, SimHash, a tokenizer).
 ORACLE_SQL = None
@@ -44,10 +44,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    What a stage left in the shared folder goes when its result is written, and a stage's result when
+    the next one's is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
