@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 BIN = 1024
 
 
-def bin_size(regions: DataFrame, share: float = 0.95) -> int:
-    """Power of two at or above the given percentile of region lengths (one cheap aggregate)."""
-    length = regions.agg(F.percentile_approx(F.col("end") - F.col("start") + 1, share).alias("n")).first().n
-    return 1 << max(6, (int(length or 1) - 1).bit_length())
-
-
 def _floor(position: Column, size: int) -> Column:
     return F.floor(position / F.lit(size)).cast("long")
 
@@ -50,11 +44,15 @@ def points_in(points: DataFrame, regions: DataFrame, position: str = "pos", keys
     return left.join(right, on & within).drop("_bin", "r__bin")
 
 
-def points_in_elements(points: DataFrame, regions: DataFrame, position: str = "pos", element: str = "element") -> DataFrame:
-    """Points in the regions of their own element: joined on (chrom, name), no bins needed."""
-    right = prefixed(regions, "r_")
-    on = (F.col("chrom") == F.col("r_chrom")) & (F.col(element) == F.col("r_name"))
-    return points.join(right, on & F.col(position).between(F.col("r_start"), F.col("r_end")))
+def points_in_elements(points: DataFrame, regions: DataFrame, position: str = "pos", element: str = "element", size: int = BIN) -> DataFrame:
+    """Points in the regions of their own element: joined on (chrom, bin, name).
+
+    The bin keeps an element of many regions from meeting all its points in all of them.
+    """
+    left = points.withColumn("_bin", _floor(F.col(position), size))
+    right = prefixed(_binned(regions, size), "r_")
+    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("r__bin")) & (F.col(element) == F.col("r_name"))
+    return left.join(right, on & F.col(position).between(F.col("r_start"), F.col("r_end"))).drop("_bin", "r__bin")
 
 
 def overlapping(a: DataFrame, b: DataFrame, stranded: bool = False, size: int = BIN, how: str = "inner") -> DataFrame:

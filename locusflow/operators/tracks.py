@@ -51,31 +51,55 @@ def axis_coverage(track: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sequence chunks
 
 
-def chunked(bases: DataFrame, chunk: int = CHUNK, margin: int = MARGIN) -> DataFrame:
-    """(chrom, chunk, first, seq) from (chrom, pos, base): text of a chunk and ``margin`` bases around it.
+def assembled(pieces: DataFrame, chunk: int = CHUNK, margin: int = MARGIN) -> DataFrame:
+    """(chrom, chunk, first, seq) from pieces of sequence (chrom, pos of the first base, seq) that do not overlap.
 
-    A base near a border belongs to two chunks, so any window of up to 2 * margin + 1 bases is
-    inside one row.  Missing bases are N.
+    The text of a chunk goes with ``margin`` bases around it, so any window of up to 2 * margin + 1
+    bases is inside one row.  Missing bases are N.
     """
-    own = F.floor(F.col("pos") / chunk)
-    near = F.array_distinct(F.array(F.floor((F.col("pos") - margin) / chunk), own, F.floor((F.col("pos") + margin) / chunk)))
-    dealt = bases.withColumn("chunk", F.explode(near)).where("chunk >= 0")
-    pieces = dealt.groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "base"))).alias("p"))
-    first = F.element_at("p", 1)["pos"]
-    gap = lambda x, i: F.when(i > 0, x["pos"] - F.get("p", i - 1)["pos"] - 1).otherwise(F.lit(0)).cast("int")
-    filled = F.array_join(F.transform("p", lambda x, i: F.concat(F.repeat(F.lit("N"), gap(x, i)), x["base"])), "")
-    return pieces.select("chrom", F.col("chunk").cast("long").alias("chunk"), first.alias("first"), filled.alias("seq"))
+    last = F.col("pos") + F.length("seq") - 1
+    targets = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - margin) / chunk)), F.floor((last + margin) / chunk))
+    dealt = pieces.where("seq <> ''").select("chrom", "pos", "seq", last.alias("_last"), F.explode(targets).alias("chunk"))
+    low = F.greatest("pos", F.col("chunk") * chunk - margin)
+    high = F.least("_last", (F.col("chunk") + 1) * chunk - 1 + margin)
+    dealt = dealt.where(low <= high).select(
+        "chrom", "chunk", low.alias("at"), F.substring("seq", (low - F.col("pos") + 1).cast("int"), (high - low + 1).cast("int")).alias("text")
+    )
+    grouped = dealt.groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+    first = F.element_at("p", 1)["at"]
+    gap = lambda x, i: F.when(i > 0, x["at"] - F.get("p", i - 1)["at"] - F.length(F.get("p", i - 1)["text"])).otherwise(F.lit(0)).cast("int")
+    filled = F.array_join(F.transform("p", lambda x, i: F.concat(F.repeat(F.lit("N"), gap(x, i)), x["text"])), "")
+    return grouped.select("chrom", F.col("chunk").cast("long").alias("chunk"), first.alias("first"), filled.alias("seq"))
+
+
+def chunked(bases: DataFrame, chunk: int = CHUNK, margin: int = MARGIN) -> DataFrame:
+    """:func:`assembled` from single bases (chrom, pos, base)."""
+    return assembled(bases.select("chrom", "pos", F.col("base").alias("seq")), chunk, margin)
+
+
+def with_margin(chunks: DataFrame, margin: int, chunk: int = CHUNK) -> DataFrame:
+    """The same chunks with another margin, taken from the neighbours' texts."""
+    start = F.greatest("first", F.col("chunk") * chunk)
+    end = F.least(F.col("first") + F.length("seq"), (F.col("chunk") + 1) * chunk)
+    own = F.substring("seq", (start - F.col("first") + 1).cast("int"), F.greatest(F.lit(0), end - start).cast("int"))
+    return assembled(chunks.select("chrom", start.alias("pos"), own.alias("seq")), chunk, margin)
 
 
 def with_window(points: DataFrame, chunks: DataFrame, position: str, left: int, right: int, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Adds the bases [position - left, position + right]; N beyond the sequence's ends."""
+    """Adds the bases [position - left, position + right]; N beyond the sequence's ends.
+
+    ``left`` and ``right`` may not pass the chunks' margin (see :func:`with_margin`).  A chunk is padded
+    once, and as bytes, where a substring is a slice and not a walk from the first letter on.
+    """
     keyed = points.withColumn("_chunk", F.floor(F.col(position) / chunk).cast("long"))
-    side = chunks.select(F.col("chrom").alias("_c"), F.col("chunk").alias("_k"), F.col("first").alias("_first"), F.col("seq").alias("_seq"))
+    padded = F.concat(F.repeat(F.lit("N"), F.lit(left)), F.col("seq"), F.repeat(F.lit("N"), F.lit(right))).cast("binary")
+    side = chunks.select(F.col("chrom").alias("_c"), F.col("chunk").alias("_k"), F.col("first").alias("_first"), padded.alias("_seq"))
     joined = keyed.join(side, (F.col("chrom") == F.col("_c")) & (F.col("_chunk") == F.col("_k")), "left")
-    start = F.col(position) - left - F.col("_first")
     size = left + right + 1
-    padded = F.concat(F.repeat(F.lit("N"), F.lit(left)), F.col("_seq"), F.repeat(F.lit("N"), F.lit(right)))
-    window = F.substring(padded, (start + left + 1).cast("int"), F.lit(size))
+    start = (F.col(position) - F.col("_first") + 1).cast("int")
+    window = F.substring("_seq", F.greatest(F.lit(1), start), F.greatest(F.lit(0), F.least(F.lit(size), start + size - 1))).cast("string")
+    # A position before the first known base of its chunk has unknown bases on its left.
+    window = F.rpad(F.when(start >= 1, window).otherwise(F.concat(F.repeat(F.lit("N"), F.least(F.lit(size), 1 - start)), window)), size, "N")
     return joined.withColumn(name, F.coalesce(window, F.lit("N" * size))).drop("_chunk", "_c", "_k", "_first", "_seq")
 
 

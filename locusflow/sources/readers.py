@@ -7,7 +7,7 @@ place in it, as far as Spark knows it without a sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_chrom
@@ -203,22 +203,53 @@ def genotype_matrix(spark: SparkSession, path: str, samples: int | None = None)
     )
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, pos, base), 1-based, from FASTA files; several records a file are allowed.
+#: Lines of a file that one window partition orders.
+_LINES = 13
 
-    Headers are carried forward and lengths summed over the lines of a file in their order.
-    """
-    from pyspark.sql import Window
 
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.rtrim("value").alias("line"), F.monotonically_increasing_id().alias("line_no")).where("line <> ''")
-    order = Window.partitionBy("file").orderBy("line_no")
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos of the first base, seq), one row per sequence line; several records a file are allowed.
+
+    Headers are carried forward and lengths summed in two steps, within blocks of 8,192 lines and then
+    over one row per block, so no task orders a file.
+    """
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.upper(F.rtrim(F.replace(F.col("value"), F.lit("\r"), F.lit("")))).alias("seq"), F.rtrim("value").alias("line"), F.monotonically_increasing_id().alias("line_no")).where("line <> ''")
+    rows = rows.withColumn("block", F.shiftright("line_no", _LINES))
     header = F.when(F.startswith("line", F.lit(">")), normal_chrom(F.regexp_extract("line", "^>(\\S+)", 1)))
-    named = rows.withColumns({"chrom": F.last(header, ignorenulls=True).over(order), "is_header": F.startswith("line", F.lit(">"))})
-    body = named.where("NOT is_header AND chrom IS NOT NULL")
-    before = Window.partitionBy("file", "chrom").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = body.withColumn("_before", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)))
-    letters = placed.select("chrom", "_before", F.posexplode(F.filter(F.split("line", ""), lambda x: x != "")).alias("i", "base"))
-    return letters.select("chrom", (F.col("_before") + F.col("i") + 1).alias("pos"), F.upper("base").alias("base"))
+    bases = F.when(header.isNull(), F.length("seq")).otherwise(F.lit(0)).cast("long")
+    marked = rows.select("file", "block", "line_no", "seq", header.alias("header"), bases.alias("n"))
+    order = Window.partitionBy("file", "block").orderBy("line_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    inside = marked.withColumns({"own": F.last("header", ignorenulls=True).over(order), "sum": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    inside = inside.withColumn("from", F.last(F.when(F.col("header").isNotNull(), F.col("sum")), ignorenulls=True).over(order))
+    # What a block hands on: its last header and the bases behind it, or all its bases.
+    last = F.max_by(F.struct("own", (F.col("sum") + F.col("n")).alias("sum"), "from"), "line_no").alias("x")
+    blocks = inside.groupBy("file", "block").agg(last).select("file", "block", "x.own", (F.col("x.sum") - F.coalesce("x.from", F.lit(0))).alias("tail"))
+    along = Window.partitionBy("file").orderBy("block")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("total", F.coalesce(F.sum("tail").over(earlier), F.lit(0)))
+    mark = F.last(F.when(F.col("own").isNotNull(), F.col("total")), ignorenulls=True).over(earlier)
+    carried = blocks.select(
+        F.col("file").alias("_f"), F.col("block").alias("_b"), F.last("own", ignorenulls=True).over(earlier).alias("carried"),
+        (F.col("total") - F.coalesce(mark, F.lit(0))).alias("offset"),
+    )
+    placed = inside.where("header IS NULL").join(carried, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    pos = F.when(F.col("own").isNotNull(), F.col("sum") - F.col("from")).otherwise(F.col("sum") + F.col("offset")) + 1
+    named = placed.select(F.coalesce("own", "carried").alias("chrom"), pos.alias("pos"), "seq")
+    return named.where("chrom IS NOT NULL")
+
+
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, base), 1-based, from FASTA files."""
+    letters = fasta_lines(spark, path).select("chrom", "pos", F.posexplode(F.filter(F.split("seq", ""), lambda x: x != "")).alias("i", "base"))
+    return letters.select("chrom", (F.col("pos") + F.col("i")).alias("pos"), "base")
+
+
+def fasta_chunks(spark: SparkSession, path: str, margin: int | None = None) -> DataFrame:
+    """Sequence chunks with margins, put together from whole lines."""
+    from ..operators.tracks import MARGIN, assembled
+
+    return assembled(fasta_lines(spark, path), margin=max(MARGIN, margin or 0))
 
 
 def settings(path: str, arguments: dict[str, str] | None = None) -> dict[str, str]:

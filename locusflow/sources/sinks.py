@@ -161,11 +161,16 @@ def parse_matrix_bytes(data: bytes, row_bytes: int) -> list[tuple[int, bytes]]:
     return [(struct.unpack_from("<i", data, at)[0], data[at + 4 : at + step]) for at in range(0, len(data), step)]
 
 
-def write_sequence(bases: DataFrame, path: str) -> None:
+def write_chunks(chunks: DataFrame, path: str) -> None:
     """Sequence chunks in Parquet, one folder per chromosome."""
+    chunks.write.mode("overwrite").partitionBy("chrom").parquet(path)
+
+
+def write_sequence(bases: DataFrame, path: str) -> None:
+    """:func:`write_chunks` from single bases."""
     from ..operators.tracks import chunked
 
-    chunked(bases).write.mode("overwrite").partitionBy("chrom").parquet(path)
+    write_chunks(chunked(bases), path)
 
 
 def read_sequence(spark: SparkSession, path: str) -> DataFrame:
