@@ -40,10 +40,12 @@ def _bases(spark: SparkSession, path: str) -> DataFrame:
     return flat.where(F.floor(F.col("pos") / tracks.CHUNK) == F.col("chunk")).drop("chunk")
 
 
-def _chunks(spark: SparkSession, path: str) -> DataFrame:
+def _chunks(spark: SparkSession, path: str, margin: int = tracks.MARGIN) -> DataFrame:
+    """Sequence chunks of a FASTA file or as stored, with at least the margin."""
     if path.removesuffix(".gz").endswith((".fa", ".fasta")):
-        return tracks.chunked(readers.fasta(spark, path))
-    return sinks.read_sequence(spark, path)
+        return readers.fasta_chunks(spark, path, margin)
+    chunks = sinks.read_sequence(spark, path)
+    return tracks.with_margin(chunks, margin) if margin > tracks.MARGIN else chunks
 
 
 def _vcf(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +84,7 @@ def separate_annotations(spark, annotations, sizes, out):
 
 @command("fasta", "out")
 def store_sequence(spark, fasta, out):
-    sinks.write_sequence(readers.fasta(spark, fasta), out)
+    sinks.write_chunks(readers.fasta_chunks(spark, fasta), out)
 
 
 # ---------------------------------------------------------------- elements
@@ -201,16 +203,13 @@ COMMANDS["translate-deletions"] = (["eoi", "product", "vcf", "out"], _translate(
 def _encode(make: Callable):
     def run(spark, vcf, samples, eoi, encoding, out):
         names = [r.id for r in readers.id_list(spark, samples).orderBy("line_no").collect()]
-        rows = readers.vcf(spark, vcf, genotypes=True)
-        calls = genotypes.long_genotypes(rows, names, int(encoding))
-        keyed = calls.select(F.col("id").alias("vid"), "sample", F.col("code").alias("dosage"))
-        make(keyed, rows.withColumn("vid", F.col("id")).drop("calls", "format"), _axis(spark, eoi)).write.mode("overwrite").parquet(out)
+        make(readers.vcf(spark, vcf, genotypes=True), names, _axis(spark, eoi), int(encoding)).write.mode("overwrite").parquet(out)
 
     return run
 
 
-COMMANDS["encode-snv-matrix"] = (["vcf", "samples", "eoi", "encoding", "out"], _encode(genotypes.snv_matrix))
-COMMANDS["encode-deletion-matrix"] = (["vcf", "samples", "eoi", "encoding", "out"], _encode(genotypes.deletion_matrix))
+COMMANDS["encode-snv-matrix"] = (["vcf", "samples", "eoi", "encoding", "out"], _encode(genotypes.encoded_snvs))
+COMMANDS["encode-deletion-matrix"] = (["vcf", "samples", "eoi", "encoding", "out"], _encode(genotypes.encoded_deletions))
 
 
 def _interest(spark: SparkSession, path: str) -> DataFrame:
@@ -280,7 +279,7 @@ def simulate_snvs(spark, eoi, probability, sequence, out):
 @command("eoi", "longest", "probability", "deletions", "sequence", "out")
 def simulate_indels(spark, eoi, longest, probability, deletions, sequence, out):
     n = int(longest)
-    rows = tracks.with_window(_element_bases(spark, eoi, sequence), _chunks(spark, sequence), "pos", 1, min(n, tracks.MARGIN), "_w")
+    rows = tracks.with_window(_element_bases(spark, eoi, sequence), _chunks(spark, sequence, n), "pos", 1, n, "_w")
     rows = rows.withColumns({"before": F.substring("_w", 1, 1), "following": F.substring("_w", 2, n)})
     sinks.write_vcf(simulate.simulate_indels(rows, n, float(probability), float(deletions)), out)
 
@@ -293,7 +292,7 @@ def enumerate_snvs(spark, eoi, sequence, out):
 @command("eoi", "longest", "sequence", "out")
 def enumerate_indels(spark, eoi, longest, sequence, out):
     n = int(longest)
-    rows = tracks.with_window(_element_bases(spark, eoi, sequence), _chunks(spark, sequence), "pos", 0, min(n, tracks.MARGIN), "_w")
+    rows = tracks.with_window(_element_bases(spark, eoi, sequence), _chunks(spark, sequence, n), "pos", 0, n, "_w")
     sinks.write_vcf(simulate.enumerate_indels(rows.withColumn("following", F.substring("_w", 2, n)), n), out)
 
 

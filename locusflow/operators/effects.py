@@ -9,15 +9,7 @@ from ..functions.nucleotide import amino_acid, complement
 from ..functions.text import attribute
 from .overlap import BIN, overlapping
 from .regions import promoters, subtract
-from .tracks import variant_kind
-
-# Names of effects.
-EFFECTS = (
-    "CDS_EARLY_STOP", "CDS_STOP_DISRUPTION", "CDS_NONSYNONYMOUS", "CDS_SYNONYMOUS", "CDS_INFRAME_INSERTION", "CDS_POST_INFRAME_INSERTION",
-    "CDS_FRAMESHIFT_INSERTION", "CDS_INFRAME_DELETION", "CDS_FRAMESHIFT_DELETION", "CDS_CNV", "SPLICE_LOSS", "SPLICE_GAIN", "INTRON",
-    "UTR5", "UTR3", "PROMOTER", "NONE",
-)
-
+from .tracks import CHUNK, variant_kind, with_window
 
 def gene_elements(gff: DataFrame, sizes: DataFrame, promoter: int) -> DataFrame:
     """(chrom, start, end, name, strand, element_type, transcript) of CDS, UTRs, introns and promoters.
@@ -57,29 +49,52 @@ def splice_loss(intron_start: Column, intron_end: Column, strand: Column, pos: C
     return F.coalesce(site & (old != alt), F.lit(False))
 
 
-def coding_effect(kind: Column, old_codon: Column, new_codon: Column, size: Column, codon_phase: Column, old_next: Column | None = None) -> Column:
+def coding_effect(kind: Column, old_codon: Column, new_codon: Column, size: Column, indel_phase: Column) -> Column:
     """Effect inside a CDS whose transcript is a whole number of codons.
 
-    ``codon_phase`` is the 0-based place in the codon; a deletion is in frame only if it starts on a
-    codon boundary.
+    ``indel_phase`` is the place in its codon (0 to 2), in reading order, of the first base behind an
+    insertion or of the first one deleted: only on a codon boundary whole codons come or go.
     """
     old, new = amino_acid(old_codon), amino_acid(new_codon)
     snv = (
         F.when(new == "STOP", "CDS_EARLY_STOP").when(old == "STOP", "CDS_STOP_DISRUPTION").when(old != new, "CDS_NONSYNONYMOUS").otherwise("CDS_SYNONYMOUS")
     )
-    ins = F.when((size % 3 == 0) & (codon_phase == 2), "CDS_INFRAME_INSERTION").when(size % 3 == 0, "CDS_POST_INFRAME_INSERTION").otherwise("CDS_FRAMESHIFT_INSERTION")
-    gone = F.when((size % 3 == 0) & (codon_phase == 0), "CDS_INFRAME_DELETION").otherwise("CDS_FRAMESHIFT_DELETION")
+    ins = F.when((size % 3 == 0) & (indel_phase == 0), "CDS_INFRAME_INSERTION").when(size % 3 == 0, "CDS_POST_INFRAME_INSERTION").otherwise("CDS_FRAMESHIFT_INSERTION")
+    gone = F.when((size % 3 == 0) & (indel_phase == 0), "CDS_INFRAME_DELETION").otherwise("CDS_FRAMESHIFT_DELETION")
     return F.when(kind == "SNV", snv).when(kind == "INS", ins).when(kind == "DEL", gone).otherwise("CDS_CNV")
 
 
+def with_edges(elements: DataFrame, chunks: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Adds first2 and last2, the genome's bases at both ends of a region, as splice sites are read from them."""
+    first = with_window(elements, chunks, "start", 0, 1, "first2", chunk)
+    return with_window(first, chunks, "end", 1, 0, "last2", chunk)
+
+
+def intron_effect(kind: Column, start: Column, end: Column, strand: Column, pos: Column, ref: Column, alt: Column, first2: Column, last2: Column) -> Column:
+    """SPLICE_LOSS or INTRON: an SNV that changes a GT or AG edge, an insertion into or beside an edge's two
+    bases, or a deletion of any of them."""
+    inserted = (pos <= start) | (pos >= end - 1)  # behind ``pos``
+    gone_from, gone_to = pos + F.length(alt), pos + F.length(ref) - 1
+    deleted = ((gone_from <= start + 1) & (gone_to >= start)) | ((gone_to >= end - 1) & (gone_from <= end))
+    lost = (
+        F.when(kind == "SNV", splice_loss(start, end, strand, pos, first2, last2, alt))
+        .when(kind == "INS", inserted).when(kind == "DEL", deleted).otherwise(F.lit(False))
+    )
+    return F.when(lost, "SPLICE_LOSS").otherwise("INTRON")
+
+
 def variant_effects(variants: DataFrame, elements: DataFrame, transcripts: DataFrame, size: int = BIN) -> DataFrame:
     """One row per (variant, element): vid, name, element_type, effect, ref_aa, alt_aa.
 
     ``elements`` have chrom, start, end, name, strand, element_type; CDS rows also before, the
-    transcript's bases in front of them.  ``transcripts`` (name, seq) hold the spliced sequences;
-    those that are no whole number of codons have no coding effect.
+    transcript's bases in front of them, and introns first2 and last2 (:func:`with_edges`), without
+    which no SNV is a splice loss.  ``transcripts`` (name, seq) hold the spliced sequences; those that
+    are no whole number of codons have no coding effect.
     """
     spans = variants.withColumns({"start": F.col("pos"), "end": (F.col("pos") + F.length("ref") - 1).cast("long")})
+    for missing, kind in (("before", "long"), ("first2", "string"), ("last2", "string")):
+        if missing not in elements.columns:
+            elements = elements.withColumn(missing, F.lit(None).cast(kind))
     pairs = overlapping(spans, elements, size=size)
     joined = pairs.join(transcripts.select(F.col("name").alias("b_name"), "seq"), "b_name", "left")
     minus = F.col("b_strand") == "-"
@@ -90,19 +105,23 @@ def variant_effects(variants: DataFrame, elements: DataFrame, transcripts: DataF
     new = F.overlay(old, transcript_base(F.col("alt"), F.col("b_strand")), phase + 1, F.lit(1))
     kind = variant_kind(F.col("ref"), F.col("alt"))
     width = F.abs(F.length("ref") - F.length("alt"))
+    behind = F.when(minus, index).otherwise(index + 1)
+    gone = F.when(minus, index - F.length("ref") + 1).otherwise(index + F.length("alt"))
+    indel_phase = F.pmod(F.when(kind == "INS", behind).otherwise(gone), F.lit(3))
     whole = F.length("seq") % 3 == 0
+    here = F.col("b_element_type")
+    place = [F.col(c) for c in ("b_start", "b_end", "b_strand", "pos", "ref", "alt", "b_first2", "b_last2")]
     effect = (
-        F.when((F.col("b_element_type") == "CDS") & whole, coding_effect(kind, old, new, width, phase))
-        .when(F.col("b_element_type") == "CDS", "NONE")
-        .when(F.col("b_element_type") == "intron", F.when((kind == "SNV") & (F.least(F.col("pos") - F.col("b_start"), F.col("b_end") - F.col("pos")) < 2), "SPLICE_LOSS").otherwise("INTRON"))
-        .when(F.col("b_element_type") == "5p_UTR", "UTR5")
-        .when(F.col("b_element_type") == "3p_UTR", "UTR3")
-        .when(F.col("b_element_type") == "promoter", "PROMOTER")
+        F.when((here == "CDS") & whole, coding_effect(kind, old, new, width, indel_phase))
+        .when(here == "intron", intron_effect(kind, *place))
+        .when(here == "5p_UTR", "UTR5")
+        .when(here == "3p_UTR", "UTR3")
+        .when(here == "promoter", "PROMOTER")
         .otherwise("NONE")
     )
-    coding = (F.col("b_element_type") == "CDS") & whole & (kind == "SNV")
+    coding = (here == "CDS") & whole & (kind == "SNV")
     return joined.select(
-        "vid", F.col("b_name").alias("name"), F.col("b_element_type").alias("element_type"), effect.alias("effect"),
+        "vid", F.col("b_name").alias("name"), here.alias("element_type"), effect.alias("effect"),
         F.when(coding, amino_acid(old)).alias("ref_aa"), F.when(coding, amino_acid(new)).alias("alt_aa"),
     )
 

@@ -28,7 +28,7 @@ def long_genotypes(vcf: DataFrame, samples: list[str], encoding: int = GENO) ->
     names = F.array(*[F.lit(s) for s in samples])
     return (
         flat.withColumn("_g", alleles)
-        .withColumn("sample", F.element_at(names, F.col("sample_idx") + 1))
+        .withColumn("sample", F.try_element_at(names, F.col("sample_idx") + 1))
         .select("chrom", "pos", "id", "ref", "alt", "sample_idx", "sample", encoded(F.col("_g.a0"), F.col("_g.a1"), encoding).alias("code"), F.col("_g.phased").alias("phased"))
     )
 
@@ -36,8 +36,9 @@ def long_genotypes(vcf: DataFrame, samples: list[str], encoding: int = GENO) ->
 def snv_matrix(genotypes: DataFrame, variants: DataFrame, track: DataFrame, size: int = BIN) -> DataFrame:
     """(chrom, track_pos, alt, sample, code): codes of equal keys are united bitwise.
 
-    ``genotypes``: vid, sample, dosage.  The interval join runs before genotypes are touched, so
-    only variants inside elements are spread over samples.
+    ``genotypes``: vid, sample, dosage; ``vid`` must name one variant (a VCF's ID column does not: see
+    :func:`encoded_snvs`).  The interval join runs before genotypes are touched, so only variants
+    inside elements are spread over samples.
     """
     snvs = variants.where(variant_kind(F.col("ref"), F.col("alt")) == "SNV")
     hits = points_in(snvs, track, size=size).select("chrom", track_position(F.col("pos")).alias("track_pos"), "alt", "vid")
@@ -45,9 +46,14 @@ def snv_matrix(genotypes: DataFrame, variants: DataFrame, track: DataFrame, size
     return hits.join(called, "vid").groupBy("chrom", "track_pos", "alt", "sample").agg(F.bit_or("dosage").alias("code"))
 
 
+def matrix_deletions(variants: DataFrame) -> DataFrame:
+    """Deletions a matrix takes, those of one base of ALT and more of REF, with start and end of what is deleted."""
+    return deleted_spans(variants.where(F.length("alt") == 1))
+
+
 def deletion_matrix(genotypes: DataFrame, variants: DataFrame, track: DataFrame, size: int = BIN) -> DataFrame:
     """(chrom, track_pos, sample, code), one row per deleted base of deletions inside an element."""
-    spans = deleted_spans(variants).select("chrom", "start", "end", "vid", "ref", "alt")
+    spans = matrix_deletions(variants).select("chrom", "start", "end", "vid", "ref", "alt")
     inside = _containing(spans, track, size)
     first = F.col("track_offset") + F.col("start") - F.col("r_start")
     bases = inside.select("chrom", "vid", F.explode(F.sequence(first, first + F.col("end") - F.col("start"))).alias("track_pos"))
@@ -55,6 +61,39 @@ def deletion_matrix(genotypes: DataFrame, variants: DataFrame, track: DataFrame,
     return bases.join(called, "vid").groupBy("chrom", "track_pos", "sample").agg(F.bit_or("dosage").alias("code"))
 
 
+def _coded_samples(hits: DataFrame, keys: list[str], samples: list[str], encoding: int) -> DataFrame:
+    """Spreads rows with ``format`` and ``calls`` over samples and unites the codes of equal keys."""
+    at = F.array_position(F.split("format", ":"), "GT").cast("int")
+    flat = hits.where(at > 0).select(*keys, at.alias("_gt"), F.posexplode("calls").alias("_i", "_call"))
+    alleles = flat.withColumn("_g", genotype_alleles(F.try_element_at(F.split("_call", ":"), F.col("_gt"))))
+    names = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")
+    coded = alleles.select(*keys, F.try_element_at(names, F.col("_i") + 1).alias("sample"), encoded(F.col("_g.a0"), F.col("_g.a1"), encoding).alias("code"))
+    return coded.where("code > 0 AND sample IS NOT NULL").groupBy(*keys, "sample").agg(F.bit_or("code").alias("code"))
+
+
+def encoded_snvs(vcf: DataFrame, samples: list[str], track: DataFrame, encoding: int = GENO, size: int = BIN) -> DataFrame:
+    """The SNV matrix of VCF rows (chrom, pos, ref, alt, format, calls).
+
+    A row carries its own calls through the interval join, so no identifier is needed and nothing is
+    joined back; sample columns are cut for rows inside elements only.  Rows of one place and allele
+    are united.
+    """
+    snvs = vcf.where(variant_kind(F.col("ref"), F.col("alt")) == "SNV").select("chrom", "pos", "alt", "format", "calls")
+    hits = points_in(snvs, track, size=size).select("chrom", track_position(F.col("pos")).alias("track_pos"), "alt", "format", "calls")
+    return _coded_samples(hits, ["chrom", "track_pos", "alt"], samples, encoding)
+
+
+def encoded_deletions(vcf: DataFrame, samples: list[str], track: DataFrame, encoding: int = GENO, size: int = BIN) -> DataFrame:
+    """The deletion matrix of VCF rows, one row per deleted base and carrier, deletions inside an element only."""
+    spans = matrix_deletions(vcf).select("chrom", "start", "end", "format", "calls")
+    inside = points_in(spans, track, position="start", size=size).where(F.col("end") <= F.col("r_end"))
+    placed = inside.select("chrom", track_position(F.col("start")).alias("first"), (F.col("end") - F.col("start")).alias("more"), "format", "calls")
+    # Codes are united per deletion before its bases are listed: a row per base and carrier, not per call.
+    coded = _coded_samples(placed, ["chrom", "first", "more"], samples, encoding)
+    bases = coded.select("chrom", F.explode(F.sequence("first", F.col("first") + F.col("more"))).alias("track_pos"), "sample", "code")
+    return bases.groupBy("chrom", "track_pos", "sample").agg(F.bit_or("code").alias("code"))
+
+
 def allele_counts(genotypes: DataFrame) -> DataFrame:
     """Per variant: summed dosage, carriers and samples called."""
     return genotypes.groupBy("vid").agg(
