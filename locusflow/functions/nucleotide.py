@@ -134,12 +134,14 @@ def unpack_cds_impact(word: Column) -> Column:
 
 
 def term_mask(terms: Column) -> Column:
-    """Bit mask of an array of terms; unknown terms add nothing (see :func:`unknown_terms`)."""
-    names = F.array(*[F.lit(t) for t in TERM_NAMES])
-    bit = lambda t: F.array_position(names, t)
-    return F.aggregate(
-        terms, F.lit(0).cast("long"), lambda m, t: F.when(bit(t) > 0, m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (bit(t) - 1).cast("int")))).otherwise(m)
-    )
+    """Bit mask of an array of terms; unknown terms add nothing (see :func:`unknown_terms`).
+
+    One membership test per known term: these are compiled, which a fold over the array is not.
+    """
+    mask = F.lit(0).cast("long")
+    for i, t in enumerate(TERM_NAMES):
+        mask = mask.bitwiseOR(F.when(F.array_contains(terms, t), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.when(terms.isNotNull(), mask)
 
 
 def unknown_terms(terms: Column) -> Column:

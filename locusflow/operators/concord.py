@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import range_bucket, sums_before
 from .overlap import prefixed
 
 
@@ -121,7 +122,9 @@ def converted_annotations(rows: DataFrame, terms: DataFrame, kind: str) -> DataF
     right_kind = F.lit(True) if kind == "SNV" else parts[2] == kind
     named = F.array_join(F.slice(parts, 4, 1000), "_")
     kept = cut.where(right_kind & (named == F.col("transcript"))).join(terms, F.col("effect") == F.col("source"))
-    order = F.row_number().over(Window.orderBy("line_no", "target"))
+    kept = kept.select("chrom", "start", "end", "ref", "alt", "id", "transcript", "target", "line_no")
+    kept = sums_before(kept, [], range_bucket(kept, "line_no"), ["line_no", "target"], {"before": F.lit(1)})
+    order = F.col("before") + 1
     number = F.when(order <= 470, order + 30).otherwise((order - 471) % 471 + 30)
     position = F.col("end") if kind == "SNV" else F.col("start")
     last = (position + F.greatest(F.length("ref") - F.length("alt"), F.lit(0)) - 1) if kind == "DEL" else position

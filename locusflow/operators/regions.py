@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import range_bucket, sums_before, with_neighbours
 from .overlap import BIN, hit_by, overlapping
 
 
@@ -39,11 +40,30 @@ def merge(regions: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",))
     One row per island with its keys, start, end and n_merged.  Pass ``("chrom", "strand")`` to
     merge strands apart, ``("chrom", "name")`` per element.
 
-    Merging is associative, so stretches of the axis are merged in parallel first and only their
-    islands meet in one window per key.
+    Stretches of the axis are merged in parallel.  Islands that an earlier stretch reaches are then one
+    row per stretch, as they belong together, and of the others only a stretch's last can reach on: at
+    most two rows per stretch meet in a window per key, all other islands are finished.
     """
     rows = regions.where("start <= end").select(*keys, "start", "end", F.lit(1).cast("long").alias("n_merged"), stretch().alias("_stretch"))
-    return _islands(_islands(rows, gap, [*keys, "_stretch"]).drop("_stretch"), gap, list(keys))
+    local = _islands(rows, gap, [*keys, "_stretch"])
+    along = Window.partitionBy(*keys).orderBy("_stretch")
+    bounds = local.groupBy(*keys, "_stretch").agg(F.max("end").alias("_top"), F.min("start").alias("_low"))
+    bounds = bounds.select(
+        *[F.col(k).alias(f"_k_{k}") for k in (*keys, "_stretch")],
+        F.max("_top").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"),
+        F.lead("_low").over(along).alias("_next"),
+    )
+    same = F.lit(True)
+    for k in (*keys, "_stretch"):
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    reached = F.coalesce(F.col("start") <= F.col("_reach") + gap, F.lit(False))
+    reaching = F.coalesce(F.col("end") + gap >= F.col("_next"), F.lit(False))
+    placed = local.join(bounds, same).select(*keys, "_stretch", "start", "end", "n_merged", reached.alias("_reached"), reaching.alias("_reaching"))
+    done = placed.where("NOT _reached AND NOT _reaching").select(*keys, "start", "end", "n_merged")
+    open_ = placed.where("_reached OR _reaching").groupBy(*keys, "_stretch", "_reached").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_merged").alias("n_merged")
+    )
+    return done.unionByName(_islands(open_, gap, list(keys)).select(*keys, "start", "end", "n_merged"))
 
 
 def merge_all(region_sets: list[DataFrame], gap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
@@ -259,16 +279,26 @@ def association_counts(peaks: DataFrame, profile: str, gap: int = 0, size: int =
 
 def adjusted_p_values(tests: DataFrame, log_p: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """log q = log p + ln(n / rank), without the monotone step; ties in ``log_p`` keep distinct ranks by row order of ``name``."""
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(group.orderBy(F.col(log_p), F.col("name")))
-    return tests.withColumn("rank", rank).withColumn("log_q", F.col(log_p) + F.log(F.count(F.lit(1)).over(group) / F.col("rank")))
+    ranked = sums_before(tests, list(keys), range_bucket(tests, log_p), [F.col(log_p), F.col("name")], {"rank": F.lit(1)})
+    ranked = ranked.withColumn("rank", (F.col("rank") + 1).cast("int"))
+    totals = tests.groupBy(*[F.col(k).alias(f"_n_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    if keys:
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_n_{k}"))
+        counted = ranked.join(totals, same)
+    else:
+        counted = ranked.withColumn("_n", F.lit(totals.first()["_n"]))
+    return counted.select(*tests.columns, "rank", (F.col(log_p) + F.log(F.col("_n") / F.col("rank"))).alias("log_q"))
 
 
 def top_by_coverage(regions: DataFrame, most: int, order: str) -> DataFrame:
-    """Per chromosome, the best regions until their summed length reaches ``most``, the crossing one included."""
-    best = Window.partitionBy("chrom").orderBy(F.desc(order), "start", "end", "name")
-    before = F.coalesce(F.sum(length()).over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return regions.withColumn("covered_before", before).where((F.col("covered_before") < most) | (F.col("covered_before") == 0))
+    """Per chromosome, the best regions until their summed length reaches ``most``, the crossing one included.
+
+    ``order`` is a number, the greatest first.
+    """
+    found = sums_before(regions, ["chrom"], range_bucket(regions, order, descending=True), [F.desc(order), "start", "end", "name"], {"covered_before": length()})
+    return found.where((F.col("covered_before") < most) | (F.col("covered_before") == 0))
 
 
 # ---------------------------------------------------------------- distances
@@ -307,16 +337,17 @@ def nearest(a: DataFrame, b: DataFrame, row_id: str, cap: int = 10_000_000) -> D
 
 def self_distances(regions: DataFrame) -> DataFrame:
     """Distance of each region to the nearer neighbour in sorted order; the first and last of a chromosome are left out."""
-    order = Window.partitionBy("chrom").orderBy("start", "end", F.length("name"), "name")
-    gap = F.least(F.col("start") - F.lag("end").over(order), F.lead("start").over(order) - F.col("end"))
-    ends = F.lag("end").over(order).isNotNull() & F.lead("start").over(order).isNotNull()
-    return regions.withColumn("distance", F.when(ends, gap)).where("distance is not null")
+    order = [F.col("start"), F.col("end"), F.length("name"), F.col("name")]
+    found = with_neighbours(regions, ["chrom"], stretch(), order, {"_back": "end"}, {"_ahead": "start"})
+    gap = F.least(F.col("start") - F.col("_back"), F.col("_ahead") - F.col("end"))
+    inner = F.col("_back").isNotNull() & F.col("_ahead").isNotNull()
+    return found.withColumn("distance", F.when(inner, gap)).where("distance is not null").drop("_back", "_ahead")
 
 
 def successive_distances(regions: DataFrame, order_by: str) -> DataFrame:
-    """start of the next region in list order less this end; negatives are kept."""
-    order = Window.partitionBy("chrom").orderBy(order_by)
-    return regions.withColumn("distance", F.lead("start").over(order) - F.col("end")).where("distance is not null")
+    """start of the next region in list order (a number) less this end; negatives are kept."""
+    found = with_neighbours(regions, ["chrom"], range_bucket(regions, order_by), [F.col(order_by)], {}, {"_ahead": "start"})
+    return found.withColumn("distance", F.col("_ahead") - F.col("end")).where("distance is not null").drop("_ahead")
 
 
 def hull_by(regions: DataFrame, key: str) -> DataFrame:
@@ -338,8 +369,9 @@ def flattened(composites: DataFrame, intervals: str = "intervals") -> DataFrame:
 def top_spaced(regions: DataFrame, score: str, n: int, apart: int) -> DataFrame:
     """Greedy best-first choice per chromosome, each more than ``apart`` from all chosen; then the same from the worst.
 
-    Inherently sequential: a chromosome's rows stream once, best first, past the at most ``n``
-    chosen ones, which is all that is held.
+    The choice goes by the rows best first and ends with the n-th, so only a leading part of them
+    decides.  That part is taken per partition before anything is shuffled, and taken longer until
+    every side has its n or has been read to its end: the result is that of all rows.
     """
     import pyarrow as pa
 
@@ -361,5 +393,14 @@ def top_spaced(regions: DataFrame, score: str, n: int, apart: int) -> DataFrame:
     base = regions.select("chrom", "start", "end", "name", F.col(score).cast("double").alias("score"))
     sides = base.withColumn("side", F.explode(F.array(F.lit("top"), F.lit("bottom"))))
     key = F.when(F.col("side") == "top", -F.col("score")).otherwise(F.col("score"))
-    dealt = sides.repartition("chrom", "side").sortWithinPartitions("chrom", "side", key, "start", "end", "name")
-    return dealt.mapInArrow(choose, schema)
+    order = [key, F.col("start"), F.col("end"), F.col("name")]
+    most = 64 * n
+    while True:
+        first = sides.withColumn("_i", F.row_number().over(Window.partitionBy("chrom", "side").orderBy(*order))).where(F.col("_i") <= most).drop("_i")
+        dealt = first.repartition("chrom", "side").sortWithinPartitions("chrom", "side", *order)
+        found = dealt.mapInArrow(choose, schema)
+        read = first.groupBy("chrom", "side").agg(F.count(F.lit(1)).alias("read"))
+        held = found.groupBy("chrom", "side").agg(F.count(F.lit(1)).alias("held"))
+        if not read.join(held, ["chrom", "side"], "left").where((F.col("read") == most) & (F.coalesce("held", F.lit(0)) < n)).limit(1).count():
+            return found
+        most *= 8

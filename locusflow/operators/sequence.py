@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.nucleotide import base_code, is_gc, oriented, reverse_complement
 from ..functions.text import derived_frequency
+from .ordering import sums_before, with_neighbours
 from .overlap import BIN, points_in, prefixed
+from .regions import STRETCH, stretch
 from .tracks import CHUNK
 
 # ---------------------------------------------------------------- extraction
@@ -100,27 +102,43 @@ def enriched_kmers(positive: DataFrame, negative: DataFrame, most: int = 2000) -
     return best.select("kmer", "n_pos", "n_neg", "share_pos", "share_neg")
 
 
-def gapped_distance(a: str, b: str, gap: float = 1.0, band: int = 3) -> float:
-    """Edits between two k-mers where end gaps up to ``band`` cost nothing."""
-    best = float("inf")
+def gapped_distances(a: np.ndarray, b: np.ndarray, gap: float = 1.0, band: int = 3) -> np.ndarray:
+    """Edits between rows of two letter matrices, pair by pair, where end gaps up to ``band`` cost nothing.
+
+    One edit-distance table per shift, filled cell by cell for all pairs at once.
+    """
+    best = np.full(len(a), np.inf)
     for shift in range(-band, band + 1):
-        x, y = (a[shift:], b) if shift >= 0 else (a, b[-shift:])
-        n = min(len(x), len(y))
-        row = list(np.arange(n + 1) * gap)
+        x, y = (a[:, shift:], b) if shift >= 0 else (a, b[:, -shift:])
+        n = min(x.shape[1], y.shape[1])
+        row = np.tile(np.arange(n + 1) * gap, (len(a), 1))
         for i in range(1, n + 1):
-            above, row[0] = row[0], i * gap
+            swapped = row[:, :-1] + (x[:, i - 1 : i] != y[:, :n])
+            next_row = np.empty_like(row)
+            next_row[:, 0] = i * gap
+            np.minimum(swapped, row[:, 1:] + gap, out=next_row[:, 1:])
             for j in range(1, n + 1):
-                above, row[j] = row[j], min(above + (x[i - 1] != y[j - 1]), row[j] + gap, row[j - 1] + gap)
-        best = min(best, row[n])
-    return float(best)
+                np.minimum(next_row[:, j], next_row[:, j - 1] + gap, out=next_row[:, j])
+            row = next_row
+        best = np.minimum(best, row[:, n])
+    return best
+
+
+def gapped_distance(a: str, b: str, gap: float = 1.0, band: int = 3) -> float:
+    """:func:`gapped_distances` of one pair of k-mers."""
+    letters = [np.frombuffer(x.encode(), np.uint8).reshape(1, -1) for x in (a, b)]
+    return float(gapped_distances(*letters, gap, band)[0])
 
 
 def kmer_distances(kmers: DataFrame, band: int = 3) -> DataFrame:
-    """Gapped distance of each pair among a bounded list of k-mers (such as a top-2000)."""
+    """Gapped distance of each pair among a bounded list of k-mers of one length (such as a top-2000)."""
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([gapped_distance(x, y, band=band) for x, y in zip(a, b)])
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        x, y = (np.frombuffer("".join(s).encode(), np.uint8).reshape(len(s), -1) for s in (a, b))
+        return pd.Series(gapped_distances(x, y, band=band))
 
     side = kmers.select("kmer")
     both = side.join(F.broadcast(side.withColumnRenamed("kmer", "other")), F.col("kmer") < F.col("other"))
@@ -179,9 +197,9 @@ def fit_motif(sequences: DataFrame, key: str, k: int, rounds: int = 10, seed: in
 
 
 def shuffled(seq: Column, seed: int, salt: Column) -> Column:
-    """The letters of a sequence in an order drawn from (salt, seed)."""
+    """The letters of a sequence in an order drawn from (salt, seed): by the MD5 of salt, seed and place."""
     letters = F.filter(F.split(seq, ""), lambda x: x != "")
-    keyed = F.transform(letters, lambda x, i: F.struct(F.xxhash64(salt, F.lit(seed), i).alias("h"), x.alias("b")))
+    keyed = F.transform(letters, lambda x, i: F.struct(F.md5(F.concat_ws("|", salt.cast("string"), F.lit(str(seed)), (i + 1).cast("string"))).alias("h"), x.alias("b")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["b"]), "")
 
 
@@ -200,20 +218,31 @@ def dna_walk(bases: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Running sum of +1 for a pyrimidine and -1 for a purine, with GC flag and base code."""
     upper = F.upper("base")
     step = F.when(upper.isin("C", "T", "U"), 1).when(upper.isin("A", "G"), -1).otherwise(0)
-    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return bases.withColumns({"walk": F.sum(step).over(order), "gc": is_gc(F.col("base")).cast("int"), "code": base_code(F.col("base"))})
+    walked = sums_before(bases, list(keys), stretch("pos"), ["pos"], {"walk": step}).withColumn("walk", F.col("walk") + step)
+    return walked.withColumns({"gc": is_gc(F.col("base")).cast("int"), "code": base_code(F.col("base"))})
 
 
 def centred_kmer_values(bases: DataFrame, k: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Base-4 number of the k-mer centred on each base (odd k), lowest digit first; null at the ends."""
+    """Base-4 number of the k-mer centred on each base (odd k), lowest digit first; null where a base of it is missing.
+
+    Bases near a border between stretches are dealt to both, so every k-mer lies in one of them.
+    """
     half = k // 2
-    frame = Window.partitionBy(*keys).orderBy("pos")
+    near = F.array_distinct(F.array(*[F.floor((F.col("pos") + o) / F.lit(STRETCH)).cast("long") for o in (-half, 0, half)]))
+    dealt = bases.withColumn("_stretch", F.explode(near))
+    frame = Window.partitionBy(*keys, "_stretch").orderBy("pos")
     code = base_code(F.col("base"))
-    digits = [F.lead(code, o).over(frame) if o > 0 else F.lag(code, -o).over(frame) for o in range(-half, half + 1)]
-    value = digits[0].cast("long")
-    for i, d in enumerate(digits[1:], 1):
-        value = value + d * (4**i)
-    return bases.withColumn("value", value)
+
+    def digit(o: int) -> Column:
+        if o == 0:
+            return code
+        move = F.lead if o > 0 else F.lag
+        return F.when(move("pos", abs(o)).over(frame) == F.col("pos") + o, move(code, abs(o)).over(frame))
+
+    value = digit(-half).cast("long")
+    for i, o in enumerate(range(-half + 1, half + 1), 1):
+        value = value + digit(o) * (4**i)
+    return dealt.withColumn("value", value).where(F.col("_stretch") == stretch("pos")).drop("_stretch")
 
 
 # ---------------------------------------------------------------- populations
@@ -221,27 +250,34 @@ def centred_kmer_values(bases: DataFrame, k: int, keys: tuple[str, ...] = ("chro
 
 def recombination_intervals(points: DataFrame) -> DataFrame:
     """Half-open map intervals (start, end, cm_left, cm_right) from (chrom, pos, cm) points."""
-    order = Window.partitionBy("chrom").orderBy("pos")
-    left = points.withColumns({"start": F.lag("pos").over(order), "cm_left": F.lag("cm").over(order)})
+    left = with_neighbours(points.select("chrom", "pos", "cm"), ["chrom"], stretch("pos"), [F.col("pos")], {"start": "pos", "cm_left": "cm"}, {})
     return left.where("start is not null").select("chrom", "start", F.col("pos").alias("end"), "cm_left", F.col("cm").alias("cm_right"))
 
 
 def cm_at(positions: DataFrame, points: DataFrame, position: str = "pos", name: str = "cm") -> DataFrame:
     """Adds the map value at a position, linear between points; outside the map the nearest point counts.
 
-    As-of lookups on both sides over one sorted union.
+    As-of lookups on both sides over a sorted union, within stretches and then over one row per stretch.
     """
     ours = positions.withColumns({"_p": F.col(position), "_m": F.lit(None).cast("double"), "_own": F.lit(1)})
     theirs = points.select(F.col("chrom"), F.col("pos").alias("_p"), F.col("cm").alias("_m"), F.lit(0).alias("_own"))
-    both = ours.unionByName(theirs, allowMissingColumns=True)
-    back = Window.partitionBy("chrom").orderBy("_p", "_own").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("chrom").orderBy(F.desc("_p"), "_own").rowsBetween(Window.unboundedPreceding, 0)
+    both = ours.unionByName(theirs, allowMissingColumns=True).withColumn("_stretch", stretch("_p"))
+    back = Window.partitionBy("chrom", "_stretch").orderBy("_p", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("chrom", "_stretch").orderBy(F.desc("_p"), "_own").rowsBetween(Window.unboundedPreceding, 0)
     here = F.when(F.col("_own") == 0, F.struct("_p", "_m"))
     found = both.withColumns({"_l": F.last(here, ignorenulls=True).over(back), "_r": F.last(here, ignorenulls=True).over(ahead)}).where("_own = 1")
+    along = Window.partitionBy("_c").orderBy("_k")
+    edges = both.groupBy(F.col("chrom").alias("_c"), F.col("_stretch").alias("_k")).agg(F.max(here).alias("_top"), F.min(here).alias("_low"))
+    edges = edges.select(
+        "_c", "_k", F.last("_top", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_low", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"),
+    )
+    found = found.join(edges, F.col("chrom").eqNullSafe(F.col("_c")) & F.col("_stretch").eqNullSafe(F.col("_k")))
+    found = found.withColumns({"_l": F.coalesce("_l", "_before"), "_r": F.coalesce("_r", "_behind")})
     share = (F.col("_p") - F.col("_l._p")) / (F.col("_r._p") - F.col("_l._p"))
     between = F.col("_l._m") + share * (F.col("_r._m") - F.col("_l._m"))
     value = F.when(F.col("_l").isNull(), F.col("_r._m")).when(F.col("_r").isNull() | (F.col("_r._p") == F.col("_l._p")), F.col("_l._m")).otherwise(between)
-    return found.withColumn(name, value).drop("_p", "_m", "_own", "_l", "_r")
+    return found.select(*positions.columns, value.alias(name))
 
 
 def cm_distance(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -267,23 +303,23 @@ def verified_snp(ref: Column, ancestral: Column, alt: Column, genome_base: Colum
 
 
 def random_sequences(spark, n: int, length: int, seed: int = 1, embedded: str | None = None, mutation: float = 0.0) -> DataFrame:
-    """``n`` sequences of random bases, drawn from (row, seed), optionally holding a mutated k-mer at a random place."""
+    """``n`` sequences of random bases, drawn from (row, place, seed), optionally holding a mutated k-mer at a random place."""
+    from .simulate import uniform
 
-    def draw(*parts) -> Column:
-        return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 20))
+    def base(*key: Column) -> Column:
+        return F.substring(F.lit("ACGT"), (F.floor(uniform(seed, *key) * 4) + 1).cast("int"), F.lit(1))
 
-    base = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substring(F.lit("ACGT"), (draw(F.col("id"), i) % 4 + 1).cast("int"), F.lit(1)))
-    rows = spark.range(n).select("id", F.array_join(base, "").alias("seq"))
+    letters = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: base(F.col("id"), i))
+    rows = spark.range(n).select("id", F.array_join(letters, "").alias("seq"))
     if not embedded:
         return rows
     k = len(embedded)
-    letters = F.array(*[F.lit(c) for c in embedded])
-    mutated = F.transform(
-        letters,
-        lambda c, i: F.when(draw(F.col("id"), i, F.lit("m")) < int(mutation * (1 << 20)), F.substring(F.lit("ACGT"), (draw(F.col("id"), i, F.lit("b")) % 4 + 1).cast("int"), F.lit(1))).otherwise(c),
-    )
-    place = (draw(F.col("id"), F.lit("at")) % (length - k + 1) + 1).cast("int")
-    return rows.withColumn("place", place).withColumn("seq", F.overlay("seq", F.array_join(mutated, ""), F.col("place"), F.lit(k)))
+    mutated = [
+        F.when(uniform(seed, F.col("id"), F.lit(i + 1), F.lit("changes")) < mutation, base(F.col("id"), F.lit(i + 1), F.lit("to"))).otherwise(F.lit(c))
+        for i, c in enumerate(embedded)
+    ]
+    place = (F.floor(uniform(seed, F.col("id"), F.lit("place")) * (length - k + 1)) + 1).cast("int")
+    return rows.withColumn("place", place).withColumn("seq", F.overlay("seq", F.concat(*mutated), F.col("place"), F.lit(k)))
 
 
 def same_sequences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

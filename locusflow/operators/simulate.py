@@ -5,18 +5,24 @@ Randomness is a hash of (key, seed), so results do not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import TOGETHER, range_bucket, sums_before
 from .overlap import overlapping
 from .regions import merge
 
-_DRAWS = 1 << 53
+#: Hexadecimal digits of a hash that make a draw: 52 bits, which a double holds exactly.
+_DIGITS = 13
 
 
 def uniform(seed: int, *key: Column) -> Column:
-    """A number in [0, 1) drawn from the key and the seed."""
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(_DRAWS)) / F.lit(float(_DRAWS))
+    """A number in [0, 1) drawn from the key and the seed.
+
+    It is the head of an MD5 over the key's texts joined by ``|``, which any SQL engine can repeat.
+    """
+    text = F.concat_ws("|", *[k.cast("string") for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("long") / F.lit(float(16**_DIGITS))
 
 
 def normal(seed: int, *key: Column) -> Column:
@@ -27,7 +33,32 @@ def normal(seed: int, *key: Column) -> Column:
 
 def permuted(rows: DataFrame, seed: int, *key: str) -> DataFrame:
     """Rows in an order drawn from their keys."""
-    return rows.orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), *key)
+    return rows.orderBy(uniform(seed, *[F.col(k) for k in key]), *key)
+
+
+def line_sample(rows: DataFrame, share: float, seed: int, *key: str) -> DataFrame:
+    """Rows whose draw lies below the share: about that part of them, the same in every run."""
+    return rows.where(uniform(seed, *[F.col(k) for k in key]) < share)
+
+
+def parts_of(rows: DataFrame, parts: int, seed: int, *key: str) -> DataFrame:
+    """Adds ``part``, 0 to parts - 1: rows split at random into lists of about equal length."""
+    return rows.withColumn("part", F.floor(uniform(seed, *[F.col(k) for k in key]) * parts).cast("int"))
+
+
+def in_turn(rows: DataFrame, parts: int, order: str) -> DataFrame:
+    """Adds ``part``: rows are dealt in turn, in the order of a number."""
+    numbered = sums_before(rows, [], range_bucket(rows, order), [order], {"_i": F.lit(1)})
+    return numbered.withColumn("part", F.pmod("_i", F.lit(parts)).cast("int")).drop("_i")
+
+
+def interleaved(lists: list[DataFrame], order: str) -> DataFrame:
+    """Rows of several lists in one list: all first ones, then all second ones, and so on; adds turn and part."""
+    out = None
+    for part, rows in enumerate(lists):
+        numbered = sums_before(rows, [], range_bucket(rows, order), [order], {"turn": F.lit(1)}).withColumn("part", F.lit(part))
+        out = numbered if out is None else out.unionByName(numbered)
+    return out.orderBy("turn", "part")
 
 
 def element_bases(regions: DataFrame, bases: DataFrame) -> DataFrame:
@@ -110,9 +141,17 @@ def random_overlap(a: DataFrame, b: DataFrame, sizes: DataFrame, replicates: int
 
 
 def shuffled_profiles(peaks: DataFrame, profile: str, seed: int = 1, row_id: str = "row_id") -> DataFrame:
-    """Profiles keep their numbers of peaks, but the peaks are dealt anew; merged per profile."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id)
-    own = Window.partitionBy(F.lit(0)).orderBy(profile, row_id)
-    places = peaks.select("chrom", "start", "end", F.row_number().over(order).alias("_i"))
-    names = peaks.select(F.col(profile).alias(profile), F.row_number().over(own).alias("_i"))
+    """Profiles keep their numbers of peaks, but the peaks are dealt anew; merged per profile.
+
+    Places and profiles are numbered by draws of their own and joined by number; the draws are even,
+    so their ranges are buckets of about equal size.
+    """
+    ranges = max(1, -(-peaks.count() // TOGETHER))
+
+    def numbered(rows: DataFrame, salt: int) -> DataFrame:
+        drawn = rows.withColumn("_u", uniform(salt, F.col(row_id)))
+        return sums_before(drawn, [], F.floor(F.col("_u") * ranges), ["_u", row_id], {"_i": F.lit(1)}).drop("_u")
+
+    places = numbered(peaks.select(row_id, "chrom", "start", "end"), seed).drop(row_id)
+    names = numbered(peaks.select(row_id, profile), seed + 1).drop(row_id)
     return merge(places.join(names, "_i").drop("_i"), 0, ("chrom", profile))
