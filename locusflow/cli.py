@@ -128,35 +128,10 @@ def impact_track_deletions_cds(spark, eoi, annotations, sequence, cds, out):
     axis, chunks = _axis(spark, eoi), _chunks(spark, sequence)
     rows = tracks.parsed_annotations(readers.vep(spark, annotations))
     found = tracks.impact_track(rows, axis, chunks, per_allele=False)
-    placed = elements_with_cds_neighbours(found, axis, readers.bed(spark, cds), chunks)
+    placed = translate.with_cds_neighbours(found, axis, readers.bed(spark, cds), chunks)
     placed.write.mode("overwrite").parquet(out)
 
 
-def elements_with_cds_neighbours(impacts: DataFrame, axis: DataFrame, cds: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Adds cds_neigh: three bases on either side in the element's spliced CDS, read on its strand."""
-    from .operators.sequence import extract_chunked, spliced
-
-    exons = cds.withColumn("row_id", F.monotonically_increasing_id())
-    transcripts = spliced(extract_chunked(exons, chunks, "row_id"), "name").select(F.col("name").alias("element"), F.col("seq").alias("cds_seq"))
-    spans = axis.select("chrom", F.col("track_offset").alias("start"), (F.col("track_offset") + F.col("end") - F.col("start")).alias("end"), "name", "strand", F.col("start").alias("g_start"))
-    at = overlap.points_in(impacts, spans, position="track_pos")
-    at = at.withColumns({"element": F.col("r_name"), "genome": F.col("r_g_start") + F.col("track_pos") - F.col("r_start")})
-    inside = overlap.points_in_elements(at.drop(*[c for c in at.columns if c.startswith("r_") and c not in ("r_strand",)]).withColumnRenamed("r_strand", "strand"), exons, position="genome")
-    before = _bases_before(exons)
-    joined = inside.join(before, F.col("r_row_id") == F.col("b_row_id"))
-    offset = F.when(F.col("strand") == "-", F.col("r_end") - F.col("genome")).otherwise(F.col("genome") - F.col("r_start"))
-    joined = joined.withColumn("_i", (F.col("b_before") + offset + 1).cast("int")).join(transcripts, "element")
-    padded = F.concat(F.lit("NNN"), "cds_seq", F.lit("NNN"))
-    around = F.concat(F.substring(padded, F.col("_i"), F.lit(3)), F.substring(padded, F.col("_i") + 4, F.lit(3)))
-    return joined.select("chrom", "track_pos", "mask", "frame", "pos", "neigh", around.alias("cds_neigh"))
-
-
-def _bases_before(exons: DataFrame) -> DataFrame:
-    from .operators.sequence import running_frame
-
-    return running_frame(exons, "name").select(F.col("row_id").alias("b_row_id"), F.col("transcript_before").alias("b_before"))
-
-
 def _variant_track(make: Callable):
     def run(spark, eoi, vcf, out):
         make(_vcf(spark, vcf), _axis(spark, eoi)).write.mode("overwrite").parquet(out)

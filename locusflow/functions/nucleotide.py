@@ -79,6 +79,24 @@ def transition(base: Column) -> Column:
     return F.translate(base, "ACGTacgt", "GTACgtac")
 
 
+def other_base(base: Column, draw: Column) -> Column:
+    """One of the three other bases by a draw in [0, 1); of four for an unknown base."""
+    others = F.replace(F.lit("ACGT"), F.upper(base), F.lit(""))
+    return F.substring(others, (F.floor(draw * F.length(others)) + 1).cast("int"), F.lit(1))
+
+
+def to_gc(base: Column, draw: Column) -> Column:
+    """G or C: as it is, or by a draw."""
+    return F.when(is_gc(base), F.upper(base)).otherwise(F.when(draw < 0.5, "G").otherwise("C"))
+
+
+def gc_to_au(seq: Column, which: Column, draw: Column) -> Column:
+    """The sequence with one G or C, the ``which``-th by a draw, made A or U by another; unchanged without any."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(seq))), lambda i: is_gc(F.substring(seq, i, F.lit(1))))
+    place = F.try_element_at(at, (F.floor(which * F.size(at)) + 1).cast("int"))
+    return F.when(place.isNull(), seq).otherwise(F.overlay(seq, F.when(draw < 0.5, "A").otherwise("U"), place))
+
+
 # ---------------------------------------------------------------- packed words
 
 

@@ -126,6 +126,32 @@ def variant_effects(variants: DataFrame, elements: DataFrame, transcripts: DataF
     )
 
 
+def gff_of(gff: DataFrame, feature: str | None = None, source: str | None = None) -> DataFrame:
+    """GFF rows of a feature type, of a source, or of both."""
+    if feature is not None:
+        gff = gff.where(F.col("feature") == feature)
+    return gff.where(F.col("source") == source) if source is not None else gff
+
+
+def linked_genes(gff: DataFrame, part: str = "CDS") -> DataFrame:
+    """Parts with their transcript's and gene's regions: part -> transcript by transcript_id, transcript -> gene by gene_id.
+
+    Of several rows of one id the first by place counts; parts without either are kept with nulls.
+    """
+    rows = gff.withColumns({"transcript": attribute(F.col("attributes"), "transcript_id"), "gene": attribute(F.col("attributes"), "gene_id")})
+
+    def first(feature: str, key: str, name: str, *more: str) -> DataFrame:
+        place = F.struct("start", "end")
+        found = gff_of(rows, feature).groupBy("chrom", F.col(key).alias(f"_{name}")).agg(F.min(place).alias("x"), *[F.min_by(m, place).alias(f"_{m}") for m in more])
+        return found.select("chrom", f"_{name}", F.col("x.start").alias(f"{name}_start"), F.col("x.end").alias(f"{name}_end"), *[f"_{m}" for m in more])
+
+    parts = gff_of(rows, part).select("chrom", "start", "end", "strand", "transcript")
+    transcripts = first("transcript", "transcript", "transcript", "gene").withColumnRenamed("_gene", "gene")
+    genes = first("gene", "gene", "gene")
+    own = parts.join(transcripts.withColumnsRenamed({"chrom": "_c", "_transcript": "_t"}), (F.col("chrom") == F.col("_c")) & (F.col("transcript") == F.col("_t")), "left").drop("_c", "_t")
+    return own.join(genes.withColumnsRenamed({"chrom": "_c", "_gene": "_g"}), (F.col("chrom") == F.col("_c")) & (F.col("gene") == F.col("_g")), "left").drop("_c", "_g")
+
+
 def children_of(gff: DataFrame, parent_key: str = "Parent", id_key: str = "ID") -> DataFrame:
     """(parent, child) pairs by the comma list of parents each row names."""
     named = gff.withColumns({"id": attribute(F.col("attributes"), id_key), "parents": F.split(attribute(F.col("attributes"), parent_key), ",")})

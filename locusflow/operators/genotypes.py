@@ -133,6 +133,30 @@ def deletion_carriers(matrix: DataFrame, interest: DataFrame) -> DataFrame:
     )
 
 
+def haplotype_matrix(vcf: DataFrame, bases: DataFrame | None = None) -> DataFrame:
+    """(chrom, pos, name, codes) of VCF rows: an array of haplotype codes per variant, missing -1.
+
+    Rows in which any genotype has no two alleles are dropped whole.  With ``bases`` (chrom, pos,
+    base) rows whose REF does not begin with the base there are dropped; see :func:`wrong_references`.
+    """
+    at = F.array_position(F.split("format", ":"), "GT").cast("int")
+    fields = F.transform("calls", lambda c: F.try_element_at(F.split(c, ":"), at))
+    parsed = vcf.where(at > 0).withColumn("_g", F.transform(fields, genotype_alleles))
+    whole = parsed.where(F.forall(fields, lambda g: F.coalesce(F.rlike(g, F.lit("^(\\d+|\\.)[|/](\\d+|\\.)$")), F.lit(False))))
+    if bases is not None:
+        known = bases.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.col("base").alias("_b"))
+        whole = whole.join(known, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")) & (F.upper(F.substring("ref", 1, 1)) == F.upper("_b")), "left_semi")
+    codes = F.transform("_g", lambda g: haplotype_code(g["a0"], g["a1"]))
+    return whole.select("chrom", "pos", F.concat_ws("_", "id", "ref", "alt").alias("name"), codes.alias("codes"))
+
+
+def wrong_references(vcf: DataFrame, bases: DataFrame) -> DataFrame:
+    """Rows whose REF does not begin with the genome's base, with that base: a validation query."""
+    known = bases.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), "base")
+    joined = vcf.join(known, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")))
+    return joined.where(F.upper(F.substring("ref", 1, 1)) != F.upper("base")).drop("_c", "_p")
+
+
 def haplotypes(coded: DataFrame, code: str = "code") -> DataFrame:
     """Adds hap0 and hap1, the alleles of both haplotypes."""
     return coded.withColumns({"hap0": haplotype_allele(F.col(code), 0), "hap1": haplotype_allele(F.col(code), 1)})

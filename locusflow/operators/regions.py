@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import natural_order
 from .ordering import range_bucket, sums_before, with_neighbours
 from .overlap import BIN, hit_by, overlapping
 
@@ -91,6 +92,13 @@ def subtract(a: DataFrame, b: DataFrame, row_id: str, size: int = BIN) -> DataFr
     return rows.where("_from <= _to").select(*kept, F.col("_from").alias("start"), F.col("_to").alias("end"))
 
 
+def subtract_pair(start: Column, end: Column, b_start: Column, b_end: Column) -> Column:
+    """What is left of one region outside another: an array of none, one or two (start, end)."""
+    left = F.struct(start.alias("start"), F.least(end, b_start - 1).alias("end"))
+    right = F.struct(F.greatest(start, b_end + 1).alias("start"), end.alias("end"))
+    return F.filter(F.array(left, right), lambda x: x["start"] <= x["end"])
+
+
 def introns(genes: DataFrame, exons: DataFrame, row_id: str, size: int = BIN) -> DataFrame:
     """Genes less all exons."""
     return subtract(genes, exons, row_id, size)
@@ -155,6 +163,13 @@ def ending_before(regions: DataFrame, position: int) -> DataFrame:
     return regions.where(F.col("end") < position)
 
 
+def sorted_places(regions: DataFrame, keys: tuple[str, ...] = ("chrom", "strand")) -> DataFrame:
+    """Adds ``place``, from 1: the row's place by start, end and natural order of names among rows of its keys."""
+    order = [F.col("start"), F.col("end"), *natural_order("name")]
+    found = sums_before(regions, list(keys), stretch(), order, {"place": F.lit(1)})
+    return found.withColumn("place", (F.col("place") + 1).cast("long"))
+
+
 def ill_formed(regions: DataFrame) -> DataFrame:
     return regions.where(F.col("start") > F.col("end"))
 

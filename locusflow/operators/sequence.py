@@ -130,8 +130,13 @@ def gapped_distance(a: str, b: str, gap: float = 1.0, band: int = 3) -> float:
     return float(gapped_distances(*letters, gap, band)[0])
 
 
-def kmer_distances(kmers: DataFrame, band: int = 3) -> DataFrame:
-    """Gapped distance of each pair among a bounded list of k-mers of one length (such as a top-2000)."""
+def kmer_distances(kmers: DataFrame, band: int = 3, most: int = 5_000) -> DataFrame:
+    """Gapped distance of each pair among a bounded list of k-mers of one length (such as a top-2000).
+
+    A list of more than ``most`` is refused: every pair is a row.
+    """
+    if kmers.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} k-mers; take the most frequent ones first")
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:

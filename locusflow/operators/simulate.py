@@ -31,6 +31,13 @@ def normal(seed: int, *key: Column) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * uniform(seed, *key, F.lit("v")))
 
 
+def random_places(rows: DataFrame, seed: int, row_id: str) -> DataFrame:
+    """Adds ``place``, from 0: the row's place in a random order of all rows."""
+    ranges = max(1, -(-rows.count() // TOGETHER))  # draws are even, so their ranges are buckets of about equal size
+    drawn = rows.withColumn("_u", uniform(seed, F.col(row_id)))
+    return sums_before(drawn, [], F.floor(F.col("_u") * ranges), ["_u", row_id], {"place": F.lit(1)}).drop("_u")
+
+
 def permuted(rows: DataFrame, seed: int, *key: str) -> DataFrame:
     """Rows in an order drawn from their keys."""
     return rows.orderBy(uniform(seed, *[F.col(k) for k in key]), *key)
@@ -107,11 +114,14 @@ def simulate_indels(bases: DataFrame, longest: int, probability: float, deletion
     inserts = uniform(seed + 2, *key) > deletions
     drawn = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(F.lit("ACGT"), (F.floor(uniform(seed + 3, *key, i) * 4) + 1).cast("int"), F.lit(1)))
     gone = F.substring(F.col(following), F.lit(1), size)
+    # Drawn before ``pos`` gets its new meaning: inside a lambda Spark would take the new one.
+    hit = hit.withColumns({"_ins": inserts, "_drawn": F.array_join(drawn, ""), "_gone": gone})
+    inserts = F.col("_ins")
     kind = F.when(inserts, "INS").otherwise("DEL")
     return hit.select(
         "chrom", (F.col("pos") - 1).alias("pos"), F.concat_ws("_", "chrom", F.col("pos").cast("string"), kind, "element").alias("id"),
-        F.when(inserts, F.col("before")).otherwise(F.concat("before", gone)).alias("ref"),
-        F.when(inserts, F.concat("before", F.array_join(drawn, ""))).otherwise(F.col("before")).alias("alt"),
+        F.when(inserts, F.col("before")).otherwise(F.concat("before", "_gone")).alias("ref"),
+        F.when(inserts, F.concat("before", "_drawn")).otherwise(F.col("before")).alias("alt"),
         F.lit("0|1").alias("gt"),
     )
 
@@ -124,7 +134,7 @@ def random_regions(regions: DataFrame, sizes: DataFrame, replicates: int, row_id
     if same_chrom:
         placed = copies.join(sizes.select("chrom", "length"), "chrom")
     else:
-        spans = sizes.select(F.collect_list(F.struct("chrom", "length")).alias("_all"))  # one row: the chromosome list
+        spans = sizes.select(F.array_sort(F.collect_list(F.struct("chrom", "length"))).alias("_all"))  # one row: the chromosome list
         picked = F.element_at("_all", (F.floor(uniform(seed + 7, *key) * F.size("_all")) + 1).cast("int"))
         placed = copies.drop("chrom").crossJoin(F.broadcast(spans)).withColumn("_x", picked).withColumns({"chrom": F.col("_x.chrom"), "length": F.col("_x.length")}).drop("_all", "_x")
     start = F.floor(uniform(seed, *key) * F.greatest(F.lit(1), F.col("length") - width)) + 1
@@ -143,15 +153,8 @@ def random_overlap(a: DataFrame, b: DataFrame, sizes: DataFrame, replicates: int
 def shuffled_profiles(peaks: DataFrame, profile: str, seed: int = 1, row_id: str = "row_id") -> DataFrame:
     """Profiles keep their numbers of peaks, but the peaks are dealt anew; merged per profile.
 
-    Places and profiles are numbered by draws of their own and joined by number; the draws are even,
-    so their ranges are buckets of about equal size.
+    Places and profiles are numbered at random, each on its own, and joined by number.
     """
-    ranges = max(1, -(-peaks.count() // TOGETHER))
-
-    def numbered(rows: DataFrame, salt: int) -> DataFrame:
-        drawn = rows.withColumn("_u", uniform(salt, F.col(row_id)))
-        return sums_before(drawn, [], F.floor(F.col("_u") * ranges), ["_u", row_id], {"_i": F.lit(1)}).drop("_u")
-
-    places = numbered(peaks.select(row_id, "chrom", "start", "end"), seed).drop(row_id)
-    names = numbered(peaks.select(row_id, profile), seed + 1).drop(row_id)
-    return merge(places.join(names, "_i").drop("_i"), 0, ("chrom", profile))
+    places = random_places(peaks.select(row_id, "chrom", "start", "end"), seed, row_id).drop(row_id)
+    names = random_places(peaks.select(row_id, profile), seed + 1, row_id).drop(row_id)
+    return merge(places.join(names, "place").drop("place"), 0, ("chrom", profile))

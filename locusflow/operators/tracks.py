@@ -109,6 +109,11 @@ def neighbourhood(points: DataFrame, chunks: DataFrame, position: str = "pos", c
     return wide.withColumn("neigh", F.concat(F.substring("_w", 1, 3), F.substring("_w", 5, 3))).drop("_w")
 
 
+def junction(points: DataFrame, chunks: DataFrame, position: str = "pos", chunk: int = CHUNK) -> DataFrame:
+    """Adds ``neigh`` of an insertion behind a position: the three bases up to it and the three behind it."""
+    return with_window(points, chunks, position, 2, 3, "neigh", chunk)
+
+
 # ---------------------------------------------------------------- annotations
 
 
@@ -123,12 +128,12 @@ def insertion_frame(cds_position: Column) -> Column:
     return F.when(F.rlike(cds_position, F.lit("^\\d+-\\d+$")), annotation_frame(cds_position)).otherwise(F.lit(0)).cast("int")
 
 
-def impact_track(annotations: DataFrame, track: DataFrame, chunks: DataFrame | None = None, per_allele: bool = True, adjacent: bool = False) -> DataFrame:
+def impact_track(annotations: DataFrame, track: DataFrame, chunks: DataFrame | None = None, per_allele: bool = True, adjacent: bool = False, chunk: int = CHUNK) -> DataFrame:
     """One row per annotated (chrom, track_pos[, alt]): impact mask, frame and neighbourhood.
 
     ``annotations`` has chrom, pos, element, mask, frame, line_no[, alt].  Masks are united; the
-    frame is that of the last line.  ``adjacent`` asks that the element also holds pos + 1, as
-    insertions do.
+    frame is that of the last line.  ``adjacent`` is for insertions: the element must also hold pos + 1,
+    and the neighbourhood is that of the junction.  ``chunk`` is the size of the chunks.
     """
     joined = points_in_elements(annotations, track)
     if adjacent:
@@ -140,7 +145,7 @@ def impact_track(annotations: DataFrame, track: DataFrame, chunks: DataFrame | N
         .agg(F.bit_or("mask").alias("mask"), F.max_by("frame", "line_no").alias("frame"), F.min("pos").alias("pos"))
     )
     if chunks is not None:
-        out = neighbourhood(out, chunks)
+        out = (junction if adjacent else neighbourhood)(out, chunks, chunk=chunk)
     return out
 
 

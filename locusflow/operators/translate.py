@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.nucleotide import amino_acid, oriented
 from ..schemas import context_mask
-from .overlap import BIN, points_in
-from .tracks import deleted_spans, impact_text, track_position, variant_kind
+from .overlap import BIN, points_in, points_in_elements
+from .tracks import CHUNK, deleted_spans, impact_text, track_position, variant_kind
 
 
 def _codon(seq: Column, frame: Column) -> Column:
@@ -118,7 +118,7 @@ def translate_deletions(variants: DataFrame, track: DataFrame, product: DataFram
     known = bases.join(product.select("chrom", "track_pos", "frame", "neigh", "mask"), ["chrom", "track_pos"], "left")
     # A deletion is decoded if any of its bases is annotated; bases without annotation have no context.
     item = F.struct("i", F.coalesce("mask", F.lit(0)).alias("mask"), F.coalesce("frame", F.lit(0)).alias("frame"), F.coalesce("neigh", F.lit("NNNNNN")).alias("neigh"))
-    keys = ["chrom", "vid", "start", "end", "ref", "alt", "name", "strand", "r_start"]
+    keys = ["chrom", "vid", "start", "end", "ref", "alt", "name", "strand", "r_start", "track_offset"]
     grouped = known.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("b"), F.count("mask").alias("annotated")).where("annotated > 0")
     cds_bits = F.lit(context_mask("CDS"))
     deleted = F.substring("ref", F.length("alt") + 1, F.length("ref"))
@@ -168,6 +168,31 @@ def translate_deletions(variants: DataFrame, track: DataFrame, product: DataFram
     )
 
 
+def with_cds_neighbours(impacts: DataFrame, axis: DataFrame, cds: DataFrame, chunks: DataFrame, chunk: int = CHUNK, size: int = BIN) -> DataFrame:
+    """Adds cds_neigh: three bases on either side in the element's spliced CDS, read on its strand; N beyond its ends.
+
+    ``impacts`` are rows of an impact track with neigh; ``cds`` the coding regions, named by element.
+    Positions outside their element's CDS are left out.
+    """
+    from .sequence import extract_chunked, running_frame, spliced
+
+    exons = cds.select("chrom", "start", "end", "name", "strand").withColumn("row_id", F.xxhash64("chrom", "name", "start", "end"))
+    transcripts = spliced(extract_chunked(exons, chunks, "row_id", chunk), "name").select(F.col("name").alias("_element"), F.col("seq").alias("_cds"))
+    before = running_frame(exons, "name").select("chrom", "start", "end", "name", "strand", F.col("transcript_before").alias("before"))
+    spans = axis.select(
+        "chrom", F.col("track_offset").alias("start"), (F.col("track_offset") + F.col("end") - F.col("start")).alias("end"), "name", F.col("start").alias("first")
+    )
+    kept = ["chrom", "track_pos", "mask", "frame", "pos", "neigh"]
+    at = points_in(impacts.select(*kept), spans, position="track_pos", size=size)
+    at = at.select(*kept, F.col("r_name").alias("element"), (F.col("r_first") + F.col("track_pos") - F.col("r_start")).alias("genome"))
+    inside = points_in_elements(at, before, position="genome", size=size)
+    offset = F.when(F.col("r_strand") == "-", F.col("r_end") - F.col("genome")).otherwise(F.col("genome") - F.col("r_start"))
+    joined = inside.withColumn("_i", (F.col("r_before") + offset + 1).cast("int")).join(transcripts, F.col("element") == F.col("_element"))
+    padded = F.concat(F.lit("NNN"), "_cds", F.lit("NNN"))
+    around = F.concat(F.substring(padded, F.col("_i"), F.lit(3)), F.substring(padded, F.col("_i") + 4, F.lit(3)))
+    return joined.select(*kept, around.alias("cds_neigh"))
+
+
 def _containing(spans: DataFrame, track: DataFrame, size: int) -> DataFrame:
     """Spans with the elements that contain them: the start decides the bin, so no span is copied."""
     points = spans.withColumn("pos", F.col("start"))

@@ -291,13 +291,6 @@ def eoi_dedup_frames(v: Views) -> DataFrame:
     return first_of(v.regions, ["name", "start", "end"], ["row_id"])
 
 
-def top_n_spaced(v: Views) -> DataFrame:
-    return regions.top_spaced(v.regions, "row_id", 10, 200)
-
-
-QUERIES["top_n_spaced"] = lambda spark, sf_dir: top_n_spaced(Views(spark, sf_dir))
-
-
 # ---------------------------------------------------------------- tracks
 
 
@@ -382,4 +375,4 @@ def encode_del(v: Views) -> DataFrame:
     return genotypes.deletion_matrix(v.genotypes, v.indels, v.axis)
 
 
-from . import catalog_domain, catalog_library  # noqa: E402,F401  register the remaining queries
+from . import catalog_domain, catalog_library, catalog_more  # noqa: E402,F401  register the remaining queries

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import nucleotide, text
 from ..operators import concord, effects, elements, genotypes, overlap, sequence, simulate, tracks, translate
 from ..schemas import TERM_NAMES, context_mask
-from .catalog import QUERIES, _RC, query
+from .catalog import _RC, query
 from .views import TERM_LIST, Views, _window_sql, base_sql, neigh_sql
 
 _CHUNK = 4_096
@@ -48,12 +48,6 @@ def translate_ins(v: Views) -> DataFrame:
     return translate.translate_insertions(v.indels, v.axis, v.impacts_with_bases(per_allele=False))
 
 
-def translate_del(v: Views) -> DataFrame:
-    return translate.translate_deletions(v.indels, v.axis, v.impacts_with_bases(per_allele=False))
-
-
-QUERIES["translate_del"] = lambda spark, sf_dir: translate_del(Views(spark, sf_dir))
-
 _CONTEXTS = ("CDS", "Splice_Region", "Splice_Acceptor", "Splice_Donor", "5p_UTR", "3p_UTR", "Start_Codon", "Stop_Codon", "Intron")
 _FLAGS = ", ".join(f"CASE WHEN {_bit(c)} THEN 1 ELSE 0 END AS f{i}" for i, c in enumerate(_CONTEXTS))
 _RUNS = ", ".join(f"CASE WHEN f{i} = 1 AND coalesce(lag(f{i}) OVER w, 0) = 0 THEN 1 ELSE 0 END AS e{i}" for i in range(9))
@@ -440,31 +434,10 @@ def enumerate_indels(v: Views) -> DataFrame:
     return simulate.enumerate_indels(rows.withColumn("following", F.substring("_w", 2, 3)).drop("_w"), 3)
 
 
-def simulate_snvs(v: Views) -> DataFrame:
-    return simulate.simulate_snvs(_element_bases(v), 0.01)
-
-
-def simulate_indels(v: Views) -> DataFrame:
-    rows = tracks.with_window(_element_bases(v), v.chunks, "pos", 1, 10, "_w", _CHUNK)
-    rows = rows.withColumns({"before": F.substring("_w", 1, 1), "following": F.substring("_w", 2, 10)}).drop("_w")
-    return simulate.simulate_indels(rows, 10, 0.01, 0.5)
-
-
 def _sizes(v: Views) -> DataFrame:
     return v.spark.range(5).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chrom"), F.lit(200_000).cast("long").alias("length"))
 
 
-def random_overlap(v: Views) -> DataFrame:
-    return simulate.random_overlap(v.regions, v.others, _sizes(v), 10, "row_id")
-
-
-def shuffled_profiles(v: Views) -> DataFrame:
-    return simulate.shuffled_profiles(v.regions.withColumn("profile", F.col("row_id") % 7), "profile")
-
-
-for _f in (simulate_snvs, simulate_indels, random_overlap, shuffled_profiles):
-    QUERIES[_f.__name__] = lambda spark, sf_dir, f=_f: f(Views(spark, sf_dir))
-
 # ---------------------------------------------------------------- effects and elements
 
 _EFFECT = f"""SELECT vid, name, 'CDS' AS element_type, CASE WHEN length(seq) % 3 <> 0 THEN 'NONE' WHEN new = 'STOP' THEN 'CDS_EARLY_STOP' WHEN old = 'STOP' THEN 'CDS_STOP_DISRUPTION'

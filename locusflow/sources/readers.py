@@ -203,6 +203,72 @@ def genotype_matrix(spark: SparkSession, path: str, samples: int | None = None)
     )
 
 
+def _unpacked(record: Column, bits: Column, samples: Column) -> Column:
+    """Sample codes of a little-endian packed record."""
+    per = F.floor(F.lit(8) / bits).cast("int")
+    digits = F.hex(record)
+
+    def code(i: Column) -> Column:
+        byte = F.conv(F.substring(digits, (2 * F.floor(i / per) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, (bits * (i % per)).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1), bits) - 1)
+
+    return F.when(samples > 0, F.transform(F.sequence(F.lit(0), samples - 1), code)).otherwise(F.array().cast("array<int>"))
+
+
+def packed_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, name, codes) of records in Parquet, see ``sinks.write_packed_matrix``."""
+    rows = spark.read.parquet(path)
+    return rows.select(F.col("chrom").cast("string").alias("chrom"), "pos", "name", _unpacked(F.col("record"), F.col("bits"), F.col("samples")).alias("codes"))
+
+
+def binary_matrix(spark: SparkSession, path: str, samples: int, bits: int, alleles: int = 1) -> DataFrame:
+    """(chrom, pos, alt, codes) of files ``CHROM_matrix.bin`` (or .gz): little-endian 32-bit positions from 0,
+    each followed by packed codes, a block per allele A, C, G, T and unknown if there are five.
+
+    Rows of codes that are all 0 are left out; positions are given from 1.  alt is null without blocks.
+    """
+    import gzip
+
+    import numpy as np
+    import pyarrow as pa
+
+    width = -(-bits * (samples + 1) // 8)
+    names = ["A", "C", "G", "T", "N"] if alleles > 1 else [None]
+
+    def parse(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                table = np.frombuffer(data, np.dtype([("pos", "<i4"), ("codes", np.uint8, (alleles, width))]))
+                chrom = name.rpartition("/")[2].partition("_matrix.bin")[0]
+                for lo in range(0, len(table), 10_000):
+                    part = table[lo : lo + 10_000]
+                    row, allele = np.nonzero(part["codes"].any(2))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([chrom] * len(row), pa.string()), pa.array(part["pos"][row].astype(np.int64) + 1),
+                            pa.array([names[a] for a in allele], pa.string()), pa.array([c.tobytes() for c in part["codes"][row, allele]], pa.binary()),
+                        ],
+                        ["chrom", "pos", "alt", "record"],
+                    )
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_matrix.bin*").load(path).select("path", "content")
+    rows = files.mapInArrow(parse, "chrom string, pos long, alt string, record binary")
+    return rows.select(normal_chrom(F.col("chrom")).alias("chrom"), "pos", "alt", _unpacked(F.col("record"), F.lit(bits), F.lit(samples)).alias("codes"))
+
+
+def matrix(spark: SparkSession, path: str, samples: int | None = None, bits: int = 2) -> DataFrame:
+    """Genotype matrix by suffix: ``.parquet`` packed records, ``.bin`` and ``.bin.gz`` binary files, all else text."""
+    name = path.removesuffix(".gz")
+    if name.endswith(".parquet"):
+        return packed_matrix(spark, path)
+    if name.endswith(".bin"):
+        if samples is None:
+            raise ValueError("a binary matrix does not say how many samples it holds")
+        return binary_matrix(spark, path, samples, bits)
+    return genotype_matrix(spark, path, samples)
+
+
 #: Lines of a file that one window partition orders.
 _LINES = 13
 

@@ -32,6 +32,17 @@ def write_bed(regions: DataFrame, path: str) -> None:
     _text(regions, path, F.col("chrom"), F.col("start") - 1, F.col("end"), *extra, sort=["chrom", "start", "end"])
 
 
+def write_bed_with_p_values(regions: DataFrame, path: str) -> None:
+    """BED6 with log p and log q behind it."""
+    columns = [F.col(c) for c in ("name", "score", "strand", "log_p", "log_q")]
+    _text(regions, path, F.col("chrom"), F.col("start") - 1, F.col("end"), *columns, sort=["chrom", "start", "end"])
+
+
+def write_p_values(regions: DataFrame, path: str) -> None:
+    """Name, log p and log q of each region, the least p first."""
+    _text(regions, path, F.col("name"), F.col("log_p"), F.col("log_q"), sort=["log_p", "name"])
+
+
 def write_interval(composites: DataFrame, path: str) -> None:
     starts = F.array_join(F.transform("intervals", lambda x: (x["start"] - 1).cast("string")), ",")
     ends = F.array_join(F.transform("intervals", lambda x: x["end"].cast("string")), ",")
@@ -161,6 +172,17 @@ def parse_matrix_bytes(data: bytes, row_bytes: int) -> list[tuple[int, bytes]]:
     return [(struct.unpack_from("<i", data, at)[0], data[at + 4 : at + step]) for at in range(0, len(data), step)]
 
 
+def write_packed_matrix(matrix: DataFrame, path: str, bits: int) -> None:
+    """Matrix rows (chrom, pos, name, codes) as records of packed codes, in Parquet by chromosome.
+
+    ``bits`` (1, 2, 4 or 8) hold a sample's code; missing ones count as 0, the number of samples goes along.
+    """
+    from ..operators.genotypes import packed_codes
+
+    records = matrix.select("chrom", "pos", "name", F.size("codes").alias("samples"), F.lit(bits).alias("bits"), F.unhex(packed_codes(F.col("codes"), bits)).alias("record"))
+    records.write.mode("overwrite").partitionBy("chrom").parquet(path)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Sequence chunks in Parquet, one folder per chromosome."""
     chunks.write.mode("overwrite").partitionBy("chrom").parquet(path)
