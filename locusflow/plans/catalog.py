@@ -375,4 +375,4 @@ def encode_del(v: Views) -> DataFrame:
     return genotypes.deletion_matrix(v.genotypes, v.indels, v.axis)
 
 
-from . import catalog_domain, catalog_library, catalog_more  # noqa: E402,F401  register the remaining queries
+from . import catalog_domain, catalog_files, catalog_library, catalog_more  # noqa: E402,F401  register the remaining queries

@@ -97,7 +97,7 @@ def write_matrix(matrix: DataFrame, path: str, form: str = "code") -> None:
     from ..functions.text import dosage_of_code
     from ..operators.genotypes import genotype_text
 
-    one = {"code": lambda c: c.cast("string"), "dosage": lambda c: F.coalesce(dosage_of_code(c), F.lit(-1)).cast("string"), "pair": genotype_text}[form]
+    one = {"code": lambda c: c.cast("string"), "dosage": lambda c: F.coalesce(dosage_of_code(c), F.lit(-1)).cast("string"), "pair": lambda c: genotype_text(c)}[form]
     _text(matrix, path, F.col("chrom"), F.col("pos") - 1, F.col("pos"), F.col("name"), F.array_join(F.transform("codes", one), "\t"), sort=["chrom", "pos"])
 
 
