@@ -9,7 +9,8 @@ threshold must hold one.  Each occurrence of a seed opens a window of the templa
 by where the template has the seed; it ends where the passage of the seed's next occurrence starts,
 so a license stated twice is two passages and its words are unique in each.  Occurrences that no
 passage holds then are tried again in windows that run on past their neighbours, which may be mere
-mentions, up to the passages found.
+mentions, up to the passages found, and in every window where the longest common subsequence leaves
+room for a passage.
 """
 
 from __future__ import annotations
@@ -98,11 +99,21 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def patience(text: list, template: list) -> list[tuple[int, int]]:
-    """Matched (text, template) positions, increasing in both."""
+    """Matched (text, template) positions, increasing in both.
+
+    Equal words at a gap's ends are matched first; what is between them is anchored at words that
+    occur once on both sides.
+    """
     out: list[tuple[int, int]] = []
     gaps = [(0, len(text), 0, len(template))]
     while gaps:
         a, a_end, b, b_end = gaps.pop()
+        while a < a_end and b < b_end and text[a] == template[b]:
+            out.append((a, b))
+            a, b = a + 1, b + 1
+        while a < a_end and b < b_end and text[a_end - 1] == template[b_end - 1]:
+            a_end, b_end = a_end - 1, b_end - 1
+            out.append((a_end, b_end))
         if a >= a_end or b >= b_end:
             continue
         once_a, once_b = Counter(text[a:a_end]), Counter(template[b:b_end])
@@ -117,6 +128,18 @@ def patience(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest_common(text: list, template: list) -> int:
+    """Length of the longest common subsequence: no alignment matches more words."""
+    row = [0] * (len(template) + 1)
+    for word in text:
+        corner = 0
+        for j, other in enumerate(template, 1):
+            above = row[j]
+            row[j] = corner + 1 if word == other else max(above, row[j - 1])
+            corner = above
+    return row[-1]
+
+
 # ---------------------------------------------------------------- scan
 
 
@@ -195,6 +218,7 @@ def passages(words: list[bytes], template: Template, coverage: float) -> list[tu
             first = max([0, *(e for _, e, _ in found if e <= at)])
             last = min([len(words), *(s for s, _, _ in found if s > at)])
             options: list[tuple[int, int, int]] = []
+            whole: list[tuple[int, int]] = []
             for lead in (j for j, w in enumerate(template.words) if w == seed):
                 start, end = at - lead, at - lead + n
                 lefts, rights = {start - slack, start}, {end + slack, end}
@@ -206,6 +230,13 @@ def passages(words: list[bytes], template: Template, coverage: float) -> list[tu
                 # No alignment matches more words than the widest window has in common with the template.
                 if (Counter(words[min(lefts) : max(rights)]) & uses).total() >= coverage * n - 1e-9:
                     options += [p for x in lefts for y in rights if (p := aligned(x, y))]
+                    whole.append((min(lefts), max(rights)))
+            if not options:  # words said twice may hide each other: every window, where any can do
+                for low, high in whole:
+                    if longest_common(words[low:high], template.words) >= coverage * n - 1e-9:
+                        lefts = [x for x in range(low, at + 1) if words[x] in uses]
+                        rights = [y for y in range(at + 1, high + 1) if words[y - 1] in uses]
+                        options += [p for x in lefts for y in rights if y - x >= coverage * n - 1e-9 and (p := aligned(x, y))]
             if options:
                 keep(min(options, key=lambda p: (-p[2], p[1] - p[0], p[0])))
     return sorted(found)

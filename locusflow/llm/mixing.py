@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     weighed = named.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).drop("_turn")
     filling = [F.col("cap") / F.col("weight"), *by_name]
     summed = running_sums(dealt_in_order(weighed, filling, whole.n, "filling"), filling, {"_full": F.col("cap"), "_used": F.col("weight")})
-    everything = float(weighed.agg(F.sum("weight").alias("w")).first().w or 0)
+    rounds, rest = divmod(whole.n, len(weights))
+    everything = float(rounds * sum(weights) + sum(weights[:rest]))
     # The level at which the sources from this one on would stand, were all before it full.
     level = (F.lit(share * (whole.size or 0)) - F.col("_full")) / (F.lit(everything) - F.col("_used"))
     opened = summed.withColumn("_level", level).where(F.col("_level") * F.col("weight") <= F.col("cap"))
@@ -85,13 +86,18 @@ def apportion(claims: DataFrame, group: list[str], seats: str, claim: str, limit
     near = near.withColumn("_margin", F.ceil(F.col("_part_of") * F.col("_rows")) + 2)
     near = near.withColumn("_sure", F.least(F.col(limit), F.greatest(F.lit(0), F.floor("_fair") - F.col("_margin"))).cast("long"))
     near = near.withColumn("_most", F.least(F.col(limit), (F.ceil("_fair") + F.col("_margin")).cast("long")))
-    near = materialize(with_totals(near, _held=F.sum("_sure")), "claims")
+    near = materialize(near, "claims")
+    if group:
+        listed = near.agg(F.sum(F.col("_most") - F.col("_sure")).alias("n")).first().n or 0
+        near = with_totals(near, _held=F.sum("_sure"))
+    else:
+        sums = near.agg(F.sum(F.col("_most") - F.col("_sure")).alias("n"), F.sum("_sure").alias("held")).first()
+        listed, near = sums.n or 0, near.withColumn("_held", F.lit(sums.held))
     seat = near.where(F.col("_most") > F.col("_sure")).select(
         *dict.fromkeys([*group, *order, claim]), (F.col(seats) - F.col("_held")).alias("_doubtful"),
         F.explode(F.sequence(F.col("_sure"), F.col("_most") - 1)).alias("_k"),
     )
     ranking = [(F.col(claim) / (2 * F.col("_k") + 1)).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
-    listed = near.agg(F.sum(F.col("_most") - F.col("_sure")).alias("n")).first().n or 0
     dealt = dealt_in_order(seat, [*[F.col(g).asc_nulls_last() for g in group], *ranking], listed, "seats")
     placed = running_sums(dealt, ranking, {"_place": F.lit(1)}, tuple(group))
     won = placed.where(F.col("_place") < F.col("_doubtful")).groupBy(*[F.col(c).alias(f"_w_{c}") for c in order]).agg(F.count(F.lit(1)).alias("_won"))
@@ -130,7 +136,7 @@ def shard_quotas(
     block, [0, wrapped).
     """
     shard_sizes = materialize(_dealt(sized, shards, seed).groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "shard-sizes")
-    sources = materialize(shard_sizes.groupBy("source").agg(F.sum("shard_size").alias("source_size")), "sources")
+    sources = shard_sizes.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
     targets = source_targets(sources, weights, share, most)
     seats = round(float(targets.agg(F.sum("target").alias("n")).first().n or 0) / block)
     claims = targets.withColumn("seats", F.lit(seats).cast("long"))

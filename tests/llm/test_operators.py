@@ -971,6 +971,71 @@ def test_license_beside_mentions_of_its_words(spark):
     assert not any(k == 5 for k, _ in found)
 
 
+def brute_windows(words, name):
+    """Every window of a text, of the lengths a passage may have, whose own alignment covers the template."""
+    template = licenses.words_of(licenses.TEMPLATES[name].encode())
+    n, uses = len(template), Counter(template)
+    least, most = math.ceil(0.8 * n - 1e-9), n + int(0.25 * n) + 1
+    inside = np.cumsum([0, *(w in uses for w in words)])
+    out = []
+    for a in range(len(words)):
+        for b in range(a + least, min(len(words), a + most) + 1):
+            if inside[b] - inside[a] >= least and words[a] in uses and words[b - 1] in uses:
+                matched = len(licenses.patience(words[a:b], template))
+                if matched >= least:
+                    out.append((a, b, matched))
+    return out
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = old[j - 1] + 1 if x == y else max(old[j], row[j - 1])
+    return row[-1]
+
+
+def test_license_scan_against_all_windows(spark, docs):
+    """Short notices, whole and damaged, among text and beside each other: no covering window lies apart from
+    what is found, and what is found is one."""
+    draw = random.Random(21)
+    names = [n for n in licenses.TEMPLATES if n.endswith("notice")]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.text and len(r.text) < 20_000]
+    for i in range(300):
+        parts = []
+        for _ in range(draw.randint(1, 4)):
+            words = licenses.TEMPLATES[draw.choice(names)].split()
+            for _ in range(draw.choice([0, 0, 1, 2])):
+                at = draw.randrange(len(words))
+                words[at : at + draw.randint(0, 1)] = draw.choice([[], ["extra"], ["License"], ["the"]])
+            parts += [*draw.choices(["lorem", "the", "license", "under", "public", "version"], k=draw.randint(0, 6)), *words]
+        rows.append((10_000 + i, " ".join(parts)))
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault((r.doc_id, r.license), []).append((r.start_word, r.end_word, r.matched))
+    for key, text in rows:
+        words = licenses.words_of(text.encode())
+        for name in names:
+            template = licenses.words_of(licenses.TEMPLATES[name].encode())
+            got = sorted(found.get((key, name), []))
+            assert all(e <= s for (_, e, _), (s, _, _) in zip(got, got[1:]))
+            for start, end, matched in got:
+                assert 0.8 * len(template) - 1e-9 <= matched <= longest_common(words[start:end], template)
+            assert all(any(a < e and s < b for s, e, _ in got) for a, b, _ in brute_windows(words, name)), (key, name, text)
+
+
+def test_patience_anchors_are_a_longest_run():
+    draw = random.Random(14)
+    for _ in range(100):
+        pairs = list(enumerate(draw.sample(range(30), draw.randrange(25))))
+        best = [1] * len(pairs)
+        for i, (_, b) in enumerate(pairs):
+            best[i] = 1 + max([best[j] for j in range(i) if pairs[j][1] < b], default=0)
+        run = licenses._longest_increasing(pairs)
+        assert len(run) == max(best, default=0) and all(x[1] < y[1] for x, y in zip(run, run[1:]))
+
+
 def test_patience_keeps_order_and_equality():
     draw = random.Random(13)
     for _ in range(200):
