@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bases of a bin.  A power of two near the length of long regions: smaller bins copy long
+#: Bases of a bin.  A power of two near the length of common regions (exons): smaller bins copy long
 #: regions more often, larger ones compare more pairs.
-BIN = 1024
+BIN = 256
 
 
 def _floor(position: Column, size: int) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nucleotide import term_mask, terms_of
+from ..functions.nucleotide import term_mask
 from ..schemas import CONTEXTS, TERM_NAMES
 from .overlap import BIN, overlapping, points_in, points_in_elements
 
@@ -263,8 +263,8 @@ def decoded_terms(product: DataFrame, track: DataFrame) -> DataFrame:
 
 def impact_text(mask: Column) -> Column:
     """Terms joined by ``;``, each followed by one; NOMINAL_IMPACT; if there are none."""
-    terms = terms_of(mask)
-    return F.when(F.size(terms) == 0, F.lit("NOMINAL_IMPACT;")).otherwise(F.concat(F.array_join(terms, ";"), F.lit(";")))
+    named = F.concat_ws(";", *[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(TERM_NAMES)])
+    return F.when(named == "", F.lit("NOMINAL_IMPACT;")).otherwise(F.concat(named, F.lit(";")))
 
 
 def context_runs(bases: DataFrame, keys: list[str], order: str, mask: str = "mask") -> DataFrame:

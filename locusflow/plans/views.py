@@ -105,6 +105,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows in at least as many partitions as there are cores: a small file is one, which would leave all
+        but one core idle where much work follows without a shuffle.  More partitions stay as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     def _regions(self, a: int, b: int, most: int, letter: str) -> DataFrame:
         start = f"cast((o_custkey * {a} + o_orderkey * {b}) % 200000 + 1 AS bigint)"
         return self.table("orders").selectExpr(
@@ -161,13 +167,17 @@ class Views:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return tracks.chunked(self.bases, 4_096)
+        """Chunks of 4,096 bases, put together from lines of 64."""
+        lines = self.spark.range(5).crossJoin(self.spark.range(0, -(-AXIS_END // 64)).withColumnRenamed("id", "k"))  # a generator, not data
+        lines = lines.selectExpr("'c' || cast(id AS string) AS chrom", "k * 64 + 1 AS pos", f"least(k * 64 + 64, {AXIS_END}) AS last")
+        letters = f"transform(sequence(pos, last), p -> {base_sql('chrom', 'p', 'div')})"
+        return tracks.assembled(lines.selectExpr("chrom", "pos", f"array_join({letters}, '') AS seq"), 4_096)
 
     @cached_property
     def vep(self) -> DataFrame:
         from ..operators.overlap import points_in
 
-        hits = points_in(self.variants, self.regions)
+        hits = points_in(self.spread(self.variants), self.spread(self.regions))
         terms = F.array(*[F.lit(t) for t, _ in TERMS])
         first = F.element_at(terms, (F.col("vid") % 37 + 1).cast("int"))
         second = F.element_at(terms, ((F.col("vid") * 7) % 37 + 1).cast("int"))
