@@ -20,7 +20,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, rows_of, text_bytes
@@ -267,10 +267,14 @@ def keep_one(
     prints, rooted = _labelled(docs, id_col, text_col, shingle, seed, max_bits, segment_bits, blocks)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(rooted, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("id"), F.col("best.digest").alias("digest"))
-    # The row goes as one struct beside its key, so no column of it can clash with the key's names.
+    kept = best.select(_row_key(F.col("best.doc_id"), F.col("best.digest")).alias("key"))
+    # The row goes as one struct beside its key, so no column of it can clash with the key's name.  One
+    # key of one column: the join and the removal of repeats share a single shuffle of the rows.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     digest = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")), 256)
-    tagged = docs.select(F.col(f"`{id_col}`").alias("own_id"), digest.alias("own_digest"), row)
-    same = tagged["own_id"].eqNullSafe(kept["id"]) & (tagged["own_digest"] == kept["digest"])
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_digest"]).select("row.*")
+    tagged = docs.select(_row_key(F.col(f"`{id_col}`"), digest).alias("key"), row)
+    return tagged.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
+def _row_key(row_id: Column, digest: Column) -> Column:
+    return F.concat(digest, F.when(row_id.isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), row_id.cast("string"))))
