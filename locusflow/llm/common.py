@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -10,27 +9,13 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder as shared_dir
+
 #: Bytes that separate words: space, tab, newline, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` splits at exactly these, so Python and SQL forms agree.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a private one if unset.
-
-    The fallback is for local runs and tests only, set once per application; on a cluster executors
-    could not see it, so there an unset folder is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    fallback = tempfile.mkdtemp(prefix="locusflow-")
-    spark.sparkContext.setCheckpointDir(f"file://{fallback}")
-    return f"file://{fallback}"
-
-
 _made: ContextVar[list[str] | None] = ContextVar("scratch tables of the running scope", default=None)
 
 

@@ -170,19 +170,28 @@ def _dealt(sized: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
     return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw")), F.col("shards"))).drop("_of", "shards")
 
 
+def _stream_key(source: Column, shard: Column) -> Column:
+    """One column that names a shard, null sources included."""
+    return F.concat_ws(":", shard.cast("string"), source.cast("string"), F.when(source.isNull(), F.lit("null")).otherwise(F.lit("")))
+
+
 def _spans(sized: DataFrame, quotas: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
-    """Adds to each document what is read of it; other columns of ``sized`` pass through."""
-    dealt = _dealt(sized, shards, seed)
-    stream = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds to each document what is read of it; other columns of ``sized`` pass through.
+
+    The streams and the quotas share one key, so documents are shuffled once.
+    """
+    dealt = _dealt(sized, shards, seed).withColumn("_stream", _stream_key(F.col("source"), F.col("shard")))
+    stream = Window.partitionBy("_stream").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(stream), F.lit(0)))
-    placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
+    keyed = quotas.withColumn("_stream", _stream_key(F.col("_source"), F.col("_shard"))).drop("_source", "_shard")
+    placed = placed.join(materialize(keyed, "quotas"), "_stream")
 
     def inside(value: Column) -> Column:
         return F.least(F.col("size"), F.greatest(F.lit(0), value - F.col("at"))).cast("long")
 
     return placed.withColumns(
         {"first_from": inside(F.col("begin")), "first_to": inside(F.col("end")), "second_from": F.lit(0).cast("long"), "second_to": inside(F.col("wrapped"))}
-    ).drop("shard", "at", "_source", "_shard", "begin", "end", "wrapped", "draw")
+    ).drop("shard", "at", "_stream", "begin", "end", "wrapped", "draw")
 
 
 def mix(
