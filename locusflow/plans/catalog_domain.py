@@ -444,26 +444,14 @@ _EFFECT = f"""SELECT vid, name, 'CDS' AS element_type, CASE WHEN length(seq) % 3
     WHEN old <> new THEN 'CDS_NONSYNONYMOUS' ELSE 'CDS_SYNONYMOUS' END AS effect, CASE WHEN length(seq) % 3 = 0 THEN old END AS ref_aa, CASE WHEN length(seq) % 3 = 0 THEN new END AS alt_aa
   FROM (SELECT x.*, c1.aa AS old, c2.aa AS new FROM (SELECT *, substr(seq, idx - idx % 3 + 1, 3) AS oc,
       substr(oc, 1, idx % 3) || (CASE WHEN strand = '-' THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END) || substr(oc, idx % 3 + 2) AS nc
-    FROM (SELECT v.vid, v.alt, t.name, t.strand, t.seq, CASE WHEN t.strand = '-' THEN t."end" - v.pos ELSE v.pos - t."start" END AS idx
-      FROM variants v JOIN rs t ON v.chrom = t.chrom AND v.pos BETWEEN t."start" AND t."end" AND t.row_id IN (SELECT max(row_id) FROM regions GROUP BY name))) x
+    FROM (SELECT v.vid, v.alt, 'R' || cast(t.row_id AS varchar) AS name, t.strand, t.seq, CASE WHEN t.strand = '-' THEN t."end" - v.pos ELSE v.pos - t."start" END AS idx
+      FROM variants v JOIN rs t ON v.chrom = t.chrom AND v.pos BETWEEN t."start" AND t."end")) x
     LEFT JOIN codons c1 ON c1.codon = oc LEFT JOIN codons c2 ON c2.codon = nc)"""
 
 
 @query(_EFFECT, bases=_BASES, rs=_REGION_SEQ)
-def variant_effects(v: Views) -> DataFrame:
-    last = v.regions.groupBy("name").agg(F.max("row_id").alias("row_id"))
-    exons = v.regions.join(last.select("row_id"), "row_id", "left_semi")
-    seqs = sequence.extract_chunked(exons, v.chunks, "row_id", _CHUNK).select("name", "seq")
-    cds = exons.select("chrom", "start", "end", "name", "strand", F.lit("CDS").alias("element_type"), F.lit(0).cast("long").alias("before"))
-    return effects.variant_effects(v.variants, cds, seqs)
-
-
-@query(
-    _EFFECT.replace("t.name", "'R' || cast(t.row_id AS varchar) AS name").replace(" AND t.row_id IN (SELECT max(row_id) FROM regions GROUP BY name)", ""),
-    bases=_BASES, rs=_REGION_SEQ,
-)
 def variant_effects_by_region(v: Views) -> DataFrame:
-    """As above over all regions, each an element of its own name."""
+    """SNVs in coding regions: every region is an element of its own."""
     exons = v.regions.withColumn("name", F.concat(F.lit("R"), F.col("row_id").cast("string")))
     seqs = sequence.extract_chunked(exons, v.chunks, "row_id", _CHUNK).select("name", "seq")
     cds = exons.select("chrom", "start", "end", "name", "strand", F.lit("CDS").alias("element_type"), F.lit(0).cast("long").alias("before"))

@@ -487,6 +487,21 @@ def subtract_pairs(v: Views) -> DataFrame:
     return pairs.select(F.col("row_id").alias("a_id"), F.col("b_row_id").alias("b_id"), F.explode(left).alias("x")).select("a_id", "b_id", "x.start", "x.end")
 
 
+@query("""SELECT a.row_id AS a_id, b.row_id AS b_id FROM regions a JOIN others b ON a.chrom = b.chrom AND a."start" // 50 = b."start" // 50
+    AND (contains(substr(a.name, 2), substr(b.name, 2)) OR contains(substr(b.name, 2), substr(a.name, 2)))""")
+def same_place_and_name(v: Views) -> DataFrame:
+    """Regions of one stretch of fifty bases whose names hold one another."""
+    place = F.floor(F.col("start") / 50)
+    coarse = lambda d: d.withColumns({"start": place, "end": place, "name": F.substring("name", 2, 9)})
+    found = overlap.same_place(coarse(v.regions), coarse(v.others), by_name=True)
+    return found.select(F.col("row_id").alias("a_id"), F.col("b_row_id").alias("b_id"))
+
+
+@query("SELECT chrom, pos, count(*) AS n FROM (SELECT chrom, pos // 50 AS pos FROM variants) GROUP BY 1, 2 HAVING count(*) > 1")
+def crowded_places(v: Views) -> DataFrame:
+    return genotypes.duplicate_places(v.variants.withColumn("pos", F.floor(F.col("pos") / 50)))
+
+
 # ---------------------------------------------------------------- sequences
 
 

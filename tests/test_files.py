@@ -122,3 +122,9 @@ def test_stream_annotates_arriving_variants(spark, files, tmp_path):
         writer = query.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True)
         writer.start().awaitTermination(120)
         assert spark.table(name).select(F.col("chrom")).count() == 1
+
+
+def test_settings_are_overridden_by_arguments(tmp_path):
+    (tmp_path / "run.conf").write_text("# a comment\nseed 5\nout = somewhere else  # why\n\nfast\n")
+    found = readers.settings(str(tmp_path / "run.conf"), {"seed": "7"})
+    assert found == {"seed": "7", "out": "somewhere else", "fast": ""}
