@@ -43,8 +43,8 @@ PARTIAL = 300_000
 ROUNDS = 1
 SMOOTHING = 0.1
 #: Classes with a model of their own, at most: the most frequent ones of the training documents.  All
-#: others share one.
-CLASSES = 8
+#: others share one.  It bounds the width of the counts and matters only for columns of more values.
+CLASSES = 64
 #: Mark of a word's start, as the vocabulary writes it.
 START = "▁".encode()
 #: The end of a text, among words; it cannot be a word.
@@ -399,6 +399,7 @@ def score(
     rounds: int = ROUNDS,
     smoothing: float = SMOOTHING,
     frequent: int = FREQUENT_WORDS,
+    most_classes: int = CLASSES,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -411,7 +412,7 @@ def score(
     and class are ignored.
     """
     spark = docs.sparkSession
-    classes, rest = class_names(docs, id_col, class_col)
+    classes, rest = class_names(docs, id_col, class_col, most_classes)
     rest = rest and bool(classes)
     counts = materialize(word_counts(docs, id_col, text_col, class_col, tuple(classes), rest), "words")
     columns = ["c", *(f"c{i}" for i in range(len(classes) + rest))]

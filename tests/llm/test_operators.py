@@ -485,8 +485,8 @@ def test_rare_and_null_classes_share_a_model(spark):
     rows = [(1_000 * i + j, " ".join(f"w{i}x{(j + k) % 30}" for k in range(30)), lang) for i, lang in enumerate(langs) for j in range(30 - 2 * i)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     plain = {r.doc_id: r.score for r in lm.score(frame, class_col=None).collect()}
-    for frequent in (lm.FREQUENT_WORDS, 0):
-        found = {r.doc_id: r.score for r in lm.score(frame, frequent=frequent).collect()}
+    for frequent, most in ((lm.FREQUENT_WORDS, 8), (0, 8), (lm.FREQUENT_WORDS, lm.CLASSES)):
+        found = {r.doc_id: r.score for r in lm.score(frame, frequent=frequent, most_classes=most).collect()}
         assert len(found) == len(rows) and all(found[k] > plain[k] for k in found)
 
 
