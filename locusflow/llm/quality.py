@@ -12,6 +12,7 @@ of the id).  Scoring covers every document and its whole text, without a shuffle
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,15 +47,17 @@ def _byte_classes() -> np.ndarray:
 _CLASSES = _byte_classes()
 #: Printable ASCII one by one, all other bytes in eight groups.
 _BINS = np.where((np.arange(256) >= 32) & (np.arange(256) < 127), np.arange(256) - 32, 95 + (np.arange(256) >> 5)).astype(np.int64)
-TEXT_WIDTH = 103 + 64 + 9
+#: Buckets that lower-cased words are hashed to.
+WORD_BUCKETS = 256
+TEXT_WIDTH = 103 + 64 + 9 + WORD_BUCKETS
 META_WIDTH = 16 + 64 + 12 + 4
 
 
 def text_features(text: bytes) -> np.ndarray:
-    """Byte and byte-class-pair frequencies and a few shape measures of the whole text."""
+    """Frequencies of bytes, byte-class pairs and hashed words, and a few shape measures, of the whole text."""
     out = np.zeros(TEXT_WIDTH, np.float32)
     if not text:
-        out[-1] = 1
+        out[175] = 1
         return out
     values = np.frombuffer(text, np.uint8)
     out[:103] = np.sqrt(np.bincount(_BINS[values], minlength=103) / len(values))
@@ -63,7 +66,7 @@ def text_features(text: bytes) -> np.ndarray:
     out[103:167] = np.sqrt(pairs / max(1, len(values) - 1))
     words, lines = text.split(), text.split(b"\n")
     starts = np.bincount(classes, minlength=8)
-    out[167:] = (
+    out[167:176] = (
         np.log1p(len(text)) / 10,
         np.log1p(len(words)) / 10,
         (len(text) - starts[_SPACE] - starts[_LINE]) / (10 * max(1, len(words))),
@@ -74,6 +77,11 @@ def text_features(text: bytes) -> np.ndarray:
         len(words) <= 5,
         0,
     )
+    if words:
+        found = Counter(text.lower().split())
+        places = np.fromiter((zlib.crc32(w) % WORD_BUCKETS for w in found), np.int64, len(found))
+        uses = np.fromiter(found.values(), np.float64, len(found))
+        out[176:] = np.sqrt(np.bincount(places, uses, WORD_BUCKETS) / len(words))
     return out
 
 
