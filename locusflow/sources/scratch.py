@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,17 +13,18 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or a private one if unset.
 
-    The fallback is for local runs and tests only, set once per application; on a cluster executors
-    could not see it, so there an unset folder is an error.
+    The fallback is for local runs and tests only, set once per application and deleted when Python ends;
+    on a cluster executors could not see it, so there an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    fallback = f"file://{tempfile.mkdtemp(prefix='locusflow-')}"
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    made = tempfile.mkdtemp(prefix="locusflow-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{made}")
+    return f"file://{made}"
 
 
 def scratch_file(spark: SparkSession, name: str) -> str:
