@@ -32,24 +32,21 @@ def range_bucket(rows: DataFrame, by: str, descending: bool = False) -> Column:
     return -place if descending else place
 
 
-def _same(keys: list[str], prefix: str) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(prefix + k))
-    return on
+def key_of(*columns) -> Column:
+    """One key of several columns.  Equal nulls inside a struct are equal, so null keys stay a group of their
+    own, and a window and a join on the same column need one shuffle."""
+    return F.struct(*columns)
 
 
 def sums_before(rows: DataFrame, keys: list[str], bucket: Column, order: list, sums: dict[str, Column]) -> DataFrame:
     """Adds for each row the sums over the rows of its keys before it; 0 for the first."""
-    dealt = rows.withColumn("_bucket", bucket)
-    own = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = dealt.select("*", *[F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"_in_{n}") for n, v in sums.items()])
-    totals = dealt.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(k).alias(f"_o_{k}") for k in [*keys, "_bucket"]], *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums]
-    )
-    joined = inside.join(offsets, _same([*keys, "_bucket"], "_o_"))
+    dealt = rows.withColumn("_bucket", bucket).withColumn("_key", key_of(*keys, "_bucket"))
+    own = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.select(*rows.columns, "_key", *[F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"_in_{n}") for n, v in sums.items()])
+    totals = dealt.groupBy("_key").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    along = Window.partitionBy(*([F.col(f"_key.{k}") for k in keys] or [F.lit(0)])).orderBy("_key._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_key", *[F.coalesce(F.sum(f"_t_{n}").over(along), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    joined = inside.join(offsets, "_key")
     return joined.select(*rows.columns, *[(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
@@ -58,22 +55,21 @@ def with_neighbours(rows: DataFrame, keys: list[str], bucket: Column, order: lis
 
     ``order`` is ascending.  Null where there is no such row.
     """
-    dealt = rows.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    dealt = rows.withColumn("_bucket", bucket).withColumn("_key", key_of(*keys, "_bucket"))
+    inside = Window.partitionBy("_key").orderBy(*order)
     local = dealt.select(
-        "*", F.row_number().over(inside).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bucket")).alias("_n"),
+        *rows.columns, "_key", F.row_number().over(inside).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy("_key")).alias("_n"),
         *[F.lag(c).over(inside).alias(f"_l_{n}") for n, c in back.items()], *[F.lead(c).over(inside).alias(f"_l_{n}") for n, c in ahead.items()],
     )
     place = F.struct(*order)
-    edges = dealt.groupBy(*keys, "_bucket").agg(
+    edges = dealt.groupBy("_key").agg(
         *[F.max_by(c, place).alias(f"_e_{n}") for n, c in back.items()], *[F.min_by(c, place).alias(f"_e_{n}") for n, c in ahead.items()]
     )
-    along = Window.partitionBy(*keys).orderBy("_bucket")
+    along = Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy("_key._bucket")
     edges = edges.select(
-        *[F.col(k).alias(f"_o_{k}") for k in [*keys, "_bucket"]],
-        *[F.lag(f"_e_{n}").over(along).alias(f"_x_{n}") for n in back], *[F.lead(f"_e_{n}").over(along).alias(f"_x_{n}") for n in ahead],
-    )
-    joined = local.join(edges, _same([*keys, "_bucket"], "_o_"))
+        "_key", *[F.lag(f"_e_{n}").over(along).alias(f"_x_{n}") for n in back], *[F.lead(f"_e_{n}").over(along).alias(f"_x_{n}") for n in ahead]
+    )
+    joined = local.join(edges, "_key")
     first, last = F.col("_i") == 1, F.col("_i") == F.col("_n")
     found = [F.when(first, F.col(f"_x_{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in back]
     found += [F.when(last, F.col(f"_x_{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in ahead]

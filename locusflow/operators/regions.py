@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_order
-from .ordering import range_bucket, sums_before, with_neighbours
+from .ordering import key_of, range_bucket, sums_before, with_neighbours
 from .overlap import BIN, hit_by, overlapping
 
 
@@ -45,26 +45,23 @@ def merge(regions: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",))
     row per stretch, as they belong together, and of the others only a stretch's last can reach on: at
     most two rows per stretch meet in a window per key, all other islands are finished.
     """
-    rows = regions.where("start <= end").select(*keys, "start", "end", F.lit(1).cast("long").alias("n_merged"), stretch().alias("_stretch"))
-    local = _islands(rows, gap, [*keys, "_stretch"])
-    along = Window.partitionBy(*keys).orderBy("_stretch")
-    bounds = local.groupBy(*keys, "_stretch").agg(F.max("end").alias("_top"), F.min("start").alias("_low"))
+    rows = regions.where("start <= end").withColumn("_stretch", stretch())
+    rows = rows.select(key_of(*keys, "_stretch").alias("_key"), "start", "end", F.lit(1).cast("long").alias("n_merged"))
+    local = _islands(rows, gap, ["_key"])
+    along = Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy("_key._stretch")
+    bounds = local.groupBy("_key").agg(F.max("end").alias("_top"), F.min("start").alias("_low"))
     bounds = bounds.select(
-        *[F.col(k).alias(f"_k_{k}") for k in (*keys, "_stretch")],
-        F.max("_top").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"),
-        F.lead("_low").over(along).alias("_next"),
+        "_key", F.max("_top").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"), F.lead("_low").over(along).alias("_next")
     )
-    same = F.lit(True)
-    for k in (*keys, "_stretch"):
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     reached = F.coalesce(F.col("start") <= F.col("_reach") + gap, F.lit(False))
     reaching = F.coalesce(F.col("end") + gap >= F.col("_next"), F.lit(False))
-    placed = local.join(bounds, same).select(*keys, "_stretch", "start", "end", "n_merged", reached.alias("_reached"), reaching.alias("_reaching"))
-    done = placed.where("NOT _reached AND NOT _reaching").select(*keys, "start", "end", "n_merged")
-    open_ = placed.where("_reached OR _reaching").groupBy(*keys, "_stretch", "_reached").agg(
+    placed = local.join(bounds, "_key").select("_key", "start", "end", "n_merged", reached.alias("_reached"), reaching.alias("_reaching"))
+    own = [F.col(f"_key.{k}").alias(k) for k in keys]
+    done = placed.where("NOT _reached AND NOT _reaching").select(*own, "start", "end", "n_merged")
+    open_ = placed.where("_reached OR _reaching").groupBy("_key", "_reached").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_merged").alias("n_merged")
     )
-    return done.unionByName(_islands(open_, gap, list(keys)).select(*keys, "start", "end", "n_merged"))
+    return done.unionByName(_islands(open_.select(*own, "start", "end", "n_merged"), gap, list(keys)).select(*keys, "start", "end", "n_merged"))
 
 
 def merge_all(region_sets: list[DataFrame], gap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
