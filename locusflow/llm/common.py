@@ -6,9 +6,10 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import sums_before
 from ..sources.scratch import shared_folder as shared_dir
 
 #: Bytes that separate words: space, tab, newline, vertical tab, form feed, carriage return.
@@ -88,18 +89,7 @@ def dealt_in_order(rows: DataFrame, order: list[Column], total: int, label: str)
 
 def running_sums(dealt: DataFrame, order: list[Column], sums: dict[str, Column], group: tuple[str, ...] = ()) -> DataFrame:
     """Adds to rows of :func:`dealt_in_order` the sums over all rows of the group before each."""
-    own = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = dealt.select("*", *[F.coalesce(F.sum(value).over(own), F.lit(0)).alias(f"_in_{name}") for name, value in sums.items()])
-    totals = dealt.groupBy(*group, "_part").agg(*[F.sum(value).alias(f"_t_{name}") for name, value in sums.items()])
-    # One row per part and group it holds.
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*group, "_part"]
-    offsets = totals.select(*[F.col(k).alias(f"_o_{k}") for k in keys], *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums])
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    joined = inside.join(offsets, same)
-    return joined.select(*[c for c in dealt.columns if c != "_part"], *[(F.col(f"_in_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums])
+    return sums_before(dealt, list(group), F.col("_part"), order, sums).drop("_part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
