@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.nucleotide import amino_acid, complement
 from ..functions.text import attribute
 from .overlap import BIN, overlapping
-from .regions import promoters, subtract
+from .regions import introns, promoters
 from .tracks import CHUNK, variant_kind, with_window
 
 def gene_elements(gff: DataFrame, sizes: DataFrame, promoter: int) -> DataFrame:
@@ -25,7 +25,7 @@ def gene_elements(gff: DataFrame, sizes: DataFrame, promoter: int) -> DataFrame:
 
     genes = rows.where("feature = 'gene'").select("chrom", "start", "end", F.col("gene").alias("name"), "strand", F.lit(None).cast("string").alias("transcript"))
     exons = rows.where("feature = 'exon'").select("chrom", "start", "end")
-    gaps = subtract(genes, exons, "name").withColumn("element_type", F.lit("intron"))
+    gaps = introns(genes, exons, "name").withColumn("element_type", F.lit("intron"))
     near = promoters(genes, sizes, promoter).drop("tss").withColumn("element_type", F.lit("promoter"))
     out = of(["CDS"], "CDS", "transcript").unionByName(of(["five_prime_UTR", "UTR"], "5p_UTR", "transcript"))
     out = out.unionByName(of(["three_prime_UTR"], "3p_UTR", "transcript"))

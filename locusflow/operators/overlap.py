@@ -16,6 +16,19 @@ from pyspark.sql import functions as F
 BIN = 256
 
 
+def bin_size(*region_sets: DataFrame) -> int:
+    """A bin for regions of unlike lengths: the power of two at or above their mean length, 64 at least.
+
+    Whatever the lengths, the bins then hold at most three times as many rows as there are regions.  One
+    aggregate over start and end; for exons and the like the default does without it.
+    """
+    count = bases = 0
+    for regions in region_sets:
+        found = regions.where("start <= end").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start") + 1).alias("b")).first()
+        count, bases = count + found.n, bases + (found.b or 0)
+    return 1 << max(6, (max(1, bases // max(1, count)) - 1).bit_length())
+
+
 def _floor(position: Column, size: int) -> Column:
     return F.floor(position / F.lit(size)).cast("long")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_order
 from .ordering import key_of, range_bucket, sums_before, with_neighbours
-from .overlap import BIN, hit_by, overlapping
+from .overlap import BIN, bin_size, hit_by, overlapping
 
 
 def length() -> Column:
@@ -96,9 +96,9 @@ def subtract_pair(start: Column, end: Column, b_start: Column, b_end: Column) ->
     return F.filter(F.array(left, right), lambda x: x["start"] <= x["end"])
 
 
-def introns(genes: DataFrame, exons: DataFrame, row_id: str, size: int = BIN) -> DataFrame:
-    """Genes less all exons."""
-    return subtract(genes, exons, row_id, size)
+def introns(genes: DataFrame, exons: DataFrame, row_id: str, size: int | None = None) -> DataFrame:
+    """Genes less all exons; genes are long, so their lengths decide the bin."""
+    return subtract(genes, exons, row_id, size or bin_size(genes, exons))
 
 
 def running_bounds(regions: DataFrame) -> DataFrame:
@@ -121,13 +121,13 @@ def running_bounds(regions: DataFrame) -> DataFrame:
     return local.join(ends, ["chrom", "_stretch"]).withColumn("running_end", F.greatest("running_end", "_before")).drop("_stretch", "_before")
 
 
-def super_hulls(children: DataFrame, parents: DataFrame, size: int = BIN) -> DataFrame:
+def super_hulls(children: DataFrame, parents: DataFrame, size: int | None = None) -> DataFrame:
     """Hull of the children inside each (merged) parent; children elsewhere on a chromosome without parents pass.
 
     ``crossing`` counts children that stick out of their parent; callers that need none can check it.
     """
     merged = merge(parents).withColumn("name", F.lit("."))
-    pairs = overlapping(merged.select("chrom", "start", "end", "name"), children, size=size)
+    pairs = overlapping(merged.select("chrom", "start", "end", "name"), children, size=size or bin_size(children, parents))
     out = (F.col("b_start") < F.col("start")) | (F.col("b_end") > F.col("end"))
     hulls = pairs.groupBy("chrom", "start", "end").agg(
         F.min("b_start").alias("h_start"), F.max("b_end").alias("h_end"), F.count(F.lit(1)).alias("n"), F.sum(out.cast("long")).alias("crossing")

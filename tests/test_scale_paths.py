@@ -111,6 +111,15 @@ def test_spaced_choice_reads_on_until_it_has_enough(spark):
         assert sorted(found) == sorted(want)
 
 
+def test_bins_bound_the_copies_of_regions(spark):
+    rows = [("c", 1 + i, 10 + i, "a", "+", i) for i in range(500)] + [("c", 1, 2_000_000, "b", "+", 500)]
+    frame = spark.createDataFrame(rows, "chrom string, start long, end long, name string, strand string, row_id long")
+    size = overlap.bin_size(frame)
+    assert overlap._binned(frame, size).count() <= 3 * len(rows)
+    points = spark.createDataFrame([("c", 5), ("c", 1_999_999)], "chrom string, pos long")
+    assert overlap.points_in(points, frame, size=size).count() == 5 + 2
+
+
 def test_element_joins_by_bins(spark):
     rows, frame = made_regions(spark, 300, 3_000)
     draw = random.Random(9)
