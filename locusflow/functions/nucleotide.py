@@ -170,7 +170,3 @@ def terms_of(mask: Column) -> Column:
     """Array of the terms of a mask, in bit order."""
     named = F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(TERM_NAMES)])
     return F.filter(named, lambda t: t.isNotNull())
-
-
-def has_context(mask: Column, bits: int) -> Column:
-    return mask.bitwiseAND(F.lit(bits)) != 0

@@ -169,6 +169,23 @@ def impact_track_deletions_cds(v: Views) -> DataFrame:
     return translate.with_cds_neighbours(_deletion_impacts(v, axis), axis, coding, v.chunks, _CHUNK)
 
 
+@query("""SELECT chrom, cast(sum("end" - "start" + 1) AS bigint) AS axis_length FROM axis GROUP BY chrom""")
+def axis_coverage(v: Views) -> DataFrame:
+    return tracks.axis_coverage(v.axis)
+
+
+@query("SELECT vid, ref || 'A' AS ref, alt || 'C' AS alt FROM variants WHERE vid % 3 = 0")
+def equal_length_variants(v: Views) -> DataFrame:
+    """Substitutions of two bases among SNVs and indels: in no track, so they are reported."""
+    pairs = v.variants.withColumns({c: F.when(F.col("vid") % 3 == 0, F.concat(c, F.lit(b))).otherwise(F.col(c)) for c, b in (("ref", "A"), ("alt", "C"))})
+    return tracks.equal_length_variants(pairs.unionByName(v.indels.select(*pairs.columns))).select("vid", "ref", "alt")
+
+
+@query("""SELECT chrom, track_pos, alt, (SELECT string_agg(t.term, '|' ORDER BY t.bit) FROM terms t WHERE (mask >> t.bit) & 1 = 1) AS terms FROM impacts""")
+def terms_of_masks(v: Views) -> DataFrame:
+    return v.impacts.select("chrom", "track_pos", "alt", F.array_join(nucleotide.terms_of(F.col("mask")), "|").alias("terms"))
+
+
 # ---------------------------------------------------------------- translation of deletions
 
 
@@ -241,6 +258,14 @@ def frame_redundant_elements(v: Views) -> DataFrame:
     return _frame_unique(v)[1]
 
 
+@query("SELECT chrom, \"start\", \"end\", CASE WHEN row_id % 5 <> 0 THEN 'G1' END AS gene, CASE WHEN row_id % 7 <> 0 THEN name END AS transcript FROM regions WHERE row_id % 5 = 0 OR row_id % 7 = 0")
+def elements_without_ids(v: Views) -> DataFrame:
+    gene = F.when(F.col("row_id") % 5 == 0, "note=x").otherwise("gene_id=G1")
+    transcript = F.when(F.col("row_id") % 7 == 0, "note=y").otherwise(F.concat(F.lit("transcript_id="), F.col("name")))
+    gff = v.regions.select("chrom", F.lit("exon").alias("feature"), "start", "end", F.concat_ws(";", gene, transcript).alias("attributes"))
+    return elements.without_ids(gff, "exon").select("chrom", "start", "end", "gene", "transcript")
+
+
 _KINDS = ["CDS", "intron", "5p_UTR", "3p_UTR", "promoter"]
 _MINUS = "e.strand = '-'"
 _AT_EDGE = "least(v.pos - e.\"start\", e.\"end\" - v.pos) < 2"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -27,6 +28,34 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def app_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; swept when Python ends, if the session still runs."""
+    app = spark.sparkContext.applicationId
+    if app not in _registered:
+        _registered.add(app)
+        atexit.register(_sweep_quietly, spark)
+    return f"{shared_folder(spark)}/locusflow-scratch/{app}"
+
+
+_registered: set[str] = set()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete every scratch table of this application; call when all results are written."""
+    delete(spark, app_folder(spark))
+
+
+def _sweep_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # a stopped session has no file system to ask
+        if spark.sparkContext._jsc is not None:
+            sweep(spark)
+
+
 def scratch_file(spark: SparkSession, name: str) -> str:
-    """A fresh path that ends in ``name``, below the shared folder and grouped by application."""
-    return f"{shared_folder(spark)}/locusflow-scratch/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    """A fresh path that ends in ``name``, in the application's folder."""
+    return f"{app_folder(spark)}/{uuid.uuid4().hex}/{name}"

@@ -188,12 +188,5 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("chrom").parquet(path)
 
 
-def write_sequence(bases: DataFrame, path: str) -> None:
-    """:func:`write_chunks` from single bases."""
-    from ..operators.tracks import chunked
-
-    write_chunks(chunked(bases), path)
-
-
 def read_sequence(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("chrom").cast("string").alias("chrom"), "chunk", "first", "seq")

@@ -128,3 +128,16 @@ def test_settings_are_overridden_by_arguments(tmp_path):
     (tmp_path / "run.conf").write_text("# a comment\nseed 5\nout = somewhere else  # why\n\nfast\n")
     found = readers.settings(str(tmp_path / "run.conf"), {"seed": "7"})
     assert found == {"seed": "7", "out": "somewhere else", "fast": ""}
+
+
+def test_sweeping_deletes_an_applications_files(spark):
+    import os
+
+    from locusflow.sources import scratch
+
+    path = scratch.scratch_file(spark, "x.parquet")
+    spark.range(3).write.parquet(path)
+    folder = scratch.app_folder(spark).removeprefix("file://")
+    assert os.path.exists(path.removeprefix("file://")) and path.startswith(scratch.app_folder(spark))
+    scratch.sweep(spark)
+    assert not os.path.exists(folder)
