@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import sums_before
-from ..sources.scratch import shared_folder as shared_dir
+from ..sources.scratch import app_folder, delete, sweep  # noqa: F401  sweep and delete are for callers
+from ..sources.scratch import shared_folder as shared_dir  # noqa: F401
 
 #: Bytes that separate words: space, tab, newline, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` splits at exactly these, so Python and SQL forms agree.
@@ -22,8 +23,7 @@ _made: ContextVar[list[str] | None] = ContextVar("scratch tables of the running
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, grouped by application so it can be swept."""
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/locusflow-scratch/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{app_folder(spark)}/{label}-{uuid.uuid4().hex}"
     made = _made.get()
     if made is not None:
         made.append(path)
@@ -43,11 +43,6 @@ def scratch_scope(spark: SparkSession):
             delete(spark, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -65,11 +60,6 @@ def discard(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every scratch table of this application; call when all results are written."""
-    delete(spark, f"{shared_dir(spark)}/locusflow-scratch/{spark.sparkContext.applicationId}")
-
-
 #: Rows that one window partition orders, about.
 ORDERED_TOGETHER = 100_000
 
