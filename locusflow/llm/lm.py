@@ -53,6 +53,8 @@ END_WORD = b""
 LONG = 512
 #: Starts of a long word whose pieces are held at once.
 STRETCH = 16_384
+#: Texts that are taken out of a batch at once.
+TOGETHER = 512
 #: Bytes of text a task holds words of before it hands them on or starts anew.
 HELD_BYTES = 64_000_000
 _models: dict = {}
@@ -271,20 +273,24 @@ def word_counts(
         def batch():
             nonlocal held
             held = 0
-            rows = [(w, g, c) for g, found in seen.items() for w, c in found.items()]
+            sizes = [len(found) for found in seen.values()]
+            words = pa.array(itertools.chain.from_iterable(seen.values()), pa.binary(), size=sum(sizes))
+            counts = np.fromiter(itertools.chain.from_iterable(found.values() for found in seen.values()), np.int64, sum(sizes))
+            groups = pa.array(np.repeat(np.array(list(seen), np.int32), sizes), pa.int32())
             seen.clear()
-            types = (pa.binary(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["word", "class", "c"])
+            return pa.RecordBatch.from_arrays([words, groups, pa.array(counts)], ["word", "class", "c"])
 
         for rows in batches:
-            for key, text, group in zip(*(rows.column(i).to_pylist() for i in range(3))):
-                if not is_held_out(key):
-                    counter = seen.setdefault((group or 0) - 1, Counter())
-                    counter.update(text.lower().split())
-                    counter[END_WORD] += 1
-                    held += len(text)
-                    if held > HELD_BYTES or sum(map(len, seen.values())) > partial:
-                        yield batch()
+            for at in range(0, rows.num_rows, TOGETHER):
+                part = rows.slice(at, TOGETHER)
+                for key, text, group in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    if not is_held_out(key):
+                        counter = seen.setdefault((group or 0) - 1, Counter())
+                        counter.update(text.lower().split())
+                        counter[END_WORD] += 1
+                        held += len(text)
+                        if held > HELD_BYTES or sum(map(len, seen.values())) > partial:
+                            yield batch()
         yield batch()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), own.cast("int").alias("class"))
@@ -468,13 +474,13 @@ def score(
         places, lists, known, paths, likely = start()
         held = 0
         for batch in batches:
-            keys, texts = rows_of(batch)
-            for at in range(0, len(texts), 512):
+            for at in range(0, batch.num_rows, TOGETHER):
+                keys, texts = rows_of(batch.slice(at, TOGETHER))
                 if len(lists) > PARTIAL or held > HELD_BYTES:
                     places, lists, known, paths, likely = start()
                     held = 0
                 documents = []
-                for text in texts[at : at + 512]:
+                for text in texts:
                     words = text.lower().split()
                     indices = np.empty(len(words), np.int64)
                     for i, w in enumerate(words):
@@ -492,7 +498,7 @@ def score(
                     known, paths = np.concatenate([known, rows]), np.concatenate([paths, way])
                     likely = np.concatenate([likely, by_class(np.maximum(rows, 0), way)])
                 out = []
-                for key, indices in zip(keys[at : at + 512], documents):
+                for key, indices in zip(keys, documents):
                     c = known[indices, 0]
                     hot = c >= 0
                     rare, times = np.unique(indices[~hot], return_counts=True)
