@@ -59,10 +59,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def hashed(batches):
         for batch in batches:
-            keys, texts = rows_of(batch)
-            prints = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
-            digests = pa.array([sha256(t).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints), digests], ["doc_id", "fp", "digest"])
+            for at in range(0, batch.num_rows, 512):  # few texts at a time outside the batch
+                keys, texts = rows_of(batch.slice(at, 512))
+                prints = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
+                digests = pa.array([sha256(t).hexdigest() for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints), digests], ["doc_id", "fp", "digest"])
 
     return text_bytes(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, fp long, digest string")
 
@@ -153,7 +154,8 @@ def links_between(prints: DataFrame, max_bits: int = MAX_BITS, segment_bits: int
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     last = F.floor((F.col("n") - 1) / cell_block).cast("int")
     own = F.pmod(F.xxhash64("fp"), last + 1).cast("int")
-    crowded = cells.join(sizes, "cell").select("cell", "fp", last.alias("last"), own.alias("own"))
+    # Hashed, not sorted: the sizes of crowded cells are far fewer than the rows that look them up.
+    crowded = cells.join(sizes.hint("shuffle_hash"), "cell").select("cell", "fp", last.alias("last"), own.alias("own"))
     met = crowded.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     met = met.select("cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
 
