@@ -31,6 +31,8 @@ EXCHANGED = 500
 ASIDE = 4
 KEEP = 0.5
 SEED = 23
+#: Rows that a fit holds in double precision at once.
+BLOCK = 512
 
 # ---------------------------------------------------------------- views
 
@@ -118,14 +120,18 @@ def _sigmoid(z):
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last coefficient is the intercept."""
-    design = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    penalty = np.full(design.shape[1], ridge)
+    width = x.shape[1] + 1
+    penalty = np.full(width, ridge)
     penalty[-1] = 1e-6
-    beta = np.zeros(design.shape[1])
+    beta = np.zeros(width)
     for _ in range(steps):
-        p = _sigmoid(design @ beta)
-        slope = design.T @ (weight * (y - p)) - penalty * beta
-        curve = (design * (weight * p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(penalty)
+        slope, curve = -penalty * beta, np.diag(penalty)
+        for at in range(0, len(x), BLOCK):
+            rows = slice(at, at + BLOCK)
+            design = _with_intercept(x[rows])
+            p = _sigmoid(design @ beta)
+            slope += design.T @ (weight[rows] * (y[rows] - p))
+            curve += (design * (weight[rows] * p * (1 - p) + 1e-9)[:, None]).T @ design
         step = np.linalg.solve(curve, slope)
         beta += step * min(1.0, 8.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -133,8 +139,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float,
     return beta
 
 
+def _with_intercept(x: np.ndarray) -> np.ndarray:
+    out = np.ones((x.shape[0], x.shape[1] + 1))
+    out[:, :-1] = x
+    return out
+
+
 def _margin(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    return x.astype(np.float64) @ beta[:-1] + beta[-1]
+    out = np.empty(len(x))
+    for at in range(0, len(x), BLOCK):
+        out[at : at + BLOCK] = x[at : at + BLOCK].astype(np.float64) @ beta[:-1] + beta[-1]
+    return out
 
 
 @dataclass(frozen=True)
@@ -263,7 +278,8 @@ def fit(
     # comes back: one row per id.
     rows = docs.select(*_views(docs, columns)).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, t binary, m binary")
     least = rows.groupBy("doc_id").agg(F.min(F.struct("t", "m")).alias("x"))
-    found = {r.doc_id: (bytes(r.x.t), bytes(r.x.m)) for r in least.collect()}
+    features = least.select("doc_id", "x.t", "x.m").toArrow()  # as Arrow: no object per row and field
+    found = {i: at for at, i in enumerate(features.column("doc_id").to_pylist())}
     taught = sorted(i for i in marked if i in found)
     y = np.array([float(marked[i] > 0) for i in taught])
     # The rows aside follow a hash of the id, so that they are alike in every run.
@@ -271,13 +287,17 @@ def fit(
     if len(taught) < 8 or len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         return None
 
-    def stacked(keys, which, width):
-        return np.array([np.frombuffer(found[k][which], np.float32) for k in keys], np.float32).reshape(-1, width)
+    def stacked(keys, name, width):
+        out = np.empty((len(keys), width), np.float32)
+        column = features.column(name).combine_chunks()
+        for at, k in enumerate(keys):
+            out[at] = np.frombuffer(column[found[k]].as_buffer(), np.float32)
+        return out
 
     spare = sorted(i for i in others if i in found)
     return co_train(
-        stacked(taught, 0, TEXT_WIDTH), stacked(taught, 1, META_WIDTH), y, aside,
-        stacked(spare, 0, TEXT_WIDTH), stacked(spare, 1, META_WIDTH), rounds,
+        stacked(taught, "t", TEXT_WIDTH), stacked(taught, "m", META_WIDTH), y, aside,
+        stacked(spare, "t", TEXT_WIDTH), stacked(spare, "m", META_WIDTH), rounds,
     )
 
 

@@ -1062,3 +1062,28 @@ def test_a_scope_deletes_its_scratch_tables(spark):
 
 def test_scratch_folder_is_the_sessions(spark):
     assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def test_fitting_holds_few_rows_in_double_precision():
+    import tracemalloc
+
+    draw = np.random.default_rng(5)
+    x = draw.random((6_000, 400), np.float32)
+    y = (x[:, 0] + 0.2 * draw.random(6_000) > 0.6).astype(float)
+    weight = np.where(np.arange(6_000) % 3 == 0, 0.5, 1.0)
+    tracemalloc.start()
+    beta = quality.fit_logistic(x, y, weight, 1.0, steps=4)
+    margin = quality._margin(x, beta)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes  # a copy in double precision alone is twice that
+    design = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
+    assert np.allclose(margin, design @ beta)
+    want = np.zeros(401)
+    penalty = np.append(np.full(400, 1.0), 1e-6)
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-np.clip(design @ want, -35, 35)))
+        curve = (design * (weight * p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(penalty)
+        step = np.linalg.solve(curve, design.T @ (weight * (y - p)) - penalty * want)
+        want += step * min(1.0, 8.0 / (np.abs(step).max() + 1e-12))
+    assert np.allclose(beta, want, atol=1e-6)
