@@ -35,9 +35,11 @@ def annotated_stream(variants: DataFrame, axis: DataFrame, impacts: DataFrame) -
 
 def presence_stream(variants: DataFrame, axis: DataFrame, late: str = "1 hour") -> DataFrame:
     """Distinct (chrom, track_pos, alt) as they first appear; keys are forgotten ``late`` after the watermark."""
-    placed = points_in(variants.withWatermark("arrived", late), axis)
-    keyed = placed.select("arrived", "chrom", tracks.track_position(F.col("pos")).alias("track_pos"), "alt")
-    return keyed.dropDuplicatesWithinWatermark(["chrom", "track_pos", "alt"])
+    # A track position belongs to one element and base, so what is new is known before the join: the state
+    # holds a key per place and allele, not one per element they lie in.
+    fresh = variants.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["chrom", "pos", "alt"])
+    placed = points_in(fresh, axis)
+    return placed.select("arrived", "chrom", tracks.track_position(F.col("pos")).alias("track_pos"), "alt")
 
 
 def counts_stream(variants: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
