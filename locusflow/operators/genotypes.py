@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dosage, genotype_alleles, haplotype_allele, haplotype_code, names_match, presence
 from .overlap import BIN, points_in, prefixed
+from .regions import merge
 from .tracks import deleted_spans, track_position, variant_kind
 from .translate import _containing
 
@@ -37,13 +38,35 @@ def snv_matrix(genotypes: DataFrame, variants: DataFrame, track: DataFrame, size
     """(chrom, track_pos, alt, sample, code): codes of equal keys are united bitwise.
 
     ``genotypes``: vid, sample, dosage; ``vid`` must name one variant (a VCF's ID column does not: see
-    :func:`encoded_snvs`).  The interval join runs before genotypes are touched, so only variants
-    inside elements are spread over samples.
+    :func:`encoded_snvs`).  Only variants with a carrier go through the interval join.
     """
-    snvs = variants.where(variant_kind(F.col("ref"), F.col("alt")) == "SNV")
-    hits = points_in(snvs, track, size=size).select("chrom", track_position(F.col("pos")).alias("track_pos"), "alt", "vid")
     called = genotypes.where("dosage > 0")
-    return hits.join(called, "vid").groupBy("chrom", "track_pos", "alt", "sample").agg(F.bit_or("dosage").alias("code"))
+    cells, codes = _united(_snv_cells(called, variants, track, size), ["chrom", "track_pos", "alt"], called)
+    return cells.join(codes, "_vids").select("chrom", "track_pos", "alt", "sample", "code")
+
+
+def snv_counts(genotypes: DataFrame, variants: DataFrame, track: DataFrame, size: int = BIN) -> DataFrame:
+    """(chrom, track_pos, alt, n): the summed codes of :func:`snv_matrix`, which is not laid out for it."""
+    called = genotypes.where("dosage > 0")
+    cells, codes = _united(_snv_cells(called, variants, track, size), ["chrom", "track_pos", "alt"], called)
+    return cells.join(codes.groupBy("_vids").agg(F.sum("code").alias("n")), "_vids").drop("_vids")
+
+
+def _snv_cells(called: DataFrame, variants: DataFrame, track: DataFrame, size: int) -> DataFrame:
+    snvs = variants.where(variant_kind(F.col("ref"), F.col("alt")) == "SNV")
+    carried = snvs.join(called.select("vid").distinct(), "vid", "left_semi")
+    return points_in(carried, track, size=size).select("chrom", track_position(F.col("pos")).alias("track_pos"), "alt", "vid")
+
+
+def _united(cells: DataFrame, keys: list[str], called: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells with the set of their variants, and for each set (sample, code) united bitwise.
+
+    Many cells hold the same variants: a sample's code is found once per set, and no row per cell and
+    sample is dealt out or grouped.
+    """
+    grouped = cells.groupBy(*keys).agg(F.array_sort(F.collect_set("vid")).alias("_vids"))
+    members = grouped.select("_vids").distinct().select("_vids", F.explode("_vids").alias("vid"))
+    return grouped, members.join(called, "vid").groupBy("_vids", "sample").agg(F.bit_or("dosage").alias("code"))
 
 
 def matrix_deletions(variants: DataFrame) -> DataFrame:
@@ -53,12 +76,13 @@ def matrix_deletions(variants: DataFrame) -> DataFrame:
 
 def deletion_matrix(genotypes: DataFrame, variants: DataFrame, track: DataFrame, size: int = BIN) -> DataFrame:
     """(chrom, track_pos, sample, code), one row per deleted base of deletions inside an element."""
-    spans = matrix_deletions(variants).select("chrom", "start", "end", "vid", "ref", "alt")
+    called = genotypes.where("dosage > 0")
+    spans = matrix_deletions(variants).select("chrom", "start", "end", "vid", "ref", "alt").join(called.select("vid").distinct(), "vid", "left_semi")
     inside = _containing(spans, track, size)
     first = F.col("track_offset") + F.col("start") - F.col("r_start")
     bases = inside.select("chrom", "vid", F.explode(F.sequence(first, first + F.col("end") - F.col("start"))).alias("track_pos"))
-    called = genotypes.where("dosage > 0")
-    return bases.join(called, "vid").groupBy("chrom", "track_pos", "sample").agg(F.bit_or("dosage").alias("code"))
+    cells, codes = _united(bases, ["chrom", "track_pos"], called)
+    return cells.join(codes, "_vids").select("chrom", "track_pos", "sample", "code")
 
 
 def _coded_samples(hits: DataFrame, keys: list[str], samples: list[str], encoding: int) -> DataFrame:
@@ -103,10 +127,22 @@ def allele_counts(genotypes: DataFrame) -> DataFrame:
 
 def matrix_counts(matrix: DataFrame, interest: DataFrame, track: DataFrame, size: int = BIN) -> DataFrame:
     """Allele count per variant of interest (chrom, pos, alt, vid): sum of the codes at its track positions."""
-    places = points_in(interest, track, size=size).select("chrom", track_position(F.col("pos")).alias("track_pos"), "alt", "vid")
-    codes = matrix.groupBy("chrom", "track_pos", "alt").agg(F.sum("code").alias("n"))
-    joined = places.join(codes, ["chrom", "track_pos", "alt"], "left")
-    return joined.groupBy("vid").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("allele_count"))
+    return counts_of_interest(matrix.groupBy("chrom", "track_pos", "alt").agg(F.sum("code").alias("n")), interest, track, size)
+
+
+def counts_of_interest(counts: DataFrame, interest: DataFrame, track: DataFrame, size: int = BIN) -> DataFrame:
+    """Allele count per variant of interest inside an element, from counts (chrom, track_pos, alt, n).
+
+    Counts go back to their genome position and are summed there; variants never meet all the elements
+    they lie in.
+    """
+    spans = track.select("chrom", F.col("track_offset").alias("start"), (F.col("track_offset") + F.col("end") - F.col("start")).alias("end"), F.col("start").alias("first"))
+    placed = points_in(counts, spans, position="track_pos", size=size).select("chrom", (F.col("r_first") + F.col("track_pos") - F.col("r_start")).alias("pos"), "alt", "n")
+    sums = placed.groupBy("chrom", "pos", "alt").agg(F.sum("n").alias("n"))
+    places = interest.select("chrom", "pos").distinct()
+    inside = points_in(places, merge(track.select("chrom", "start", "end")), size=size).select("chrom", "pos")
+    asked = interest.join(inside, ["chrom", "pos"], "left_semi").join(sums, ["chrom", "pos", "alt"], "left")
+    return asked.groupBy("vid").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("allele_count"))
 
 
 def deletion_carriers(matrix: DataFrame, interest: DataFrame) -> DataFrame:
