@@ -98,13 +98,17 @@ def _coded_samples(hits: DataFrame, keys: list[str], samples: list[str], encodin
 def encoded_snvs(vcf: DataFrame, samples: list[str], track: DataFrame, encoding: int = GENO, size: int = BIN) -> DataFrame:
     """The SNV matrix of VCF rows (chrom, pos, ref, alt, format, calls).
 
-    A row carries its own calls through the interval join, so no identifier is needed and nothing is
-    joined back; sample columns are cut for rows inside elements only.  Rows of one place and allele
-    are united.
+    Rows carry their own calls, so no identifier is needed and nothing is joined back.  Those of one place and
+    allele are united before the interval join: a track position belongs to one element and base, so behind
+    the join no two rows share a cell.  ``track`` is an axis.
     """
     snvs = vcf.where(variant_kind(F.col("ref"), F.col("alt")) == "SNV").select("chrom", "pos", "alt", "format", "calls")
-    hits = points_in(snvs, track, size=size).select("chrom", track_position(F.col("pos")).alias("track_pos"), "alt", "format", "calls")
-    return _coded_samples(hits, ["chrom", "track_pos", "alt"], samples, encoding)
+    # Sample columns are cut for rows inside elements only; merged ones hold a row once.
+    inside = points_in(snvs, merge(track.select("chrom", "start", "end")), size=size)
+    coded = _coded_samples(inside, ["chrom", "pos", "alt"], samples, encoding)
+    carriers = coded.groupBy("chrom", "pos", "alt").agg(F.collect_list(F.struct("sample", "code")).alias("_carriers"))
+    hits = points_in(carriers, track, size=size).select("chrom", track_position(F.col("pos")).alias("track_pos"), "alt", F.explode("_carriers").alias("_x"))
+    return hits.select("chrom", "track_pos", "alt", "_x.sample", "_x.code")
 
 
 def encoded_deletions(vcf: DataFrame, samples: list[str], track: DataFrame, encoding: int = GENO, size: int = BIN) -> DataFrame:
