@@ -95,8 +95,9 @@ def variant_effects(variants: DataFrame, elements: DataFrame, transcripts: DataF
     for missing, kind in (("before", "long"), ("first2", "string"), ("last2", "string")):
         if missing not in elements.columns:
             elements = elements.withColumn(missing, F.lit(None).cast(kind))
-    pairs = overlapping(spans, elements, size=size)
-    joined = pairs.join(transcripts.select(F.col("name").alias("b_name"), "seq"), "b_name", "left")
+    # Sequences go to the elements before the interval join, whose pairs are many and are not dealt out again.
+    read = elements.join(transcripts.select("name", F.col("seq").alias("_seq")), "name", "left")
+    joined = overlapping(spans, read, size=size).withColumnRenamed("b__seq", "seq")
     minus = F.col("b_strand") == "-"
     offset = F.when(minus, F.col("b_end") - F.col("pos")).otherwise(F.col("pos") - F.col("b_start"))
     index = (F.col("b_before") + offset).cast("int")  # 0-based in the transcript

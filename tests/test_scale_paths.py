@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusflow import cli
-from locusflow.operators import concord, genotypes, ordering, overlap, regions, sequence, simulate, tracks
+from locusflow.operators import concord, effects, genotypes, ordering, overlap, regions, sequence, simulate, tracks
 from locusflow.sources import readers, sinks
 
 
@@ -355,3 +355,85 @@ def test_running_bounds_read_a_stretch_once(spark, monkeypatch):
         top[r[0]] = max(top.get(r[0], 0), r[2])
         want[r[5]] = (top[r[0]], r[1])
     assert {r.row_id: (r.running_end, r.rest_start) for r in found.collect()} == want
+
+
+def made_cells(spark):
+    """Variants that share places, deletions that share bases, genotypes with repeats and some of no variant."""
+    draw = random.Random(8)
+    regs = [("c0", s, s + draw.randint(0, 30), f"T{i % 4}", "+", i) for i, s in enumerate(draw.randint(1, 80) for _ in range(25))]
+    axis = tracks.axis(spark.createDataFrame(regs, "chrom string, start long, end long, name string, strand string, row_id long"))
+    snvs = [("c0", draw.randint(1, 90), "A", draw.choice("CG"), i) for i in range(60)]
+    dels = [("c0", draw.randint(1, 90), "ACGTA"[: draw.randint(2, 5)], "A", 100 + i) for i in range(40)]
+    variants = spark.createDataFrame(snvs + dels, "chrom string, pos long, ref string, alt string, vid long")
+    calls = [(draw.randint(0, 160), draw.randint(1, 6), draw.randint(0, 2)) for _ in range(900)]
+    return axis, snvs, dels, variants, calls, spark.createDataFrame(calls, "vid long, sample long, dosage int")
+
+
+def test_matrices_unite_variants_that_share_cells(spark):
+    axis, snvs, dels, variants, calls, genotypes_ = made_cells(spark)
+    spans = axis.collect()
+    want, lost = {}, {}
+    for vid, sample, dosage in calls:
+        if dosage > 0:
+            for c, pos, _, alt, v in snvs:
+                for r in spans:
+                    if v == vid and r.start <= pos <= r.end:
+                        key = (r.track_offset + pos - r.start, alt, sample)
+                        want[key] = want.get(key, 0) | dosage
+            for c, pos, ref, alt, v in dels:
+                for r in spans:
+                    if v == vid and r.start <= pos + 1 and pos + len(ref) - 1 <= r.end:
+                        for p in range(pos + 1, pos + len(ref)):
+                            lost[(r.track_offset + p - r.start, sample)] = lost.get((r.track_offset + p - r.start, sample), 0) | dosage
+    matrix = genotypes.snv_matrix(genotypes_, variants, axis)
+    rows = matrix.collect()
+    assert {(r.track_pos, r.alt, r.sample): r.code for r in rows} == want and len(rows) == len(want)
+    rows = genotypes.deletion_matrix(genotypes_, variants, axis).collect()
+    assert {(r.track_pos, r.sample): r.code for r in rows} == lost and len(rows) == len(lost)
+    # Counts without the matrix, and back at the variants, each as often as an element holds it.
+    sums = {}
+    for (tp, alt, _), code in want.items():
+        sums[(tp, alt)] = sums.get((tp, alt), 0) + code
+    counts = genotypes.snv_counts(genotypes_, variants, axis)
+    assert {(r.track_pos, r.alt): r.n for r in counts.collect()} == sums
+    hits = {v: [(r.track_offset + pos - r.start, alt) for r in spans if r.start <= pos <= r.end] for _, pos, _, alt, v in snvs + dels}
+    asked = {v: sum(sums.get(k, 0) for k in ks) for v, ks in hits.items() if ks}
+    for found in (genotypes.counts_of_interest(counts, variants, axis), genotypes.matrix_counts(matrix, variants, axis)):
+        assert {r.vid: r.allele_count for r in found.collect()} == asked
+
+
+def last_steps(frame):
+    """The optimized plan above its first interval join."""
+    return frame._jdf.queryExecution().optimizedPlan().toString().split("_bin")[0]
+
+
+def test_no_row_per_cell_and_sample_is_grouped(spark):
+    axis, _, _, variants, _, genotypes_ = made_cells(spark)
+    for found in (genotypes.snv_matrix(genotypes_, variants, axis), genotypes.deletion_matrix(genotypes_, variants, axis)):
+        assert "Join" in found._jdf.queryExecution().optimizedPlan().toString().splitlines()[1]
+    listed = variants.selectExpr("chrom", "pos", "ref", "alt", "'GT' AS format", "array('0|1', '1|1') AS calls")
+    found = genotypes.encoded_snvs(listed, ["a", "b"], axis)
+    assert "Aggregate" not in last_steps(found)
+    assert found.groupBy("chrom", "track_pos", "alt", "sample").count().where("count > 1").count() == 0
+
+
+def test_effects_read_sequences_before_the_interval_join(spark):
+    regs = spark.createDataFrame([("c0", 1, 9, "T1", "+", "CDS", 0)], "chrom string, start long, end long, name string, strand string, element_type string, before long")
+    variants = spark.createDataFrame([("c0", 4, "A", "C", 1)], "chrom string, pos long, ref string, alt string, vid long")
+    seqs = spark.createDataFrame([("T1", "ATGAAATAA")], "name string, seq string")
+    found = effects.variant_effects(variants, regs, seqs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan.split("Join Inner")[0]
+    assert [tuple(r) for r in found.collect()] == [(1, "T1", "CDS", "CDS_NONSYNONYMOUS", "Lys", "Gln")]
+
+
+def test_element_terms_are_united_as_bits(spark):
+    pairs = [(f"s{i:03}", f"t{i % 90:03}") for i in range(180)]
+    terms = spark.createDataFrame(pairs, "source string, target string")
+    rows = [(1, ["E"], ["s001", "s091", None, "x"]), (1, ["E", "F"], ["s089"]), (2, ["F"], []), (3, [], ["s001"])]
+    annovar = spark.createDataFrame(rows, "vid long, elements array<string>, terms array<string>")
+    own = spark.createDataFrame([(1, "E", ["t001", "t005"]), (9, "E", ["t001"])], "vid long, element string, terms array<string>")
+    found = concord.compare_annovar_by_element(own, annovar, terms)
+    assert [tuple(r) for r in found.matched.collect()] == [(1, "E", ["t001", "t005"], ["t001", "t089"])]
+    assert sorted((r.vid, r.element, r.terms) for r in found.not_existing.collect()) == [(1, "F", ["t089"]), (2, "F", [])]
+    assert "collect_set" not in found.matched._jdf.queryExecution().optimizedPlan().toString()
