@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.nucleotide import amino_acid, oriented
 from ..schemas import context_mask
 from .overlap import BIN, points_in, points_in_elements
-from .tracks import CHUNK, deleted_spans, impact_text, track_position, variant_kind
+from .tracks import CHUNK, deleted_spans, impact_text, laid_out, placed_product, variant_kind
 
 
 def _codon(seq: Column, frame: Column) -> Column:
@@ -22,29 +22,35 @@ def _codon(seq: Column, frame: Column) -> Column:
 def translate_snv(variants: DataFrame, track: DataFrame, product: DataFrame, size: int = BIN) -> DataFrame:
     """SNVs with their element, amino acids and terms.
 
-    ``product`` has chrom, track_pos, alt, frame, neigh, mask.  Frame and neighbourhood are read on
-    the element's strand; a codon with an unknown base has a null amino acid.
+    ``product`` has chrom, track_pos, alt, frame, neigh, mask, or is one of ``placed_impacts``; neigh may come with the
+    variants instead.  Frame and neighbourhood are read on the element's strand; a codon with an unknown base has a
+    null amino acid.
     """
-    snvs = variants.where(variant_kind(F.col("ref"), F.col("alt")) == "SNV")
-    placed = points_in(snvs, track, size=size).withColumn("track_pos", track_position(F.col("pos")))
-    product = product.select("chrom", "track_pos", "alt", "frame", "neigh", "mask")
-    joined = placed.join(product, ["chrom", "track_pos", "alt"])
+    snvs, side = _sides(variants.where(variant_kind(F.col("ref"), F.col("alt")) == "SNV"), track, product, ["alt", "frame", "mask"], size)
+    joined = snvs.join(side.withColumn("impact", impact_text(F.col("mask"))), ["chrom", "pos", "alt"])
     left, right = F.substring("neigh", 1, 3), F.substring("neigh", 4, 3)
-    before = oriented(F.concat(left, F.col("ref"), right), F.col("r_strand"))
-    after = oriented(F.concat(left, F.col("alt"), right), F.col("r_strand"))
-    return joined.select(
+    before = oriented(F.concat(left, F.col("ref"), right), F.col("strand"))
+    after = oriented(F.concat(left, F.col("alt"), right), F.col("strand"))
+    decoded = joined.select(
         "chrom",
         "pos",
         "vid",
         "ref",
         "alt",
-        F.col("r_name").alias("element"),
-        F.col("r_strand").alias("strand"),
-        F.col("track_pos"),
+        "strand",
         amino_acid(_codon(before, F.col("frame"))).alias("ref_aa"),
         amino_acid(_codon(after, F.col("frame"))).alias("alt_aa"),
-        impact_text(F.col("mask")).alias("impact"),
+        "impact",
+        "elements",
     )
+    return laid_out(decoded).select("chrom", "pos", "vid", "ref", "alt", "_x.element", "strand", "_x.track_pos", "ref_aa", "alt_aa", "impact")
+
+
+def _sides(variants: DataFrame, track: DataFrame, product: DataFrame, kept: list[str], size: int) -> tuple[DataFrame, DataFrame]:
+    """Variants and the product by place; one of them has neigh."""
+    own = ["neigh"] if "neigh" in variants.columns else []
+    side = placed_product(product, track, [*kept, *([] if own else ["neigh"])], size)
+    return variants.select("chrom", "pos", "vid", "ref", "alt", *own), side
 
 
 def _joined(terms: list[Column], nominal: str) -> Column:
@@ -60,15 +66,14 @@ def translate_insertions(variants: DataFrame, track: DataFrame, product: DataFra
     """Insertions whose flanking bases both lie in the element.
 
     The junction sequence is the left three bases, the inserted ones and the right three; codons are
-    scanned from 3 - frame for the first STOP.  ``product``: chrom, track_pos, frame, neigh, mask.
+    scanned from 3 - frame for the first STOP.  ``product``: chrom, track_pos, frame, neigh, mask, or one of
+    ``placed_impacts``; neigh may come with the variants instead.
     """
-    ins = variants.where(variant_kind(F.col("ref"), F.col("alt")) == "INS")
-    placed = points_in(ins, track, size=size).where("pos + 1 <= r_end").withColumn("track_pos", track_position(F.col("pos")))
-    joined = placed.join(product.select("chrom", "track_pos", F.col("frame").alias("stored"), "neigh", "mask"), ["chrom", "track_pos"])
-    joined = joined.withColumn("frame", (F.col("stored") + 1) % 3)
+    ins, side = _sides(variants.where(variant_kind(F.col("ref"), F.col("alt")) == "INS"), track, product, ["frame", "mask"], size)
+    joined = ins.join(side.withColumnRenamed("frame", "stored"), ["chrom", "pos"]).withColumn("frame", (F.col("stored") + 1) % 3)
     left, right = F.substring("neigh", 1, 3), F.substring("neigh", 4, 3)
     inserted = F.substring(F.col("alt"), F.length("ref") + 1, F.length("alt"))
-    strand = F.col("r_strand")
+    strand = F.col("strand")
     joined = joined.withColumn("_old", oriented(F.concat(left, right), strand))
     joined = joined.withColumn("_new", oriented(F.concat(left, inserted, right), strand))
     joined = joined.withColumn("ref_aa", amino_acid(_codon(F.col("_old"), F.col("frame"))))
@@ -91,16 +96,17 @@ def translate_insertions(variants: DataFrame, track: DataFrame, product: DataFra
         F.when(_has(mask, "Splice_Acceptor"), "splice_acceptor_variant"),
         F.when(_has(mask, "Splice_Donor"), "splice_donor_variant"),
     ]
-    return joined.select(
+    decoded = joined.select(
         "chrom",
         "pos",
         (F.col("pos") + size_of - 1).cast("long").alias("end"),
         "vid",
-        F.col("r_name").alias("element"),
-        strand.alias("strand"),
+        "strand",
         "ref_aa",
         _joined(terms, "NOMINAL_IMPACT").alias("impact"),
+        "elements",
     )
+    return laid_out(decoded).where("_x.more >= 1").select("chrom", "pos", "end", "vid", "_x.element", "strand", "ref_aa", "impact")
 
 
 def translate_deletions(variants: DataFrame, track: DataFrame, product: DataFrame, size: int = BIN, compat: bool = False) -> DataFrame:
