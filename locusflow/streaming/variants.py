@@ -26,11 +26,19 @@ def vcf_stream(spark: SparkSession, folder: str, files_per_batch: int = 8) -> Da
 
 
 def annotated_stream(variants: DataFrame, axis: DataFrame, impacts: DataFrame) -> DataFrame:
-    """Arriving SNVs joined with the static axis and impact track; keeps no state."""
+    """Arriving SNVs joined with the static axis and impact track; keeps no state.
+
+    One row per variant, strand and impact with its ``elements``; :func:`annotated_rows` lays them out.  Impacts of
+    ``placed_impacts`` are taken as they are.
+    """
     snvs = variants.where(tracks.variant_kind(F.col("ref"), F.col("alt")) == "SNV")
-    placed = points_in(snvs, axis).withColumn("track_pos", tracks.track_position(F.col("pos")))
-    found = placed.join(impacts.select("chrom", "track_pos", "alt", "mask"), ["chrom", "track_pos", "alt"])
-    return found.select("arrived", "chrom", "pos", "vid", "ref", "alt", F.col("r_name").alias("element"), "track_pos", "mask", tracks.impact_text(F.col("mask")).alias("impact"))
+    side = tracks.placed_product(impacts, axis, ["alt", "mask"]).withColumn("impact", tracks.impact_text(F.col("mask")))
+    return snvs.join(side, ["chrom", "pos", "alt"]).select("arrived", "chrom", "pos", "vid", "ref", "alt", "mask", "impact", "elements")
+
+
+def annotated_rows(written: DataFrame) -> DataFrame:
+    """One row per variant and element from what :func:`annotated_stream` gives."""
+    return tracks.laid_out(written).select("arrived", "chrom", "pos", "vid", "ref", "alt", "_x.element", "_x.track_pos", "mask", "impact")
 
 
 def presence_stream(variants: DataFrame, axis: DataFrame, late: str = "1 hour") -> DataFrame:
