@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dosage, genotype_alleles, haplotype_allele, haplotype_code, names_match, presence
@@ -111,15 +111,39 @@ def encoded_snvs(vcf: DataFrame, samples: list[str], track: DataFrame, encoding:
     return hits.select("chrom", "track_pos", "alt", "_x.sample", "_x.code")
 
 
-def encoded_deletions(vcf: DataFrame, samples: list[str], track: DataFrame, encoding: int = GENO, size: int = BIN) -> DataFrame:
-    """The deletion matrix of VCF rows, one row per deleted base and carrier, deletions inside an element only."""
+def encoded_deletions(vcf: DataFrame, samples: list[str], track: DataFrame, encoding: int = GENO, size: int = BIN // 4) -> DataFrame:
+    """The deletion matrix of VCF rows, one row per deleted base and carrier, deletions inside an element only.
+
+    Deletions of one place are united before the interval join, and a base meets the elements once for all the
+    deletions it lies in (:func:`_deleted_bases`): behind the join no two rows share a cell.  ``track`` is an axis.
+    Bases are many and close, so their bins (``size``) are smaller than others.
+    """
     spans = matrix_deletions(vcf).select("chrom", "start", "end", "format", "calls")
-    inside = points_in(spans, track, position="start", size=size).where(F.col("end") <= F.col("r_end"))
-    placed = inside.select("chrom", track_position(F.col("start")).alias("first"), (F.col("end") - F.col("start")).alias("more"), "format", "calls")
-    # Codes are united per deletion before its bases are listed: a row per base and carrier, not per call.
-    coded = _coded_samples(placed, ["chrom", "first", "more"], samples, encoding)
-    bases = coded.select("chrom", F.explode(F.sequence("first", F.col("first") + F.col("more"))).alias("track_pos"), "sample", "code")
-    return bases.groupBy("chrom", "track_pos", "sample").agg(F.bit_or("code").alias("code"))
+    # Sample columns are cut for deletions inside islands of elements only; of the elements of one start the longest says enough.
+    islands = merge(track.groupBy("chrom", "start").agg(F.max("end").alias("end")))
+    inside = points_in(spans, islands, position="start").where(F.col("end") <= F.col("r_end"))
+    bases = _deleted_bases(_coded_samples(inside, ["chrom", "start", "end"], samples, encoding))
+    hits = points_in(bases, track, size=size).where("r_start > coalesce(_above, r_start - 1) AND r_start <= _first AND r_end >= least(_end1, _end2)")
+    codes = [F.when(F.col(f"_end{bit}") <= F.col("r_end"), bit).otherwise(0) for bit in (1, 2)]
+    cells = hits.select("chrom", track_position(F.col("pos")).alias("track_pos"), codes[0].bitwiseOR(codes[1]).alias("code"), "_samples")
+    return cells.select("chrom", "track_pos", F.explode("_samples").alias("sample"), "code")
+
+
+def _deleted_bases(coded: DataFrame) -> DataFrame:
+    """Deleted bases (chrom, pos) of deletions (chrom, start, end, sample, code), with their ``_samples``.
+
+    An element holds the deletions that start at or behind its start and end at or before its end.  So a base has a
+    row per start of its deletions, for elements that start there or before but behind ``_above``, the start next
+    before (null: none).  Bit 1 and 2 of the code, which has no more, are set from the element's end ``_end1`` and
+    ``_end2`` on (null: never).
+    """
+    bases = coded.withColumn("pos", F.explode(F.sequence("start", "end")))
+    ends = {bit: F.min(F.when(F.col("code").bitwiseAND(F.lit(bit)) != 0, F.col("end"))).alias(f"_end{bit}") for bit in (1, 2)}
+    starts = bases.groupBy("chrom", "pos", "sample", F.col("start").alias("_first")).agg(*ends.values())
+    order = Window.partitionBy("chrom", "pos", "sample").orderBy(F.desc("_first"))
+    behind = order.rowsBetween(Window.unboundedPreceding, 0)
+    placed = starts.select("chrom", "pos", "sample", "_first", F.lead("_first").over(order).alias("_above"), *[F.min(f"_end{bit}").over(behind).alias(f"_end{bit}") for bit in (1, 2)])
+    return placed.groupBy("chrom", "pos", "_first", "_above", "_end1", "_end2").agg(F.collect_list("sample").alias("_samples"))
 
 
 def allele_counts(genotypes: DataFrame) -> DataFrame:

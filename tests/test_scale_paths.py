@@ -492,3 +492,29 @@ def test_concordance_makes_no_row_per_region(spark):
     joins = [x for x in plan.splitlines() if "Join Inner" in x]
     assert any("o_vid" in x for x in joins) and not any("o_vid" in x and "element" in x for x in joins)
     assert "count(1)" in plan
+
+
+def test_deletions_of_one_base_meet_the_elements_once(spark):
+    """Deletions that overlap, hold one another and repeat; elements that cut some of them; compared with plain Python."""
+    draw = random.Random(11)
+    regs = [("c0", s, s + draw.randrange(1, 14), f"T{i}", i) for i, s in enumerate(draw.randrange(1, 50) for _ in range(60))] + [("c1", 1, 9, "T0", 60)]
+    axis = tracks.axis(spark.createDataFrame(regs, "chrom string, start long, end long, name string, row_id long")).cache()
+    calls = ["0|0", "0|1", "1|0", "1/1", "./."]
+    dels = [(draw.choice(["c0", "c0", "c1"]), draw.randrange(1, 50), "ACGTACGT"[: draw.randrange(2, 9)], "A", "GT:DP", [f"{draw.choice(calls)}:7" for _ in range(3)]) for _ in range(150)]
+    vcf = spark.createDataFrame(dels, "chrom string, pos long, ref string, alt string, format string, calls array<string>")
+    spans = axis.collect()
+    for encoding, codes in ((genotypes.EXISTENCE, [0, 1, 1, 1, 0]), (genotypes.GENO, [0, 1, 1, 2, 0]), (genotypes.HAPLO, [0, 1, 2, 3, -1])):
+        want = {}
+        for chrom, pos, ref, _, _, fields in dels:
+            start, end = pos + 1, pos + len(ref) - 1
+            for r in (r for r in spans if r.chrom == chrom and r.start <= start and end <= r.end):
+                for sample, field in zip("abc", fields):
+                    if (code := codes[calls.index(field[:3])]) > 0:
+                        for base in range(start, end + 1):
+                            key = (chrom, r.track_offset + base - r.start, sample)
+                            want[key] = want.get(key, 0) | code
+        for size in (4, 256):
+            found = genotypes.encoded_deletions(vcf, ["a", "b", "c"], axis, encoding, size).collect()
+            assert len(found) == len(want) > 500 and {tuple(r)[:3]: r.code for r in found} == want
+    plan = genotypes.encoded_deletions(vcf, ["a", "b", "c"], axis)
+    assert "Aggregate" not in last_steps(plan)
