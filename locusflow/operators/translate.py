@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.nucleotide import amino_acid, oriented
 from ..schemas import context_mask
 from .overlap import BIN, points_in, points_in_elements
-from .tracks import CHUNK, deleted_spans, impact_text, laid_out, placed_product, variant_kind
+from .tracks import CHUNK, deleted_spans, impact_text, in_blocks, laid_out, neighbourhood, placed_product, variant_kind
 
 
 def _codon(seq: Column, frame: Column) -> Column:
@@ -126,6 +126,54 @@ def translate_deletions(variants: DataFrame, track: DataFrame, product: DataFram
     item = F.struct("i", F.coalesce("mask", F.lit(0)).alias("mask"), F.coalesce("frame", F.lit(0)).alias("frame"), F.coalesce("neigh", F.lit("NNNNNN")).alias("neigh"))
     keys = ["chrom", "vid", "start", "end", "ref", "alt", "name", "strand", "r_start", "track_offset"]
     grouped = known.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("b"), F.count("mask").alias("annotated")).where("annotated > 0")
+    return _deletions(grouped, compat).select(*_DELETION[:4], F.col("name").alias("element"), *_DELETION[4:])
+
+
+#: Columns of translated deletions but the element.
+_DELETION = ["chrom", "start", "end", "vid", "strand", "ref_aa", "del_aa", "del_aa_alt", "impact"]
+
+
+def translate_deletions_placed(
+    variants: DataFrame, track: DataFrame, annotations: DataFrame, chunks: DataFrame, chunk: int = CHUNK, size: int = BIN, compat: bool = False
+) -> DataFrame:
+    """:func:`translate_deletions` with annotations by place and element instead of a product.
+
+    ``annotations``: chrom, pos, element, mask, frame, one row per place and element, which stands for every region
+    of the element over the place.  What is annotated of a deletion is then the same in all regions of a name and,
+    mostly, of many: names are found once per distinct span, those of equal bases and strand share a row, deletions
+    are decoded once per such row, and elements are laid out last.  No pair of deletion and element is grouped.
+    """
+    span = ["chrom", "start", "end"]
+    spans = deleted_spans(variants).select(*span, "vid", "ref", "alt")
+    asked = spans.select(*span).distinct()
+    placed = annotations.where("element IS NOT NULL").groupBy("chrom", "pos", "mask", "frame").agg(F.collect_list("element").alias("names"))
+    placed = neighbourhood(placed, chunks, chunk=chunk)
+    bases = asked.withColumn("pos", F.explode(F.sequence("start", "end")))
+    item = F.struct((F.col("pos") - F.col("start")).cast("int").alias("i"), "mask", "frame", "neigh", "names")
+    known = bases.join(placed, ["chrom", "pos"]).groupBy(*span).agg(F.collect_list(item).alias("_known"))
+
+    over = points_in(asked.withColumn("pos", F.col("start")), track.select("chrom", "start", "end", "name", "strand"), size=size).where("end <= r_end")
+    over = over.groupBy(*span, F.col("r_name").alias("name"), F.col("r_strand").alias("strand")).agg(F.count(F.lit(1)).alias("_n"))
+    listed = in_blocks(over, span, ["name", "strand"]).groupBy(*span, "_block").agg(F.collect_list(F.struct("name", "strand", "_n")).alias("_names"))
+    each = known.join(listed, span).withColumn("_x", F.explode("_names"))
+    own = F.filter("_known", lambda k: F.array_contains(k["names"], F.col("_x.name")))
+    each = each.select(*span, "_block", "_x.name", "_x.strand", "_x._n", F.transform(own, lambda k: F.struct(k["i"].alias("i"), k["mask"].alias("mask"), k["frame"].alias("frame"), k["neigh"].alias("neigh"))).alias("_own"))
+    # A deletion is decoded if any of its bases is annotated; bases without annotation have no context.
+    alike = each.where(F.exists("_own", lambda k: k["mask"].isNotNull())).withColumn("_own", F.array_sort("_own"))
+    alike = alike.groupBy(*span, "_block", "strand", "_own").agg(F.flatten(F.collect_list(F.array_repeat("name", F.col("_n")))).alias("elements"))
+    none = F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("mask"), F.lit(0).alias("frame"), F.lit("NNNNNN").alias("neigh"))
+
+    def base(i: Column) -> Column:
+        found = F.coalesce(F.try_element_at(F.filter("_own", lambda x: x["i"] == i), F.lit(1)), none)
+        return F.struct(i.alias("i"), F.coalesce(found["mask"], F.lit(0)).alias("mask"), F.coalesce(found["frame"], F.lit(0)).alias("frame"), F.coalesce(found["neigh"], F.lit("NNNNNN")).alias("neigh"))
+
+    alike = alike.select(*span, "strand", "elements", F.transform(F.sequence(F.lit(0), (F.col("end") - F.col("start")).cast("int")), base).alias("b"))
+    decoded = _deletions(spans.join(alike, span), compat).select(*_DELETION, "elements")
+    return laid_out(decoded).select(*_DELETION[:4], F.col("_x").alias("element"), *_DELETION[4:])
+
+
+def _deletions(grouped: DataFrame, compat: bool) -> DataFrame:
+    """Amino acids and impact of rows with ref, alt, strand and b, the ordered array of the deleted bases."""
     cds_bits = F.lit(context_mask("CDS"))
     deleted = F.substring("ref", F.length("alt") + 1, F.length("ref"))
     grouped = grouped.withColumn("_seq", deleted)
@@ -168,10 +216,7 @@ def translate_deletions(variants: DataFrame, track: DataFrame, product: DataFram
         F.when(hit("3p_UTR"), "3_prime_UTR_variant"),
         F.when(gained, "stop_gained"),
     ]
-    return grouped.select(
-        "chrom", "start", "end", "vid", F.col("name").alias("element"), "strand", "ref_aa", "del_aa", "del_aa_alt",
-        _joined(terms, "IMPACT_NOMINAL" if compat else "NOMINAL_IMPACT").alias("impact"),
-    )
+    return grouped.withColumn("impact", _joined(terms, "IMPACT_NOMINAL" if compat else "NOMINAL_IMPACT"))
 
 
 def with_cds_neighbours(impacts: DataFrame, axis: DataFrame, cds: DataFrame, chunks: DataFrame, chunk: int = CHUNK, size: int = BIN) -> DataFrame:

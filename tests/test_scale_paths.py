@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusflow import cli
-from locusflow.operators import concord, effects, genotypes, ordering, overlap, regions, sequence, simulate, tracks
+from locusflow.operators import concord, effects, genotypes, ordering, overlap, regions, sequence, simulate, tracks, translate
 from locusflow.plans.catalog import QUERIES
 from locusflow.sources import readers, sinks
 
@@ -549,3 +549,23 @@ def test_annovar_reports_make_no_row_per_region(spark):
     for name in ("annovar_matched", "annovar_own_specific", "annovar_other_specific"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(elements" in plan.split("Join")[0] and not any("vid" in x for x in plan.splitlines() if "_bin#" in x), name
+
+
+def test_deletions_by_place_are_those_of_the_product(spark):
+    """Names with several regions over a place, several bases annotated, bases without."""
+    draw = random.Random(19)
+    regs = [("c0", s, s + draw.randint(2, 25), draw.choice(["A", "B", "C", "D", None]), draw.choice("+-"), i) for i, s in enumerate(draw.randint(1, 60) for _ in range(60))]
+    axis = tracks.axis(spark.createDataFrame(regs, "chrom string, start long, end long, name string, strand string, row_id long")).cache()
+    anns = [("c0", p, e, draw.getrandbits(37) & draw.getrandbits(37), draw.randint(0, 2)) for p in range(1, 80) for e in "ABCX" if draw.random() < 0.6]
+    annotations = spark.createDataFrame(anns, "chrom string, pos long, element string, mask long, frame int").cache()
+    bases = spark.createDataFrame([("c0", 1, "".join(draw.choice("ACGT") for _ in range(100)))], "chrom string, pos long, seq string")
+    chunks = tracks.assembled(bases, 64).cache()
+    dels = [("c0", draw.randint(1, 70), "ACGTAC"[: draw.randint(2, 6)], "A", draw.randint(0, 50)) for _ in range(120)]
+    variants = spark.createDataFrame(dels, "chrom string, pos long, ref string, alt string, vid long").distinct()
+    product = tracks.impact_track(annotations.withColumn("line_no", F.lit(1)), axis, chunks, per_allele=False, chunk=64)
+    for compat in (False, True):
+        want = sorted(map(repr, translate.translate_deletions(variants, axis, product, compat=compat).collect()))
+        found = translate.translate_deletions_placed(variants, axis, annotations, chunks, 64, compat=compat)
+        assert sorted(map(repr, found.collect())) == want and len(want) > 500
+    plan = QUERIES["translate_del"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(elements" in plan.split("Join")[0] and not any("vid" in x for x in plan.splitlines() if "Aggregate" in x and "collect_list" in x)
