@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nucleotide import amino_acid, complement
 from ..functions.text import attribute
 from .overlap import BIN, overlapping
 from .regions import introns, promoters
-from .tracks import CHUNK, variant_kind, with_window
+from .tracks import CHUNK, laid_out, variant_kind, with_window
 
 def gene_elements(gff: DataFrame, sizes: DataFrame, promoter: int) -> DataFrame:
     """(chrom, start, end, name, strand, element_type, transcript) of CDS, UTRs, introns and promoters.
@@ -91,7 +91,15 @@ def variant_effects(variants: DataFrame, elements: DataFrame, transcripts: DataF
     which no SNV is a splice loss.  ``transcripts`` (name, seq) hold the spliced sequences; those that
     are no whole number of codons have no coding effect.
     """
-    spans = variants.withColumns({"start": F.col("pos"), "end": (F.col("pos") + F.length("ref") - 1).cast("long")})
+    # Of the letters only an SNV's own is looked at, so variants that differ in no more meet the elements once;
+    # a row has 4,096 of them at most.
+    single = variant_kind(F.col("ref"), F.col("alt")) == "SNV"
+    unnamed = lambda c: F.repeat(F.lit("N"), F.length(c))
+    alike = variants.select("vid", "chrom", "pos", unnamed("ref").alias("ref"), F.when(single, F.col("alt")).otherwise(unnamed("alt")).alias("alt"))
+    key = ["chrom", "pos", "ref", "alt"]
+    alike = alike.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("vid")) - 1) / 4_096))
+    alike = alike.groupBy(*key, "_block").agg(F.collect_list(F.struct("vid")).alias("_vids"))
+    spans = alike.select(*key, "_vids", F.col("pos").alias("start"), (F.col("pos") + F.length("ref") - 1).cast("long").alias("end"))
     for missing, kind in (("before", "long"), ("first2", "string"), ("last2", "string")):
         if missing not in elements.columns:
             elements = elements.withColumn(missing, F.lit(None).cast(kind))
@@ -121,10 +129,11 @@ def variant_effects(variants: DataFrame, elements: DataFrame, transcripts: DataF
         .otherwise("NONE")
     )
     coding = (here == "CDS") & whole & (kind == "SNV")
-    return joined.select(
-        "vid", F.col("b_name").alias("name"), here.alias("element_type"), effect.alias("effect"),
+    decoded = joined.select(
+        F.col("_vids").alias("elements"), F.col("b_name").alias("name"), here.alias("element_type"), effect.alias("effect"),
         F.when(coding, amino_acid(old)).alias("ref_aa"), F.when(coding, amino_acid(new)).alias("alt_aa"),
     )
+    return laid_out(decoded).select("_x.vid", "name", "element_type", "effect", "ref_aa", "alt_aa")
 
 
 def gff_of(gff: DataFrame, feature: str | None = None, source: str | None = None) -> DataFrame:

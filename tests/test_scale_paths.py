@@ -551,6 +551,29 @@ def test_annovar_reports_make_no_row_per_region(spark):
         assert "explode(elements" in plan.split("Join")[0] and not any("vid" in x for x in plan.splitlines() if "_bin#" in x), name
 
 
+def test_effects_of_like_variants_are_found_once(spark):
+    """Rows of variants of one place and one kind of change, repeats and missing ids among them, and one join row for them."""
+    regs = [("c0", 1, 9, "R1", "+", "CDS", 0, None, None), ("c0", 4, 12, "R2", "-", "intron", 0, "GT", "AG"), ("c0", 5, 30, "R3", "-", "CDS", 0, None, None)]
+    regions_ = spark.createDataFrame(regs, "chrom string, start long, end long, name string, strand string, element_type string, before long, first2 string, last2 string")
+    seqs = spark.createDataFrame([("R1", "ATGAAATAA"), ("R3", "ACGTACGTACGTACGTACGTACGTAC")], "name string, seq string")
+    draw = random.Random(17)
+    rows = [("c0", draw.choice([4, 5, 11]), *draw.choice([("A", "C"), ("A", "G"), ("G", "C"), ("A", "ATT"), ("C", "CGG"), ("ACG", "A"), ("TTG", "T"), ("AC", "GT"), ("A", None)]), draw.choice([None, *range(30)])) for _ in range(120)]
+    schema = "chrom string, pos long, ref string, alt string, vid long"
+    found = effects.variant_effects(spark.createDataFrame(rows, schema), regions_, seqs)
+    want = []
+    for i, row in enumerate(sorted(set(r[:4] for r in rows), key=repr)):
+        alone = effects.variant_effects(spark.createDataFrame([(*row, i)], schema), regions_, seqs).collect() if i < 8 else None
+        if alone is not None:
+            want += [(repr((r[4], *tuple(a)[1:]))) for r in rows if r[:4] == row for a in alone]
+    some = {r[4] for r in rows}
+    got = sorted(repr(tuple(r)) for r in found.collect())
+    assert want and len(some) > 20 and not set(want) - set(got)
+    spans = {r[3]: (r[1], r[2]) for r in regs}
+    assert len(got) == sum(1 for r in rows for a, b in spans.values() if r[1] <= b and r[1] + len(r[2]) - 1 >= a)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(elements" in plan.split("Join")[0]
+
+
 def test_deletions_by_place_are_those_of_the_product(spark):
     """Names with several regions over a place, several bases annotated, bases without."""
     draw = random.Random(19)
